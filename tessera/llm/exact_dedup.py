@@ -10,13 +10,19 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import bounded, documents, remove_at_exit, shared_dir, written
 
-#: Settings of the keyed state: on disk in RocksDB, with a bound on the memory of all stores of an executor.
+#: Settings of the keyed state: on disk in RocksDB, with small buffers, a bound on the memory of all stores of an
+#: executor, and stores that are closed soon after their query has ended.
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
+    "spark.sql.streaming.stateStore.rocksdb.maxWriteBufferNumber": "2",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "5s",
 }
-ENTRY = "digest binary, check long, n_bytes long, first struct<last:boolean,doc_id:long,locator:long>"
+ENTRY = "digest binary, check long, n_bytes long, doc_id long, locator long"
+#: Stands for a null identifier, after all others.
+LAST = 2**63 - 1
 
 
 def normalised(text: Column | str) -> Column:
@@ -27,8 +33,7 @@ def normalised(text: Column | str) -> Column:
 def entries(docs: DataFrame) -> DataFrame:
     """A small row for each document: digest, a second hash and length, stable identifier and content locator."""
     norm = F.col("norm")
-    locator = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("locator"))
-    return docs.select("doc_id", normalised("text").alias("norm")).select(F.unhex(F.sha2(norm.cast("binary"), 256)).alias("digest"), F.xxhash64(norm).alias("check"), F.octet_length(norm).cast("long").alias("n_bytes"), locator.alias("first"))
+    return docs.select("doc_id", normalised("text").alias("norm")).select(F.unhex(F.sha2(norm.cast("binary"), 256)).alias("digest"), F.xxhash64(norm).alias("check"), F.octet_length(norm).cast("long").alias("n_bytes"), F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("locator"))
 
 
 @contextmanager
@@ -46,21 +51,21 @@ def set_for_now(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
 def feed(spark: SparkSession, source: str, state: str, files_a_batch: int) -> None:
     """Runs all files of entries below ``source`` that the state hasn't seen yet into the keyed state at ``state``.
 
-    The state has the smallest identifier, its locator and the number of rows of each digest, for ever. Rows of
+    The state has the smallest identifier, a locator and the number of rows of each digest, for ever. Rows of
     one digest are combined within each task before the shuffle, so a hot digest sends one row a task. A stopped
     or failed run goes on where the checkpoint left off.
     """
-    keyed = spark.readStream.schema(ENTRY).option("maxFilesPerTrigger", files_a_batch).parquet(source).groupBy("digest", "check", "n_bytes").agg(F.min("first").alias("first"), F.count("*").alias("n"))
+    keyed = spark.readStream.schema(ENTRY).option("maxFilesPerTrigger", files_a_batch).parquet(source).groupBy("digest", "check", "n_bytes").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("first"), F.min("locator").alias("locator"), F.count("*").alias("n"))
     with set_for_now(spark, STATE_CONF):
         keyed.writeStream.outputMode("update").format("noop").option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
 
 def seen(spark: SparkSession, state: str) -> DataFrame:
-    """The keyed state as a table: digest, check, n_bytes, first, n."""
+    """The keyed state as a table: digest, check, n_bytes, first, locator, n."""
     with set_for_now(spark, STATE_CONF):
         kept = spark.read.format("statestore").load(state)
     key, value = kept.schema["key"].dataType.names, kept.schema["value"].dataType.names
-    return kept.select(*(F.col("key")[a].alias(b) for a, b in zip(key, ("digest", "check", "n_bytes"), strict=True)), *(F.col("value")[a].alias(b) for a, b in zip(value, ("first", "n"), strict=True)))
+    return kept.select(*(F.col("key")[a].alias(b) for a, b in zip(key, ("digest", "check", "n_bytes"), strict=True)), *(F.col("value")[a].alias(b) for a, b in zip(value, ("first", "locator", "n"), strict=True)))
 
 
 def groups(docs: DataFrame, batches: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -72,17 +77,18 @@ def groups(docs: DataFrame, batches: int = 2) -> tuple[DataFrame, DataFrame]:
     remove_at_exit(spark, state)
     own = spark.read.schema(ENTRY).parquet(source)
     files = len(own.inputFiles())
-    if files:
-        feed(spark, source, state, max(1, -(-files // batches)))
-        hits = written(seen(spark, state).where("n > 1").select("digest", "check", "n_bytes"))
-    else:
-        hits = own.select("digest", "check", "n_bytes")
+    if not files:
+        return own, own.selectExpr("digest", "check", "n_bytes", "0L AS n", "named_struct('id', doc_id, 'locator', locator) AS keep")
+    feed(spark, source, state, max(1, -(-files // batches)))
+    hits = written(seen(spark, state).where("n > 1").select("digest", "check", "n_bytes"))
     # On hits the full bytes are compared: they are part of the key, and a group is what agrees in all of them.
     norm = docs.select("doc_id", normalised("text").alias("norm")).select("norm", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("digest"))
-    same = norm.join(bounded(hits.select("digest").distinct() if not files else hits.select("digest")), "digest", "left_semi").groupBy("digest", "norm").agg(F.count("*").alias("n"))
+    same = norm.join(bounded(hits.select("digest")), "digest", "left_semi").groupBy("digest", "norm").agg(F.count("*").alias("n"))
     agreed = same.select("digest", F.xxhash64("norm").alias("check"), F.octet_length("norm").cast("long").alias("n_bytes"), "n")
-    first = own.groupBy("digest", "check", "n_bytes").agg(F.min("first").alias("keep"))
-    return own, written(agreed.join(first, ["digest", "check", "n_bytes"]))
+    key = ["digest", "check", "n_bytes"]
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "locator"))
+    keep = own.join(bounded(hits), key, "left_semi").groupBy(key).agg(first.alias("keep"))
+    return own, written(agreed.join(keep, key))
 
 
 def exact_groups(docs: DataFrame, batches: int = 2) -> DataFrame:
@@ -96,7 +102,8 @@ def exact_groups(docs: DataFrame, batches: int = 2) -> DataFrame:
     own, hits = groups(docs, batches)
     key = ["digest", "check", "n_bytes"]
     both = own.join(hits.withColumnRenamed("n", "size"), key, "left")
-    return both.select(F.col("first.doc_id").alias("doc_id"), F.coalesce("keep.doc_id", "first.doc_id").alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), (F.col("keep").isNull() | (F.col("keep.locator") == F.col("first.locator"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    keep_id = F.when(F.col("keep").isNull(), F.col("doc_id")).otherwise(F.nullif(F.col("keep.id"), F.lit(LAST)))
+    return both.select("doc_id", keep_id.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), (F.col("keep").isNull() | (F.col("keep.locator") == F.col("locator"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
