@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, packing
+from tessera.llm import exact_dedup, mixing, near_dedup, packing, quality
 
 QUERIES = {
     "op1_packing": packing.query,
+    "op5_near_dedup": near_dedup.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op8_quality_rules": quality.query,
+    "op9_mixing": mixing.query,
 }
 ORACLES = {
     "op6_exact_dedup": exact_dedup.ORACLE,
