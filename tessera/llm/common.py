@@ -12,6 +12,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +50,19 @@ def word_hashes(text: bytes) -> np.ndarray:
     return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
 
 
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(where each text's words begin, each word's number, the distinct words) of an Arrow array of strings or bytes without nulls."""
+    lists = pc.ascii_split_whitespace(texts.cast(pa.large_string(), safe=False) if pa.types.is_binary(texts.type) or pa.types.is_string(texts.type) else texts)
+    flat = lists.flatten().dictionary_encode()
+    at = lists.offsets.to_numpy().astype(np.int64)
+    at, ids = at - at[0], flat.indices.to_numpy()
+    words = flat.dictionary.cast(pa.large_binary()).to_pylist()
+    if b"" in words:  # what stands before a leading blank or after a trailing one
+        real = ids != words.index(b"")
+        at, ids = np.concatenate([[0], np.cumsum(real)])[at], ids[real]
+    return at, ids, words
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Each 64-bit value scrambled (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
