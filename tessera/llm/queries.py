@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, mixing, near_dedup, packing, quality
+from tessera.llm import exact_dedup, langid, licenses, lm, mixing, near_dedup, packing, quality, secrets, suffix_dedup
 
 QUERIES = {
     "op1_packing": packing.query,
+    "op2_secret_scans": secrets.query,
+    "op3_language_id": langid.query,
+    "op4_lm_scoring": lm.query,
     "op5_near_dedup": near_dedup.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op7_suffix_dedup": suffix_dedup.query,
     "op8_quality_rules": quality.query,
     "op9_mixing": mixing.query,
+    "op10_license_scans": licenses.query,
 }
 ORACLES = {
     "op6_exact_dedup": exact_dedup.ORACLE,
