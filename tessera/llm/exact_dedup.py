@@ -18,6 +18,7 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
     "spark.sql.streaming.stateStore.rocksdb.maxWriteBufferNumber": "2",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.maintenanceInterval": "5s",
 }
 ENTRY = "digest binary, check long, n_bytes long, doc_id long, locator long"
@@ -64,8 +65,8 @@ def seen(spark: SparkSession, state: str) -> DataFrame:
     """The keyed state as a table: digest, check, n_bytes, first, locator, n."""
     with set_for_now(spark, STATE_CONF):
         kept = spark.read.format("statestore").load(state)
-    key, value = kept.schema["key"].dataType.names, kept.schema["value"].dataType.names
-    return kept.select(*(F.col("key")[a].alias(b) for a, b in zip(key, ("digest", "check", "n_bytes"), strict=True)), *(F.col("value")[a].alias(b) for a, b in zip(value, ("first", "locator", "n"), strict=True)))
+    # By position: the state names its fields after the functions that fill them.
+    return kept.select(F.col("key").cast("struct<digest:binary,check:long,n_bytes:long>").alias("k"), F.col("value").cast("struct<first:long,locator:long,n:long>").alias("v")).select("k.*", "v.*")
 
 
 def groups(docs: DataFrame, batches: int = 2) -> tuple[DataFrame, DataFrame]:

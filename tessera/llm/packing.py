@@ -2,35 +2,63 @@
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Memo, documents, tokenizer_file
+from tessera.llm.common import documents, tokenizer_file
 
 #: Documents that one packer places at a time. It searches its own remaining pieces for each place, so work a document is bounded.
 BUCKET_DOCS = 1536
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss long, bucket long"
-_TOKENIZERS: dict[str, Memo] = {}
+#: Chunks that the vocabulary's rules lower-case letter by letter and leave as they are otherwise, and how its pattern cuts them.
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+CUTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Cuts a worker remembers before it forgets them all.
+CUTS_KEPT = 600_000
+_TOKENIZERS: dict[str, tuple] = {}
 
 
-def word_ids(file: str) -> Memo:
-    """Maps a chunk of text without blanks to its ids as little-endian unsigned 32-bit bytes.
+def chunk_ids(chunks: list[str], file: str) -> list[bytes]:
+    """The ids of chunks of text without blanks, as little-endian unsigned 32-bit bytes.
 
     The vocabulary's own rules drop white space before merging, and no rule reaches across it, so a text's
-    ids are its chunks' ids put together.
+    ids are its chunks' ids put together. Nor does a merge reach across a cut, so a plain chunk's ids are its cuts';
+    other chunks, such as those with marks that combine or with names of special tokens, are encoded whole.
     """
     if file not in _TOKENIZERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share out the cores
         from tokenizers import Tokenizer
 
         own = Tokenizer.from_file(tokenizer_file(file))
-        _TOKENIZERS[file] = Memo(lambda chunk: np.array(own.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes())
-    return _TOKENIZERS[file]
+        ends = np.zeros(own.get_vocab_size(), bool)
+        ends[[i for piece, i in own.get_vocab().items() if piece.endswith("</w>")]] = True
+        _TOKENIZERS[file] = own, own.model, ends, {}
+    own, model, ends, known = _TOKENIZERS[file]
+    plain = [bool(PLAIN.fullmatch(c)) and "<|" not in c for c in chunks]
+    cuts = [CUTS.findall(c.lower()) if p else [c] for c, p in zip(chunks, plain, strict=True)]
+    if len(known) > CUTS_KEPT:
+        known.clear()
+    new = {cut for each, p in zip(cuts, plain, strict=True) if p for cut in each}.difference(known)
+    # ASCII letters stand for themselves in the vocabulary; for others its rules are gone through, many cuts at a time.
+    known.update((c, array("I", [piece.id for piece in model.tokenize(c)]).tobytes()) for c in new if c.isascii())
+    rest = [c for c in new if not c.isascii()]
+    for at in range(0, len(rest), 1000):
+        ids = np.array(own.encode(" ".join(rest[at : at + 1000]), add_special_tokens=False).ids, "<u4")
+        stops = 4 * (np.flatnonzero(ends[ids]) + 1)
+        buffer = ids.tobytes()
+        known.update(zip(rest[at : at + 1000], (buffer[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)), strict=True))
+    whole = lambda c: array("I", own.encode(c, add_special_tokens=False).ids).tobytes()
+    return [b"".join(map(known.__getitem__, each)) if p else whole(each[0]) for each, p in zip(cuts, plain, strict=True)]
 
 
 def cut(total: int, most: int) -> list[tuple[int, int]]:
@@ -70,19 +98,22 @@ def place(demand: np.ndarray, limits: np.ndarray) -> np.ndarray:
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, most: int, loss: Column | None, buckets: int) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = word_ids(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
+            split = pc.split_pattern(pc.replace_substring(pc.fill_null(batch.column(1), ""), "\n", " "), " ")
+            chunks = split.flatten().dictionary_encode()
+            ids = chunk_ids(chunks.dictionary.to_pylist(), tokenizer)
+            at, order = split.offsets.to_numpy() - split.offsets[0].as_py(), chunks.indices.to_numpy()
             rows: list[tuple] = []
-            for doc, text, bears, bucket in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                chunks = (text or "").replace("\n", " ").split(" ")
-                own = memoryview(b"".join([*map(ids.__getitem__, chunks), end]))
+            for k, (doc, bears, bucket) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True)):
+                own = memoryview(b"".join([*map(ids.__getitem__, order[at[k] : at[k + 1]].tolist()), end]))
                 total = len(own) // 4
-                for at, n in cut(total, most):
+                for start, n in cut(total, most):
                     # Without a column that says otherwise, all but a document's first token bear loss.
-                    lossy = (n - (at == 0)) if bears is None else n * bool(bears)
-                    rows.append((doc, at, n, zlib.crc32(own[4 * at : 4 * (at + n)]), total, lossy, bucket))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 7, names=[c.split()[0] for c in PIECES.split(", ")])
+                    lossy = (n - (start == 0)) if bears is None else n * bool(bears)
+                    rows.append((doc, start, n, zlib.crc32(own[4 * start : 4 * (start + n)]), total, lossy, bucket))
+            names = [c.split()[0] for c in PIECES.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * len(names))], names=names)
 
     at = F.pmod(F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit(""))), F.lit(buckets))
     return docs.select(F.col("doc_id").cast("long"), "text", (F.lit(None).cast("boolean") if loss is None else loss).alias("loss"), at.alias("bucket")).mapInArrow(of, PIECES)
