@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded, documents, written
+from tessera.llm.common import bounded, documents, fresh, written
 
 #: Weights of the sources in order, repeating; the whole mix as a multiple of all sizes; most passes over a source.
 WEIGHTS, SHARE, PASSES = (3, 1, 2), 1.5, 2
@@ -108,11 +108,11 @@ def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
 
 def training_order(docs: DataFrame, **mix) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with all their columns, sorted by position over a range partitioning."""
-    takes = written(mixed_rows(docs, **mix).where(F.size("positions") > 0).select(F.col("doc_id").alias("_mix_id"), F.col("print").alias("_mix_print"), F.col("positions").alias("_mix_at")).distinct())
-    place = F.xxhash64(docs["doc_id"].cast("long"), F.coalesce(docs["text"], F.lit("")))
-    both = docs.withColumn("_print", place).join(bounded(takes, 300_000), (F.col("_print") == F.col("_mix_print")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_mix_id")))
-    used = both.withColumn("_position", F.explode("_mix_at"))
-    return used.orderBy("_position", "_mix_print").select(*(docs[c] for c in docs.columns))
+    own, mark, at, print_, position = fresh(docs, "mix_id", "mix_print", "mix_at", "own_print", "position")
+    takes = mixed_rows(docs, **mix).where(F.size("positions") > 0).select(F.col("doc_id").alias(own), F.col("print").alias(mark), F.col("positions").alias(at)).distinct()
+    place = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
+    both = docs.withColumn(print_, place).join(bounded(written(takes), 300_000), (F.col(print_) == F.col(mark)) & F.col("doc_id").cast("long").eqNullSafe(F.col(own)))
+    return both.withColumn(position, F.explode(at)).orderBy(position, mark).select(*docs.columns)
 
 
 def mixed(docs: DataFrame) -> DataFrame:

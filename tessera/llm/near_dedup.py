@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded, chunks, documents, mixed, parts, utf8, window_hashes, word_hashes, written
+from tessera.llm.common import bounded, chunks, documents, fresh, mixed, parts, utf8, window_hashes, word_hashes, written
 from tessera.llm.components import components
 
 SHINGLE, BANDS, ROWS = 5, 32, 6
@@ -188,8 +188,9 @@ def near_groups(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows: in
 
 def drop_near(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows of ``docs`` whose document stays, with all their columns."""
-    gone = written(near_groups(docs, percent).where("not kept").select(F.col("doc_id").alias("_gone_id")).distinct())
-    return docs.join(bounded(gone), F.col("_gone_id") == docs["doc_id"], "left_anti")
+    (name,) = fresh(docs, "gone_id")
+    gone = written(near_groups(docs, percent).where("not kept").select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(bounded(gone), F.col(name) == docs["doc_id"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

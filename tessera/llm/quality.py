@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import HASHES, Memo, documents, tokenizer_file, utf8, window_hashes
+from tessera.llm.common import HASHES, Memo, documents, fresh, tokenizer_file, utf8, window_hashes
 
 SYMBOLS, BLANKS = b"#*$%&|<>", b" \t\n\r\x0b\x0c"
 #: Bytes that aren't the first of a code point.
@@ -150,7 +150,8 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
-    return judged(docs, "_quality").where("_quality.kept").select(*(docs[c] for c in docs.columns))
+    (name,) = fresh(docs, "quality")
+    return judged(docs, name).where(f"`{name}`.kept").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
