@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded, documents, remove_at_exit, shared_dir, written
+from tessera.llm.common import bounded, documents, fresh, remove_at_exit, shared_dir, written
 
 #: Settings of the keyed state: on disk in RocksDB, with small buffers, a bound on the memory of all stores of an
 #: executor, and stores that are closed soon after their query has ended.
@@ -109,15 +109,15 @@ def exact_groups(docs: DataFrame, batches: int = 2) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    gone = written(exact_groups(docs).where("not kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")))
-    mark = F.sha2(normalised("text").cast("binary"), 256)
-    marked = docs.withColumn("_copy_mark", mark)
-    hit = bounded(gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_mark"), F.col("n").alias("_gone_n")))
-    both = marked.join(hit, F.col("_gone_id").eqNullSafe(F.col("doc_id")) & (F.col("_gone_mark") == F.col("_copy_mark")), "left")
-    alone = both.where("_gone_n is null").select(*(docs[c] for c in docs.columns))
-    # Rows that repeat both doc_id and text: where one of them stays, the rest of that few go.
-    again = both.where("_gone_n is not null").withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_copy_mark").orderBy(F.lit(1)))).withColumn("_all", F.count("*").over(Window.partitionBy("doc_id", "_copy_mark")))
-    return alone.unionByName(again.where("_nth <= _all - _gone_n").select(*(F.col(f"`{c}`") for c in docs.columns)))
+    mark, gone_id, gone_mark, gone_n, nth, all_ = fresh(docs, "mark", "gone_id", "gone_mark", "gone_n", "nth", "all_n")
+    gone = exact_groups(docs).where("not kept").groupBy(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_mark)).agg(F.count("*").alias(gone_n))
+    marked = docs.withColumn(mark, F.sha2(normalised("text").cast("binary"), 256))
+    both = marked.join(bounded(written(gone)), F.col(gone_id).eqNullSafe(F.col("doc_id")) & (F.col(gone_mark) == F.col(mark)), "left")
+    alone = both.where(F.col(gone_n).isNull()).select(*docs.columns)
+    # Rows that repeat both doc_id and text: where one of them stays, the others go.
+    by = Window.partitionBy("doc_id", mark)
+    again = both.where(F.col(gone_n).isNotNull()).withColumn(nth, F.row_number().over(by.orderBy(F.lit(1)))).withColumn(all_, F.count("*").over(by))
+    return alone.unionByName(again.where(F.col(nth) <= F.col(all_) - F.col(gone_n)).select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
