@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import strict_json
 from tessera.functions.text import bounded_value, is_json
@@ -21,7 +22,7 @@ SAMPLES, SAMPLE_BYTES = 200, 8 << 20
 NODE = "node_id int, parent int, kind string, key string, index int, occurrence int, start long, end long, path string, lexeme string, value string, children int"
 
 
-@F.pandas_udf("code string, at long")
+@F.pandas_udf(T.StructType([T.StructField("code", T.StringType()), T.StructField("at", T.LongType())]))
 def strict_error(values: pd.Series) -> pd.DataFrame:
     """The first error of each text; nulls where it is valid."""
 
