@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions.stats import EPSILON
 
-W = F.col("weight")
-DIAGONAL = F.col("q") == F.col("k")
+W = "weight"
+
+
+def diagonal_cell():
+    return F.col("q") == F.col("k")
 
 
 def ratio(a, b):
@@ -22,7 +25,7 @@ def mean_pattern(att: DataFrame) -> DataFrame:
 def row_entropies(att: DataFrame) -> DataFrame:
     """The entropy of each row of weights over k; a second pass over the grouped rows gives the sum that makes them add to 1."""
     row = ["layer", "batch", "head", "q"]
-    p = W + EPSILON
+    p = F.col(W) + EPSILON
     # -sum(p/s ln(p/s)) = ln s - sum(p ln p) / s, in one aggregation.
     got = att.groupBy(*row).agg(F.sum(p).alias("s"), F.sum(p * F.log(p)).alias("t"))
     return got.select(*row, (F.log("s") - F.col("t") / F.col("s")).alias("entropy"))
@@ -40,19 +43,19 @@ def entropy_distribution(att: DataFrame) -> DataFrame:
 
 def sparsity(att: DataFrame, threshold: float = 0.1) -> DataFrame:
     share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0).cast("double"))
-    return att.groupBy("layer").agg(share(W < F.lit(threshold)).alias("below"), share(W > F.lit(threshold)).alias("above"))
+    return att.groupBy("layer").agg(share(F.col(W) < F.lit(threshold)).alias("below"), share(F.col(W) > F.lit(threshold)).alias("above"))
 
 
 def diagonal(att: DataFrame) -> DataFrame:
     """Both measures of dominance: over all weights, and over those off the diagonal (infinite where these are none)."""
-    own, off = F.when(DIAGONAL, W), F.when(~DIAGONAL, W)
+    own, off = F.when(diagonal_cell(), F.col(W)), F.when(~diagonal_cell(), F.col(W))
     got = att.groupBy("layer").agg(F.avg(own).alias("mean"), F.stddev_pop(own).alias("std"), F.avg(W).alias("of_all"), F.avg(off).alias("off"))
     infinite = F.when(F.coalesce("off", F.lit(0.0)) > 0, F.col("mean") / F.col("off")).otherwise(F.lit(float("inf")))
     return got.select("layer", "mean", "std", ratio(F.col("mean"), F.col("of_all")).alias("dominance_vs_all"), infinite.alias("dominance_vs_offdiag"))
 
 
 def locality(att: DataFrame, reach: int = 2) -> DataFrame:
-    near = F.sum(F.when(F.abs(F.col("q") - F.col("k")) <= reach, W).otherwise(0.0))
+    near = F.sum(F.when(F.abs(F.col("q") - F.col("k")) <= reach, F.col(W)).otherwise(0.0))
     return att.groupBy("layer").agg(ratio(near, F.sum(W)).alias("locality"))
 
 
@@ -69,4 +72,4 @@ def token_attribution(att: DataFrame) -> DataFrame:
     ends = F.explode(F.array(F.struct(F.col("q").alias("position"), F.lit(True).alias("row")), F.struct(F.col("k").alias("position"), F.lit(False).alias("row"))))
     long = mean_pattern(att).select("layer", "q", "k", "weight", ends.alias("e"))
     at = F.col("e.position")
-    return long.groupBy("layer", at.alias("position")).agg(F.sum(F.when(DIAGONAL & F.col("e.row"), W).otherwise(0.0)).alias("itself"), F.sum(F.when(~F.col("e.row"), W).otherwise(0.0)).alias("incoming"), F.sum(F.when(F.col("e.row"), W).otherwise(0.0)).alias("outgoing"))
+    return long.groupBy("layer", at.alias("position")).agg(F.sum(F.when(diagonal_cell() & F.col("e.row"), F.col(W)).otherwise(0.0)).alias("itself"), F.sum(F.when(~F.col("e.row"), F.col(W)).otherwise(0.0)).alias("incoming"), F.sum(F.when(F.col("e.row"), F.col(W)).otherwise(0.0)).alias("outgoing"))

@@ -6,14 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def late_by(events: DataFrame, at: str, late: str) -> DataFrame:
+    """A stream with its watermark; a table as it is."""
+    return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late) if events.isStreaming else events
+
+
 def windowed_counts(events: DataFrame, at: str, by: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts by window of event time; rows later than ``late`` behind the latest are left out. Works on streams and tables."""
-    own = events.withWatermark(at, late) if events.isStreaming else events
+    own = late_by(events, at, late)
     return own.groupBy(F.window(at, width).alias("w"), by).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), by, "n", "total")
 
 
 def sessions(events: DataFrame, at: str, by: str, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
-    own = events.withWatermark(at, late) if events.isStreaming else events
+    own = late_by(events, at, late)
     return own.groupBy(F.session_window(at, gap).alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n")
 
 
