@@ -154,3 +154,30 @@ def event_verdict(df: DataFrame, key: str, json: str) -> DataFrame:
     typed = share("type", 70) & (share("time", 40) | (share("grouping", 50) & share("repeated", 50, "grouping")) | share("sequence", 40))
     timed = share("time", 70) & share("grouping", 70) & share("repeated", 50, "grouping")
     return n.withColumn("is_event_stream", (F.col("n") >= 10) & (typed | timed))
+
+
+def nested_scopes(df: DataFrame, key: str, text: str, depth: int = 5, most: int = 2 << 20) -> DataFrame:
+    """key, depth, path, text of the JSON containers that strings of JSON hold, level by level down to ``depth``."""
+    if not 1 <= depth <= 10:
+        raise ValueError("depth is 1 to 10")
+    level = df.select(key, F.lit(0).alias("depth"), F.lit("$").alias("path"), F.col(text).alias("text"))
+    out = None
+    for k in range(1, depth + 1):
+        own = F.struct(key, "path").alias("id")
+        strings = json_nodes(level.select(F.to_json(own).alias("id"), "text"), "id", "text").where("kind = 'String'").where(F.rlike("value", F.lit(r"^\s*[{\[]")) & (F.octet_length("value") <= most))
+        kind = dict(df.select(key).dtypes)[key]
+        id_ = F.from_json("id", f"{key} {kind}, path string")
+        level = strings.select(id_.alias("i"), "path", "value").select(F.col(f"i.{key}").alias(key), F.lit(k).alias("depth"), F.concat(F.col("i.path"), F.lit(" → "), F.col("path")).alias("path"), F.col("value").alias("text"))
+        level = level.where(strict_error(F.col("text"))["code"].isNull())
+        out = level if out is None else out.union(level)
+    return out
+
+
+def text_chunk(s: Column, offset: int, size: int, most: int = 128 << 10) -> Column:
+    """The bytes of a text from an offset on, at most ``size``, cut back to a whole character, and where the next begin."""
+    raw = F.substring(F.encode(s, "UTF-8"), offset + 1, min(size, most))
+    # At the end at most three bytes of a character that is cut belong to the next chunk.
+    options = [F.substring(raw, F.lit(1), F.octet_length(raw) - k) for k in range(4)]
+    text = F.coalesce(*(F.try_validate_utf8(o.cast("string")) for o in options))
+    end = F.lit(offset) + F.octet_length(text)
+    return F.struct(text.alias("text"), F.when(end < F.octet_length(s), end).alias("next"))
