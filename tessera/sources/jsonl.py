@@ -15,17 +15,17 @@ SAMPLE_LINES, SAMPLE_BYTES = 200, 8 << 20
 def entries(spark: SparkSession, path: str) -> DataFrame:
     """file, source_line (from 1), ordinal (from 0, blank lines left out), raw (binary) of each entry.
 
-    Lines are numbered by two passes: counts by split, then an offset for each split. No file's lines meet in one
-    task; what is windowed over is one row a split.
+    Rows of a split are read in order by one task, so their running ids, before and after blank lines are dropped, less
+    the split's first ones are their places in it. What is shuffled is a row a split; the lines stay where they are.
     """
-    text = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"), F.col("value"))
-    blank = F.rlike("value", F.lit(r"^[ \t\r]*$"))
-    counts = text.groupBy("file", "block").agg(F.count("*").alias("n"), F.count_if(~blank).alias("n_full"), F.min("at").alias("first"))
+    text = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    full = text.where(~F.rlike("value", F.lit(r"^[ \t\r]*$"))).withColumn("full_at", F.monotonically_increasing_id())
+    lines = text.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    entries_ = full.groupBy("file", "block").agg(F.count("*").alias("n_full"), F.min("full_at").alias("first_full"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lines"), F.coalesce(F.sum("n_full").over(before), F.lit(0)).alias("full"))
-    own = Window.partitionBy("file", "block").orderBy("at")
-    numbered = text.withColumn("line", F.row_number().over(own)).withColumn("nth", F.sum(F.when(blank, 0).otherwise(1)).over(own)).where(~blank)
-    return numbered.join(offsets, ["file", "block"]).select("file", (F.col("lines") + F.col("line")).alias("source_line"), (F.col("full") + F.col("nth") - 1).alias("ordinal"), F.regexp_replace("value", "\r$", "").cast("binary").alias("raw"))
+    offsets = lines.join(entries_, ["file", "block"], "left").select("file", "block", "first", "first_full", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lines"), F.coalesce(F.sum("n_full").over(before), F.lit(0)).alias("full"))
+    both = full.join(offsets, ["file", "block"])
+    return both.select("file", (F.col("lines") + F.col("at") - F.col("first") + 1).alias("source_line"), (F.col("full") + F.col("full_at") - F.col("first_full")).alias("ordinal"), F.regexp_replace("value", "\r$", "").cast("binary").alias("raw"))
 
 
 def page(df: DataFrame, after: int = -1, limit: int = 200) -> DataFrame:

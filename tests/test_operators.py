@@ -260,6 +260,20 @@ def test_jsonl(spark, tmp_path):
     assert [r.ordinal for r in jsonl.page(jsonl.entries(spark, str(tmp_path)), 0, 1).collect()] == [1]
 
 
+def test_jsonl_over_splits(spark, tmp_path):
+    lines = ["" if k % 5 == 0 else json.dumps({"k": k}) for k in range(4000)]
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        got = jsonl.entries(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = [(k + 1, n, lines[k].encode()) for n, k in enumerate(k for k in range(4000) if lines[k])]
+    assert sorted((r.source_line, r.ordinal, bytes(r.raw)) for r in got if "a.jsonl" in r.file) == want
+    assert len(got) == 2 * len(want)
+
+
 def test_routes(spark):
     rows = [("a.json", b"[1]", "Collection"), ("b.json", b"{}", "Document"), ("c.jsonl", b"{}", "Entry"), ("d.gz", b"x", "Unsupported"), ("e.txt", b"{}\n{}\n", "Entry"), ("f.txt", b"{}", "Document"), ("g.txt", b"words\nmore", "Unsupported"), ("h.json", b"\xff\xfe{\0", "Unsupported")]
     df = spark.createDataFrame([(p, bytearray(c), w) for p, c, w in rows], "path string, content binary, want string")
