@@ -25,8 +25,8 @@ from tessera.llm.common import bounded, chunks, documents, mixed, parts, utf8, w
 LENGTH, ANCHOR = 50, 12
 WINDOW = LENGTH - ANCHOR + 1
 BATCHES = 8
-#: Bytes of text that are anchored at once.
-CHUNK = 4 << 20
+#: Bytes of text that are anchored at once; parts of a partition, gone through one after the other, so that only one is in memory.
+CHUNK, INNER = 2 << 20, 16
 #: Stands for a null identifier, after all others.
 LAST = 2**63 - 1
 ODD = 0x9E3779B97F4A7C15
@@ -233,23 +233,23 @@ def packed_spans(keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int)
 
 def spans(docs: DataFrame) -> DataFrame:
     """key, spans of each document that has repeated bytes: its maximal removed runs, packed."""
-    n = 3 * parts(docs.sparkSession)
+    n = parts(docs.sparkSession)
 
     def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got, _ in chunks(batches, CHUNK):
             ids, keys = np.array(got["doc_id"], np.int64), np.array(got["key"], np.int64)
-            out, (own, start, end) = stretches(got["text"], ids, keys, n)
+            out, (own, start, end) = stretches(got["text"], ids, keys, n * INNER)
             yield rows_of([k for k, _ in out], [b"s" + p for _, p in out])
             if len(own):
                 direct = packed_spans(keys[own], start, end, n)
-                yield rows_of(direct.column(0).to_pylist(), [b"d" + p for p in direct.column(1).to_pylist()])
+                yield rows_of([k * INNER for k in direct.column(0).to_pylist()], [b"d" + p for p in direct.column(1).to_pylist()])
 
     def of_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[int, list[bytes]] = {}
         for batch in batches:
             for part, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if payload[:1] == b"d":
-                    yield rows_of([part], [payload[1:]])
+                    yield rows_of([part // INNER], [payload[1:]])
                 else:
                     own.setdefault(part, []).append(payload[1:])
         for part in sorted(own):
@@ -266,7 +266,7 @@ def spans(docs: DataFrame) -> DataFrame:
 
     text = utf8("text")
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("key"), text.alias("text"))
-    sent = own.mapInArrow(of_texts, PACKED).repartitionById(n, "part").mapInArrow(of_stretches, PACKED)
+    sent = own.mapInArrow(of_texts, PACKED).repartitionById(n, F.floor(F.col("part") / INNER).cast("int")).mapInArrow(of_stretches, PACKED)
     return gathered(sent, n, of_spans, "key long, spans binary")
 
 
