@@ -12,15 +12,17 @@ suffixes are ordered by a 64-bit print of them, and bytes are compared on every
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.blobs import PACKED, dealt, gathered, packed, rows_of, unpacked
-from tessera.llm.common import bounded, chunks, documents, mixed, parts, utf8, written
+from tessera.llm.common import bounded, chunks, documents, give_back, mixed, parts, utf8, written
 
 LENGTH, ANCHOR = 50, 12
 WINDOW = LENGTH - ANCHOR + 1
@@ -33,6 +35,10 @@ ODD = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def by_id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers, modulo 2**64, of an odd number and of its inverse."""
     if len(_POWERS[0]) < n:
@@ -101,8 +107,28 @@ def runs(flags: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.append(at[np.flatnonzero(new)[1:] - 1], at[-1])
 
 
-def stretches(texts: list[bytes], ids: np.ndarray, keys: np.ndarray, n: int) -> tuple[list[tuple[int, bytes]], tuple]:
-    """Packed stretches by partition, and the spans (document's number, start, end) found repeated at once.
+def segments(texts: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """(pieces of texts, each one's text, where it begins there) of CHUNK bytes or so together.
+
+    A long text is cut into pieces that overlap by 49 bytes, so that each string of 50 bytes is in just one.
+    """
+    some, own, base, held = [], [], [], 0
+    for k, text in enumerate(texts):
+        for at in range(0, max(len(text) - LENGTH + 1, 1), CHUNK):
+            piece = text[at : at + CHUNK + LENGTH - 1]
+            some.append(piece)
+            own.append(k)
+            base.append(at)
+            held += len(piece)
+            if held >= CHUNK:
+                yield some, np.array(own), np.array(base)
+                some, own, base, held = [], [], [], 0
+    if some:
+        yield some, np.array(own), np.array(base)
+
+
+def stretches(texts: list[bytes], ids: np.ndarray, keys: np.ndarray, base: np.ndarray, n: int) -> tuple[list[tuple[int, bytes]], tuple]:
+    """Packed stretches by partition, and the spans (piece's number, start, end) found repeated at once.
 
     Of equal stretches in these texts only those of the smallest document are shipped: what repeats them in larger
     documents is known to be repeated. So a passage that every document has is one stretch a call.
@@ -129,19 +155,37 @@ def stretches(texts: list[bytes], ids: np.ndarray, keys: np.ndarray, n: int) ->
     least = ids[own][order][np.flatnonzero(np.concatenate([[True], np.diff(group) > 0]))][group]
     again = np.zeros(len(own), bool)
     again[order] = ids[own][order] > least
-    where = first - begins[own]
+    where = first - begins[own] + base[own]
     found = own[again], where[again], (where + size)[again]
     keep = np.flatnonzero(~again)
-    part = (mixed(hashes[anchor[new]]) % np.uint64(n)).astype(np.int64)[keep]
+    part = (mixed(hashes[anchor[new]]) % np.uint64(n * INNER)).astype(np.int64)[keep]
     out = []
-    for k, mine in dealt(part, n):
+    for k, mine in dealt(part // INNER, n):
+        mine = mine[np.argsort(part[mine], kind="stable")]
+        inner = np.bincount(part[mine] % INNER, minlength=INNER)
         mine = keep[mine]
         docs, number = np.unique(own[mine], return_inverse=True)
-        body = text[ranges(first[mine], size[mine])].tobytes()
-        out.append((k, packed(ids[docs], keys[docs], number.astype(np.uint32), where[mine].astype(np.uint32), size[mine].astype(np.uint32), body)))
+        numbers = packed(np.diff(ids[docs], prepend=0), keys[docs], inner, narrow(number), narrow(where[mine]), narrow(size[mine]))
+        body = zstandard.ZstdCompressor(level=6).compress(text[ranges(first[mine], size[mine])].tobytes())
+        out.append((k, pickle.dumps((numbers, body), protocol=5)))
     return out, found
 
 
+def opened(payload: bytes) -> Iterator[tuple[int, tuple]]:
+    """(part of the partition, (ids, keys, number, where, size, text)) of what ``stretches`` packed."""
+    numbers, body = pickle.loads(payload)
+    ids, keys, inner, number, where, size = unpacked(numbers)
+    ids, text = np.cumsum(ids), zstandard.ZstdDecompressor().decompress(body)
+    records, places = np.append(0, np.cumsum(inner)), np.append(0, np.cumsum(size, dtype=np.int64))
+    for k in np.flatnonzero(inner):
+        a, b = records[k], records[k + 1]
+        yield int(k), (ids, keys, number[a:b], where[a:b], size[a:b], text[places[a] : places[b]])
+
+
+def narrow(values: np.ndarray) -> np.ndarray:
+    return values.astype(np.min_scalar_type(int(values.max())))
+
+
 class Levels:
     """Sorted arrays of suffix prints with the place of each suffix; sizes grow geometrically."""
 
@@ -177,7 +221,7 @@ class Levels:
 
 
 def repeated(payloads: list[tuple]) -> Iterator[tuple]:
-    """(keys, starts, ends) of the spans of one partition's stretches that a smaller document has too."""
+    """(ids, keys, starts, ends) of the spans that a smaller document has too, of stretches whose anchors share a part of a partition."""
     ids = np.concatenate([p[0] for p in payloads])
     keys = np.concatenate([p[1] for p in payloads])
     base = np.cumsum([0, *(len(p[0]) for p in payloads)])
@@ -214,7 +258,7 @@ def repeated(payloads: list[tuple]) -> Iterator[tuple]:
         flags[array] = hit
         a, b = runs(flags, np.concatenate([[True], record[1:] != record[:-1]]))
         rec = batch[record[a]]
-        yield keys[own[rec]], where[rec] + place[a] - first[rec], where[rec] + place[b] - first[rec] + LENGTH
+        yield doc[rec], keys[own[rec]], where[rec] + place[a] - first[rec], where[rec] + place[b] - first[rec] + LENGTH
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,49 +269,56 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[new], ends[np.append(new[1:], len(ends)) - 1]
 
 
-def packed_spans(keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> pa.RecordBatch:
-    part = (mixed(keys.view(np.uint64)) % np.uint64(n)).astype(np.int64)
-    own = [(k, packed(keys[at], starts[at], ends[at])) for k, at in dealt(part, n)]
+def packed_spans(ids: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> pa.RecordBatch:
+    part = (mixed(ids.view(np.uint64)) % np.uint64(n)).astype(np.int64)
+    own = [(k, packed(ids[at], keys[at], starts[at], ends[at])) for k, at in dealt(part, n)]
     return rows_of([k for k, _ in own], [p for _, p in own])
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """key, spans of each document that has repeated bytes: its maximal removed runs, packed."""
+    """id, key, spans of each document that has repeated bytes: its maximal removed runs, packed. The key tells rows of one id apart."""
     n = parts(docs.sparkSession)
 
     def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got, _ in chunks(batches, CHUNK):
-            ids, keys = np.array(got["doc_id"], np.int64), np.array(got["key"], np.int64)
-            out, (own, start, end) = stretches(got["text"], ids, keys, n * INNER)
-            yield rows_of([k for k, _ in out], [b"s" + p for _, p in out])
-            if len(own):
-                direct = packed_spans(keys[own], start, end, n)
-                yield rows_of([k * INNER for k in direct.column(0).to_pylist()], [b"d" + p for p in direct.column(1).to_pylist()])
+            ids, keys = np.array(got["doc_id"], np.int64), np.array(got["key"], np.int32)
+            for pieces, text, base in segments(got["text"]):
+                out, (own, start, end) = stretches(pieces, ids[text], keys[text], base, n)
+                yield rows_of([k for k, _ in out], [b"s" + p for _, p in out])
+                if len(own):
+                    direct = packed_spans(ids[text[own]], keys[text[own]], start, end, n)
+                    yield rows_of(direct.column(0).to_pylist(), [b"d" + p for p in direct.column(1).to_pylist()])
 
     def of_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[int, list[bytes]] = {}
         for batch in batches:
             for part, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if payload[:1] == b"d":
-                    yield rows_of([part // INNER], [payload[1:]])
+                    yield rows_of([part], [payload[1:]])
                 else:
                     own.setdefault(part, []).append(payload[1:])
         for part in sorted(own):
-            found = [*repeated([unpacked(p) for p in own.pop(part)])]
-            yield packed_spans(*(np.concatenate([f[k] for f in found]) for k in range(3)), n)
+            inner: dict[int, list[tuple]] = {}
+            for payload in own.pop(part):
+                for k, each in opened(payload):
+                    inner.setdefault(k, []).append(each)
+            while inner:
+                found = [*repeated(inner.popitem()[1])]
+                yield packed_spans(*(np.concatenate([f[k] for f in found]) for k in range(4)), n)
+        give_back()
 
     def of_spans(payloads: list[tuple]) -> Iterator[pa.RecordBatch]:
-        keys, starts, ends = (np.concatenate([p[k] for p in payloads]) for k in range(3))
-        order = np.argsort(keys, kind="stable")
-        keys, starts, ends = keys[order], starts[order], ends[order]
-        heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else []
-        out = [np.stack(merged(s, e)).tobytes() for s, e in zip(np.split(starts, heads[1:]), np.split(ends, heads[1:]), strict=True)] if len(keys) else []
-        yield pa.RecordBatch.from_arrays([pa.array(keys[heads] if len(keys) else [], pa.int64()), pa.array(out, pa.binary())], names=["key", "spans"])
+        ids, keys, starts, ends = (np.concatenate([p[k] for p in payloads]) for k in range(4))
+        order = np.lexsort((keys, ids))
+        ids, keys, starts, ends = ids[order], keys[order], starts[order], ends[order]
+        heads = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])])[: len(ids)])
+        out = [np.stack(merged(s, e)).tobytes() for s, e in zip(np.split(starts, heads[1:]), np.split(ends, heads[1:]), strict=True)] if len(heads) else []
+        yield pa.RecordBatch.from_arrays([pa.array(ids[heads], pa.int64()), pa.array(keys[heads], pa.int32()), pa.array(out, pa.binary())], names=["id", "key", "spans"])
 
     text = utf8("text")
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("key"), text.alias("text"))
-    sent = own.mapInArrow(of_texts, PACKED).repartitionById(n, F.floor(F.col("part") / INNER).cast("int")).mapInArrow(of_stretches, PACKED)
-    return gathered(sent, n, of_spans, "key long, spans binary")
+    own = docs.select(by_id().alias("doc_id"), F.hash(text).alias("key"), text.alias("text"))
+    sent = own.mapInArrow(of_texts, PACKED).repartitionById(n, "part").mapInArrow(of_stretches, PACKED)
+    return gathered(sent, n, of_spans, "id long, key int, spans binary")
 
 
 def without_repeats(docs: DataFrame, text_too: bool = False) -> DataFrame:
@@ -294,8 +345,8 @@ def without_repeats(docs: DataFrame, text_too: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols[:n], kinds[:n], strict=True)], names=names[:n])
 
     text = utf8("text")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("key"))
-    both = keyed.join(bounded(found, 200_000), "key", "left").select("doc_id", "text", "spans")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), by_id().alias("id"), F.hash(text).alias("key"))
+    both = keyed.join(bounded(found, 200_000), ["id", "key"], "left").select("doc_id", "text", "spans")
     return both.mapInArrow(of, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text binary" * text_too)
 
 

@@ -288,6 +288,13 @@ def test_superminhash_estimates_similarity():
     assert sorted(np.floor(one).astype(int)) == list(range(64))
 
 
+def test_superminhash_of_a_long_set(monkeypatch):
+    values = np.random.default_rng(2).integers(0, 2**63, 1000).astype(np.uint64)
+    whole = near_dedup.superminhash(values, np.zeros(1000, np.int64), 1, 64)
+    monkeypatch.setattr(near_dedup, "ELEMENTS", 300)
+    assert (near_dedup.superminhash(values, np.zeros(1000, np.int64), 1, 64) == whole).all()
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(1000 + i, 1001 + i) for i in range(40)]
@@ -350,7 +357,7 @@ def suffix_brute(rows):
     return out
 
 
-@pytest.mark.parametrize("chunk", [suffix_dedup.CHUNK, 500])
+@pytest.mark.parametrize("chunk", [suffix_dedup.CHUNK, 500, 97])
 def test_suffix_dedup(docs, chunk, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
     got = suffix_dedup.without_repeats(docs).collect()
