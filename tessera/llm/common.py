@@ -6,6 +6,7 @@ Words are the maximal runs of bytes outside ``[\\x20\\x09-\\x0D]``, which is wha
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries a worker's memo of words holds before it is emptied; words longer than LONG_WORD aren't kept.
-MEMO_ENTRIES, LONG_WORD = 400_000, 64
+MEMO_ENTRIES, LONG_WORD = 200_000, 64
 #: A side of a join is broadcast only if it has at most this many rows; beyond that Spark joins by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -146,6 +147,23 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def give_back(*known: dict) -> None:
+    """At the end of a task: forgets the words that a worker knows and hands its memory back to the system, as workers outlive their tasks."""
+    for words in (HASHES, *known):
+        words.clear()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``size`` bytes of a column, and memory given back at the end."""
+    for batch in batches:
+        step = max(1, int(batch.num_rows * size / max(batch.column(column).nbytes, 1)))
+        yield from (batch.slice(at, step) for at in range(0, batch.num_rows, step))
+    give_back()
+
+
 def chunks(batches: Iterator, size: int = 32 << 20, column: str = "text") -> Iterator[tuple[dict[str, list], int]]:
     """The rows of Arrow batches as lists by column, gathered until ``size`` bytes of ``column`` are there."""
     rows: dict[str, list] = {}
@@ -163,6 +181,7 @@ def chunks(batches: Iterator, size: int = 32 << 20, column: str = "text") -> Ite
                 rows, held = {}, 0
     if rows and next(iter(rows.values())):
         yield rows, held
+    give_back()
 
 
 def tokenizer_file(name: str) -> str:

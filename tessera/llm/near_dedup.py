@@ -34,6 +34,8 @@ def superminhash(values: np.ndarray, owner: np.ndarray, n: int, slots: int) -> n
     an element are so spread over the slots that a signature varies less than with independent ranks. A set
     is done once no slot holds more than j+1: later steps can't lower any.
     """
+    if n == 1 and len(values) > ELEMENTS:  # one long text, a part at a time: a signature is the least over its elements
+        return np.minimum.reduce([superminhash(v, np.zeros(len(v), np.int64), 1, slots) for v in np.array_split(values, -(-len(values) // ELEMENTS))])
     out = np.full((n, slots), float(slots + 1))
     perm = np.tile(np.arange(slots, dtype=np.uint16), (len(values), 1))
     at = np.arange(len(values))

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, tokenizer_file
+from tessera.llm.common import documents, give_back, slices, tokenizer_file
 
 #: Documents that one packer places at a time. It searches its own remaining pieces for each place, so work a document is bounded.
 BUCKET_DOCS = 1536
@@ -23,8 +23,10 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: Chunks that the vocabulary's rules lower-case letter by letter and leave as they are otherwise, and how its pattern cuts them.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 CUTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Bytes of text that are split at once.
+SLICE = 6 << 20
 #: Cuts a worker remembers before it forgets them all.
-CUTS_KEPT = 600_000
+CUTS_KEPT = 150_000
 _TOKENIZERS: dict[str, tuple] = {}
 
 
@@ -61,6 +63,11 @@ def chunk_ids(chunks: list[str], file: str) -> list[bytes]:
     return [b"".join(map(known.__getitem__, each)) if p else whole(each[0]) for each, p in zip(cuts, plain, strict=True)]
 
 
+def forget() -> None:
+    """A function of the module, as what Spark ships of a closure has no part in the worker's own tables."""
+    give_back(*(t[3] for t in _TOKENIZERS.values()))
+
+
 def cut(total: int, most: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: full sequences from its start, then the rest."""
     return [(at, min(most, total - at)) for at in range(0, total, most)]
@@ -99,7 +106,7 @@ def place(demand: np.ndarray, limits: np.ndarray) -> np.ndarray:
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, most: int, loss: Column | None, buckets: int) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches, 1, SLICE):
             split = pc.split_pattern(pc.replace_substring(pc.fill_null(batch.column(1), ""), "\n", " "), " ")
             chunks = split.flatten().dictionary_encode()
             ids = chunk_ids(chunks.dictionary.to_pylist(), tokenizer)
@@ -114,6 +121,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, most: int, loss: Column
                     rows.append((doc, start, n, zlib.crc32(own[4 * start : 4 * (start + n)]), total, lossy, bucket))
             names = [c.split()[0] for c in PIECES.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * len(names))], names=names)
+        forget()
 
     at = F.pmod(F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit(""))), F.lit(buckets))
     return docs.select(F.col("doc_id").cast("long"), "text", (F.lit(None).cast("boolean") if loss is None else loss).alias("loss"), at.alias("bucket")).mapInArrow(of, PIECES)

@@ -3,19 +3,26 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import HASHES, Memo, documents, fresh, tokenizer_file, utf8, window_hashes
+from tessera.llm.common import documents, fresh, give_back, split_words, tokenizer_file, utf8, window_hashes
 
 SYMBOLS, BLANKS = b"#*$%&|<>", b" \t\n\r\x0b\x0c"
 #: Bytes that aren't the first of a code point.
 FOLLOWING = bytes(range(0x80, 0xC0))
 REPEAT = 5
+#: Bytes of text whose words are looked up together.
+SLICE = 4 << 20
+#: Words that a worker remembers before it forgets them all.
+WORDS_KEPT = 150_000
 #: Scripts by the Unicode blocks of their letters; the first with most letters is a text's script.
 SCRIPTS = {
     "latin": "A-Za-zÀ-ɏḀ-ỿ",
@@ -28,6 +35,7 @@ SCRIPTS = {
     "hangul": "ᄀ-ᇿ가-힯",
     "han": "぀-ヿ㐀-䶿一-鿿",
 }
+BEYOND_LATIN = re.compile("[^\x00-ɏ]")
 LETTERS = {name: re.compile(f"[{chars}]") for name, chars in SCRIPTS.items()}
 #: By script: least and most characters a token in the piece vocabulary, least ratio of the byte-level vocabulary's
 #: characters a token to it, most share of byte-fallback tokens, least entropy of the tokens as a share of the most
@@ -49,8 +57,8 @@ FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 _VOCABULARIES: dict[tuple[str, str], tuple] = {}
 
 
-def vocabularies(pieces: str, ranks: str) -> tuple[Memo, np.ndarray, Memo]:
-    """(a word's ids in the piece vocabulary as unsigned 32-bit bytes, which ids are fallback bytes, a word's number of tokens in the byte-level vocabulary)."""
+def looked_up(words: list[bytes], pieces: str, ranks: str) -> list[tuple[int, bytes, int]]:
+    """Of each word: a 64-bit hash, its ids in the piece vocabulary as unsigned 32-bit bytes, its number of tokens in the byte-level one."""
     if (pieces, ranks) not in _VOCABULARIES:
         import base64
 
@@ -62,10 +70,28 @@ def vocabularies(pieces: str, ranks: str) -> tuple[Memo, np.ndarray, Memo]:
         with open(tokenizer_file(ranks), "rb") as f:
             merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
-        ids = Memo(lambda w: np.array(own.encode(w.decode("utf-8", "replace")), "<u4").tobytes(), 200_000)
-        counts = Memo(lambda w: len(other.encode_ordinary(" " + w.decode("utf-8", "replace"))), 200_000)
-        _VOCABULARIES[pieces, ranks] = ids, np.array([own.is_byte(i) for i in range(own.vocab_size())]), counts
-    return _VOCABULARIES[pieces, ranks]
+        _VOCABULARIES[pieces, ranks] = own, other, {}
+    own, other, known = _VOCABULARIES[pieces, ranks]
+    if len(known) > WORDS_KEPT:
+        known.clear()
+    new = [w for w in words if w not in known]
+    said = [w.decode("utf-8", "replace") for w in new]
+    ids = (array("I", x).tobytes() for x in own.encode(said, num_threads=1)) if said else ()
+    found = zip(new, map(xxhash.xxh64_intdigest, new), ids, (len(other.encode_ordinary(" " + w)) for w in said), strict=True)
+    known.update((w, (h, i, n)) for w, h, i, n in found)
+    return [known[w] for w in words]
+
+
+def forget() -> None:
+    """A function of the module, as what Spark ships of a closure has no part in the worker's own tables."""
+    give_back(*(v[2] for v in _VOCABULARIES.values()))
+
+
+def byte_pieces(pieces: str, ranks: str) -> np.ndarray:
+    """Which ids of the piece vocabulary stand for single bytes that no piece has."""
+    looked_up([], pieces, ranks)
+    own = _VOCABULARIES[pieces, ranks][0]
+    return np.array([own.is_byte(i) for i in range(own.vocab_size())])
 
 
 def duplicate_lines(text: bytes) -> int:
@@ -90,6 +116,8 @@ def script_of(text: bytes) -> str:
     if text.isascii():
         return "latin" if LETTERS["latin"].search(text.decode()) else "none"
     chars = text.decode("utf-8", "replace")
+    if not BEYOND_LATIN.search(chars):
+        return "latin" if LETTERS["latin"].search(chars) else "none"
     count = {name: len(letters.findall(chars)) for name, letters in LETTERS.items() if letters.search(chars)}
     return max(count, key=count.get) if count else "none"
 
@@ -106,16 +134,22 @@ def entropy_share(ids: np.ndarray) -> float:
 def measured(pieces: str, ranks: str, bands: dict[str, tuple]) -> Column:
     """A struct column of FIELDS over a binary column."""
 
-    def measure(text: bytes) -> tuple:
-        ids_of, is_byte, other_of = vocabularies(pieces, ranks)
-        words = text.split()
-        n = len(words)
+    def measured_words(texts: list[bytes]) -> Iterator[tuple]:
+        """Each text with its words' hashes, ids and number of tokens of the other vocabulary; a distinct word is looked up once."""
+        at, own, words = split_words(pa.array(texts, pa.binary()))
+        found = looked_up(words, pieces, ranks)
+        hashes, others = (np.fromiter((f[k] for f in found), kind, len(found)) for k, kind in ((0, np.uint64), (2, np.int64)))
+        ids = [f[1] for f in found]
+        for k, text in enumerate(texts):
+            mine = own[at[k] : at[k + 1]]
+            yield text, hashes[mine], np.frombuffer(b"".join(map(ids.__getitem__, mine.tolist())), "<u4"), int(others[mine].sum())
+
+    def measure(is_byte: np.ndarray, text: bytes, hashes: np.ndarray, ids: np.ndarray, other: int) -> tuple:
+        n = len(hashes)
         chars = len(text.translate(None, BLANKS + FOLLOWING))
         symbols = len(text) - len(text.translate(None, SYMBOLS))
-        repeated = repeated_words(np.fromiter(map(HASHES.__getitem__, words), np.uint64, n))
+        repeated = repeated_words(hashes)
         failed = n < 10 or 100 * repeated > 20 * n
-        ids = np.frombuffer(b"".join(map(ids_of.__getitem__, words)), "<u4")
-        other = sum(map(other_of.__getitem__, words))
         script = script_of(text)
         rate, rate_other = (chars / len(ids) if len(ids) else 0.0), (chars / other if other else 0.0)
         share, spread = (float(is_byte[ids].mean()) if len(ids) else 0.0), entropy_share(ids)
@@ -126,8 +160,18 @@ def measured(pieces: str, ranks: str, bands: dict[str, tuple]) -> Column:
     @F.pandas_udf(FIELDS)
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         names = [f.split()[0] for f in FIELDS.split(", ")]
-        for own in texts:
-            yield pd.DataFrame([measure(t or b"") for t in own], columns=names)
+        is_byte = byte_pieces(pieces, ranks)
+        for series in texts:
+            rows, some, held = [], [], 0
+            for text in (*(t or b"" for t in series), None):
+                if some and (text is None or held >= SLICE):
+                    rows += [measure(is_byte, *own) for own in measured_words(some)]
+                    some, held = [], 0
+                if text is not None:
+                    some.append(text)
+                    held += len(text)
+            yield pd.DataFrame(rows, columns=names)
+        forget()
 
     return of.asNondeterministic()  # so that it runs once where both a filter and a projection need it
 
