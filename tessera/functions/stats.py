@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +11,11 @@ EPSILON = 1e-12
 TEMPERATURE = 1.5
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of`` over a value that is computed once: what a lambda has from outside it would be computed anew for each element."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
@@ -20,7 +25,7 @@ def mean(values: Column) -> Column:
 
 
 def squares(values: Column, center: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + (x - center) * (x - center))
+    return let(center, lambda c: F.aggregate(values, F.lit(0.0), lambda acc, x: acc + (x - c) * (x - c)))
 
 
 def std_pop(values: Column) -> Column:
@@ -41,26 +46,21 @@ def norm2(values: Column) -> Column:
 
 def exponentials(logits: Column, temperature: float = 1.0) -> Column:
     scaled = F.transform(logits, lambda x: x / F.lit(temperature)) if temperature != 1.0 else logits
-    top = F.array_max(scaled)
-    return F.transform(scaled, lambda x: F.exp(x - top))
+    return let(scaled, lambda s: let(F.array_max(s), lambda top: F.transform(s, lambda x: F.exp(x - top))))
 
 
 def softmax(logits: Column, temperature: float = 1.0) -> Column:
-    e = exponentials(logits, temperature)
-    s = total(e)
-    return F.transform(e, lambda x: x / s)
+    return let(exponentials(logits, temperature), lambda e: let(total(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
 def logsumexp(logits: Column) -> Column:
-    top = F.array_max(logits)
-    return top + F.log(total(F.transform(logits, lambda x: F.exp(x - top))))
+    return let(F.array_max(logits), lambda top: top + F.log(F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))))
 
 
 def entropy(probs: Column) -> Column:
     """In nats, of the probabilities with EPSILON added and their sum made 1 again."""
     shifted = F.transform(probs, lambda p: p + EPSILON)
-    s = total(shifted)
-    return -F.aggregate(shifted, F.lit(0.0), lambda acc, p: acc + p / s * F.log(p / s))
+    return let(shifted, lambda q: let(total(q), lambda s: -F.aggregate(q, F.lit(0.0), lambda acc, p: acc + p / s * F.log(p / s))))
 
 
 def normalised_entropy(probs: Column) -> Column:
@@ -72,8 +72,7 @@ def top_mass(probs: Column, k: int = 5) -> Column:
 
 
 def margin(probs: Column) -> Column:
-    best = F.sort_array(probs, asc=False)
-    return F.try_element_at(best, F.lit(1)) - F.try_element_at(best, F.lit(2))
+    return let(F.sort_array(probs, asc=False), lambda best: F.get(best, F.lit(0)) - F.get(best, F.lit(1)))
 
 
 def surprisal(logits: Column, target: Column) -> Column:

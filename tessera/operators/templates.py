@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import strict_json
+from tessera.functions.stats import let
 
 ENTRY = "array<struct<name:string,body:string>>"
 
@@ -128,7 +129,7 @@ def indent_folds(df: DataFrame, key: str, text: str, header: str) -> DataFrame:
     rows = own.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("no", "indent", "header"))).alias("all"))
     after = lambda h: F.filter("all", lambda x: x["no"] > h["no"])
     stop = lambda h: F.coalesce(F.array_min(F.transform(F.filter(after(h), lambda x: x["indent"] <= h["indent"]), lambda x: x["no"])), F.lit(2**31 - 1))
-    end = lambda h: F.array_max(F.transform(F.filter("all", lambda x: (x["no"] > h["no"]) & (x["no"] < stop(h))), lambda x: x["no"]))
+    end = lambda h: let(stop(h), lambda s: F.array_max(F.transform(F.filter("all", lambda x: (x["no"] > h["no"]) & (x["no"] < s)), lambda x: x["no"])))
     found = F.transform(F.filter("all", lambda h: h["header"]), lambda h: F.struct(h["no"].alias("start_line"), end(h).alias("end_line")))
     return rows.select(key, F.explode(found).alias("f")).where("f.end_line IS NOT NULL").select(key, "f.*")
 
