@@ -1,20 +1,29 @@
-"""Headers of model files as rows: safetensors, GGUF, importance matrices. Files come from Spark's binaryFile reader, so any store works.
+"""Headers of model files as rows: safetensors, GGUF, importance matrices. Spark's binaryFile reader lists the files.
 
-A reader looks at the head of a file only; weights are never parsed.
+A reader opens a file as a stream and reads on only as far as its header goes; weights are never read. A store that
+the tasks can't open by themselves has its files' content read by Spark, which can't be more than CONTENT_MOST bytes.
 """
 
 from __future__ import annotations
 
+import io
 import json
 import struct
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 HEADER_LEAST, HEADER_MOST = 2, 25_000_000
 MOST_DIMS, MOST_DEPTH, PREVIEW = 8, 4, 16
+#: Bytes that Spark holds of a file's content at most; bytes of a file that are read at once.
+CONTENT_MOST, BLOCK = (1 << 31) - 1, 1 << 16
+#: What a reader meets in a file that is damaged or can't be opened.
+UNREADABLE = (ValueError, KeyError, TypeError, AttributeError, struct.error, OSError, NotImplementedError)
 TENSORS = "path string, name string, dtype string, shape array<long>, parameters decimal(38,0), bytes decimal(20,0), offset decimal(20,0), error string"
 # GGUF's scalar formats, and tensor types by number.
 SCALARS = {0: "B", 1: "b", 2: "H", 3: "h", 4: "I", 5: "i", 6: "f", 7: "?", 10: "Q", 11: "q", 12: "d"}
@@ -22,7 +31,42 @@ GGML = {0: "F32", 1: "F16", 2: "Q4_0", 3: "Q4_1", 6: "Q5_0", 7: "Q5_1", 8: "Q8_0
 
 
 def files(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "content")
+    """path, length, content of each file; the content is null where the tasks can open the files by themselves."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    listed = found.select("path", "length", F.lit(None).cast("binary").alias("content"))
+
+    def tried(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            able = []
+            for own in frame["path"]:
+                try:
+                    opened(own, None).close()
+                    able.append(True)
+                except UNREADABLE:
+                    able.append(False)
+            yield pd.DataFrame({"able": able})
+
+    if all(r["able"] for r in listed.select("path").limit(1).mapInPandas(tried, "able boolean").collect()):
+        return listed
+    small = F.col("length") <= CONTENT_MOST
+    return found.where(small).select("path", "length", "content").union(listed.where(~small))
+
+
+def opened(path: str, content: bytes | None):
+    """A stream over a file's bytes, read in blocks as they are asked for."""
+    if content is not None:
+        return io.BytesIO(content)
+    scheme, rest = path.split(":", 1)
+    if scheme == "file":
+        return fs.LocalFileSystem().open_input_stream("/" + rest.lstrip("/"), buffer_size=BLOCK)
+    store, at = fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}:{quote(rest, safe='/:@')}")
+    return store.open_input_stream(at, buffer_size=BLOCK)
+
+
+def read_by(of, path: str, length: int, content: bytes | None):
+    """What ``of`` makes of a file, given as a Reader."""
+    with opened(path, content) as stream:
+        return of(Reader(stream, length))
 
 
 def product(shape: list[int]) -> int:
@@ -32,12 +76,12 @@ def product(shape: list[int]) -> int:
     return out
 
 
-def safetensors_rows(data: bytes) -> list[tuple]:
-    (size,) = struct.unpack_from("<Q", data)
-    if not HEADER_LEAST <= size <= HEADER_MOST or 8 + size > len(data):
+def safetensors_rows(r: Reader) -> list[tuple]:
+    size = r.take("Q")
+    if not HEADER_LEAST <= size <= HEADER_MOST or 8 + size > r.length:
         raise ValueError("header size")
     out = []
-    for name, t in json.loads(data[8 : 8 + size]).items():
+    for name, t in json.loads(r.bytes(size)).items():
         if name == "__metadata__":
             continue
         start, end = t["data_offsets"]
@@ -49,20 +93,26 @@ def safetensors_rows(data: bytes) -> list[tuple]:
 
 
 class Reader:
-    def __init__(self, data: bytes):
-        self.data, self.at, self.order = data, 0, "<"
+    """The values of a file in order. What the file is too short for is never asked of the stream."""
+
+    def __init__(self, stream, length: int):
+        self.stream, self.length, self.at, self.order = stream, length, 0, "<"
+
+    def bytes(self, n: int) -> bytes:
+        if not 0 <= n <= min(self.length - self.at, CONTENT_MOST):
+            raise ValueError("cut short")
+        data = self.stream.read(n)
+        if len(data) < n:
+            raise ValueError("cut short")
+        self.at += n
+        return data
 
     def take(self, code: str):
-        (value,) = struct.unpack_from(self.order + code, self.data, self.at)
-        self.at += struct.calcsize(code)
+        (value,) = struct.unpack(self.order + code, self.bytes(struct.calcsize(self.order + code)))
         return value
 
     def text(self, length: str = "Q") -> str:
-        n = self.take(length)
-        if self.at + n > len(self.data):
-            raise ValueError("cut short")
-        self.at += n
-        return self.data[self.at - n : self.at].decode()
+        return self.bytes(self.take(length)).decode()
 
     def value(self, kind: int, depth: int = 0):
         if kind == 8:
@@ -80,16 +130,15 @@ class Reader:
         return self.take(SCALARS[kind])
 
 
-def gguf_parts(data: bytes) -> tuple[list[tuple], list[tuple]]:
+def gguf_parts(r: Reader) -> tuple[list[tuple], list[tuple]]:
     """(metadata rows, tensor rows) of a GGUF directory; versions 1 to 3, the last also in big endian."""
-    r = Reader(data)
-    if data[:4] != b"GGUF":
+    if r.bytes(4) != b"GGUF":
         raise ValueError("magic")
-    r.at = 4
-    version = r.take("I")
+    four = r.bytes(4)
+    (version,) = struct.unpack("<I", four)
     if version > 3:
-        r.at, r.order = 4, ">"
-        version = r.take("I")
+        r.order = ">"
+        (version,) = struct.unpack(">I", four)
     if not 1 <= version <= 3:
         raise ValueError("version")
     tensors, entries = r.take("Q" if version > 1 else "I"), r.take("Q" if version > 1 else "I")
@@ -117,13 +166,12 @@ def gguf_parts(data: bytes) -> tuple[list[tuple], list[tuple]]:
     return [(k, json.dumps(v, ensure_ascii=False)) for k, v in meta.items()], rows
 
 
-def imatrix_rows(data: bytes) -> list[tuple]:
+def imatrix_rows(r: Reader) -> list[tuple]:
     """(name, calls, count, least, most, mean) of each entry of a legacy importance matrix."""
-    r, out = Reader(data), {}
+    out = {}
     for _ in range(r.take("i")):
         name, calls, n = r.text("i"), r.take("i"), r.take("i")
-        values = np.frombuffer(data, "<f4", n, r.at).astype(float)
-        r.at += 4 * n
+        values = np.frombuffer(r.bytes(4 * n), "<f4").astype(float)
         if name in out or not len(values) or not np.isfinite(values).all():
             raise ValueError("entry")
         out[name] = name, calls, n, float(values.min()), float(values.max()), float(values.mean())
@@ -136,41 +184,41 @@ def tensors(binary: DataFrame, of=safetensors_rows) -> DataFrame:
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for path, data in zip(frame["path"], frame["content"], strict=True):
+            for path, *own in zip(frame["path"], frame["length"], frame["content"], strict=True):
                 try:
-                    rows += [(path, *row, None) for row in of(bytes(data))]
-                except (ValueError, KeyError, struct.error, TypeError) as e:
+                    rows += [(path, *row, None) for row in read_by(of, path, *own)]
+                except UNREADABLE as e:
                     rows.append((path, None, None, None, None, None, None, type(e).__name__ + ": " + str(e)))
             from decimal import Decimal
 
             whole = lambda v: None if v is None else Decimal(v)
             yield pd.DataFrame([(*r[:4], *map(whole, r[4:7]), r[7]) for r in rows], columns=[c.split()[0] for c in TENSORS.split(", ")])
 
-    return binary.select("path", "content").mapInPandas(each, TENSORS)
+    return binary.select("path", "length", "content").mapInPandas(each, TENSORS)
 
 
 def gguf_tensors(binary: DataFrame) -> DataFrame:
-    return tensors(binary, lambda data: gguf_parts(data)[1])
+    return tensors(binary, lambda r: gguf_parts(r)[1])
 
 
 def gguf_metadata(binary: DataFrame) -> DataFrame:
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for path, data in zip(frame["path"], frame["content"], strict=True):
+            for path, *own in zip(frame["path"], frame["length"], frame["content"], strict=True):
                 try:
-                    rows += [(path, k, v, None) for k, v in gguf_parts(bytes(data))[0]]
-                except (ValueError, KeyError, struct.error) as e:
+                    rows += [(path, k, v, None) for k, v in read_by(gguf_parts, path, *own)[0]]
+                except UNREADABLE as e:
                     rows.append((path, None, None, type(e).__name__ + ": " + str(e)))
             yield pd.DataFrame(rows, columns=["path", "key", "value", "error"])
 
-    return binary.select("path", "content").mapInPandas(each, "path string, key string, value string, error string")
+    return binary.select("path", "length", "content").mapInPandas(each, "path string, key string, value string, error string")
 
 
 def imatrix(binary: DataFrame) -> DataFrame:
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(path, *row) for path, data in zip(frame["path"], frame["content"], strict=True) for row in imatrix_rows(bytes(data))]
+            rows = [(path, *row) for path, *own in zip(frame["path"], frame["length"], frame["content"], strict=True) for row in read_by(imatrix_rows, path, *own)]
             yield pd.DataFrame(rows, columns=["path", "name", "calls", "n", "least", "most", "mean"])
 
-    return binary.select("path", "content").mapInPandas(each, "path string, name string, calls int, n int, least double, most double, mean double")
+    return binary.select("path", "length", "content").mapInPandas(each, "path string, name string, calls int, n int, least double, most double, mean double")
