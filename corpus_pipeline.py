@@ -1,7 +1,8 @@
 """Documents to training sequences: quality rules, exact dedup, near dedup, mixing, packing.
 
 Each stage reads what the one before wrote. All but the last return the columns of documents; the mixing stage
-returns a document as often as the mix takes it, in the order of training.
+returns a document as often as the mix takes it, in the order of training, and the packing stage keeps that order
+between runs of documents.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack(docs, ordered=True)
 
 
 STAGES = [("quality rules", good), ("exact dedup", exact), ("near dedup", near), ("mixing", mix), ("packing", pack)]

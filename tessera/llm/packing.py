@@ -12,10 +12,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, give_back, slices, tokenizer_file
+from tessera.llm.common import documents, give_back, slices, tokenizer_file, written
 
 #: Documents that one packer places at a time. It searches its own remaining pieces for each place, so work a document is bounded.
 BUCKET_DOCS = 1536
@@ -103,7 +104,33 @@ def place(demand: np.ndarray, limits: np.ndarray) -> np.ndarray:
     return out
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, most: int, loss: Column | None, buckets: int) -> DataFrame:
+def hashed(docs: DataFrame, loss: Column, bucket_docs: int) -> DataFrame:
+    """doc_id, text, loss, bucket of each row, the buckets dealt by a hash."""
+    buckets = max(1, -(-docs.count() // bucket_docs))
+    at = F.pmod(F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit(""))), F.lit(buckets))
+    return docs.select(F.col("doc_id").cast("long"), "text", loss.alias("loss"), at.alias("bucket"))
+
+
+def in_runs(docs: DataFrame, loss: Column, bucket_docs: int) -> DataFrame:
+    """doc_id, text, loss, bucket of each row, the buckets being successive runs of the rows in the order of their files."""
+    try:
+        place = docs.metadataColumn("_metadata")
+    except AnalysisException:  # not read from files
+        docs = written(docs)
+        place = docs.metadataColumn("_metadata")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", loss.alias("loss"), place.getField("file_path").alias("file"), place.getField("row_index").alias("index"))
+    # Part files are numbered with five digits or more; the table has a row a file.
+    found = sorted(((r["file"], r["count"]) for r in rows.groupBy("file").count().collect()), key=lambda r: (len(r[0]), r[0]))
+    ends = np.cumsum([0, *(n for _, n in found)]).tolist()
+    begins = docs.sparkSession.createDataFrame([(f, a) for (f, _), a in zip(found, ends, strict=False)], "own_file string, begin long")
+    buckets = max(1, -(-ends[-1] // bucket_docs))
+    run = F.floor((F.col("begin") + F.col("index")) * F.lit(buckets) / F.lit(max(1, ends[-1])))
+    return rows.join(F.broadcast(begins), F.col("file") == F.col("own_file")).select("doc_id", "text", "loss", run.alias("bucket"))
+
+
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, most: int) -> DataFrame:
+    """The pieces of each row of ``docs``: doc_id, text, loss, bucket."""
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
         for batch in slices(batches, 1, SLICE):
@@ -123,11 +150,10 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, most: int, loss: Column
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * len(names))], names=names)
         forget()
 
-    at = F.pmod(F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit(""))), F.lit(buckets))
-    return docs.select(F.col("doc_id").cast("long"), "text", (F.lit(None).cast("boolean") if loss is None else loss).alias("loss"), at.alias("bucket")).mapInArrow(of, PIECES)
+    return docs.mapInArrow(of, PIECES)
 
 
-def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, max_tokens: int = 4096, max_segments: int = 1024, max_loss: int | None = None, loss: Column | None = None, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, max_tokens: int = 4096, max_segments: int = 1024, max_loss: int | None = None, loss: Column | None = None, bucket_docs: int = BUCKET_DOCS, ordered: bool = False) -> DataFrame:
     """A row for each piece of a document: where it begins and ends in the document, and its sequence and offset there.
 
     ``docs``: doc_id, text; other columns don't matter, whatever their names. A null or empty text is the end id
@@ -136,10 +162,14 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2,
     dealt by a hash, share a packer, so no task grows with the corpus and only numbers are shuffled. ``loss``
     says whether a row's tokens bear loss (in conversations, the assistant's turns); a sequence holds at most
     ``max_segments`` pieces and ``max_loss`` loss-bearing tokens.
+
+    With ``ordered`` the packers get successive runs of the rows instead, in the order of the files that ``docs`` was
+    read from, as a sorted table leaves them: sequences ascend by run, and only within a run pieces change places.
     """
     limits = np.array([max_tokens, max_segments, max_loss or max_tokens], float)
     step = max_tokens if not max_loss or loss is None else min(max_tokens, max_loss)
-    buckets = max(1, -(-docs.count() // bucket_docs))
+    bears = F.lit(None).cast("boolean") if loss is None else loss
+    dealt = (in_runs if ordered else hashed)(docs, bears, bucket_docs)
 
     def packed(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
@@ -149,7 +179,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2,
         return own.drop(columns="bucket").rename(columns={"loss": "loss_tokens"})
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss_tokens long, sequence_id long, offset long"
-    return pieces(docs, tokenizer, end_id, step, loss, buckets).groupBy("bucket").applyInPandas(packed, schema)
+    return pieces(dealt, tokenizer, end_id, step).groupBy("bucket").applyInPandas(packed, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
