@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -22,16 +21,24 @@ from tessera.llm.common import documents, give_back, slices, tokenizer_file, wri
 BUCKET_DOCS = 1536
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss long, bucket long"
 #: Chunks that the vocabulary's rules lower-case letter by letter and leave as they are otherwise, and how its pattern cuts them.
-PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-CUTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+PLAIN = "^[!-~À-ÖØ-öø-ÿ]*$"
+CUTS = "('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+)"
 #: Bytes of text that are split at once.
-SLICE = 6 << 20
-#: Cuts a worker remembers before it forgets them all.
+SLICE = 4 << 20
+#: Cuts a worker remembers before it forgets those that the slice at hand doesn't have.
 CUTS_KEPT = 150_000
+#: The character that the vocabulary writes for each byte: itself if it is printable, else the next from 256 on.
+BYTES = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+SHOWN = {b: chr(b) for b in BYTES} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*BYTES}))}
 _TOKENIZERS: dict[str, tuple] = {}
 
 
-def chunk_ids(chunks: list[str], file: str) -> list[bytes]:
+def cut_up(chunks: pa.Array) -> pa.Array:
+    """The cuts of each plain chunk, and an empty one at its end."""
+    return pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(chunks), CUTS, r"\1 "), " ")
+
+
+def chunk_ids(chunks: pa.Array, file: str) -> list[bytes]:
     """The ids of chunks of text without blanks, as little-endian unsigned 32-bit bytes.
 
     The vocabulary's own rules drop white space before merging, and no rule reaches across it, so a text's
@@ -43,30 +50,33 @@ def chunk_ids(chunks: list[str], file: str) -> list[bytes]:
         from tokenizers import Tokenizer
 
         own = Tokenizer.from_file(tokenizer_file(file))
-        ends = np.zeros(own.get_vocab_size(), bool)
-        ends[[i for piece, i in own.get_vocab().items() if piece.endswith("</w>")]] = True
-        _TOKENIZERS[file] = own, own.model, ends, {}
-    own, model, ends, known = _TOKENIZERS[file]
-    plain = [bool(PLAIN.fullmatch(c)) and "<|" not in c for c in chunks]
-    cuts = [CUTS.findall(c.lower()) if p else [c] for c, p in zip(chunks, plain, strict=True)]
+        _TOKENIZERS[file] = own, own.model, {"": b""}
+    own, model, known = _TOKENIZERS[file]
+    plain = pc.and_(pc.match_substring_regex(chunks, PLAIN), pc.invert(pc.match_substring(chunks, "<|")))
+    other = pc.invert(plain)
+    lists = cut_up(chunks.filter(plain))
+    cuts = lists.flatten().dictionary_encode()
+    words = cuts.dictionary.to_numpy(zero_copy_only=False).tolist()
     if len(known) > CUTS_KEPT:
+        again = {word: known[word] for word in words if word in known}
         known.clear()
-    new = {cut for each, p in zip(cuts, plain, strict=True) if p for cut in each}.difference(known)
-    # ASCII letters stand for themselves in the vocabulary; for others its rules are gone through, many cuts at a time.
-    known.update((c, array("I", [piece.id for piece in model.tokenize(c)]).tobytes()) for c in new if c.isascii())
-    rest = [c for c in new if not c.isascii()]
-    for at in range(0, len(rest), 1000):
-        ids = np.array(own.encode(" ".join(rest[at : at + 1000]), add_special_tokens=False).ids, "<u4")
-        stops = 4 * (np.flatnonzero(ends[ids]) + 1)
-        buffer = ids.tobytes()
-        known.update(zip(rest[at : at + 1000], (buffer[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)), strict=True))
-    whole = lambda c: array("I", own.encode(c, add_special_tokens=False).ids).tobytes()
-    return [b"".join(map(known.__getitem__, each)) if p else whole(each[0]) for each, p in zip(cuts, plain, strict=True)]
+        known.update(again, **{"": b""})
+    for word in words:
+        if word not in known:
+            # ASCII stands for itself in the vocabulary; of other letters the bytes are shown as characters.
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(SHOWN)
+            known[word] = array("I", [piece.id for piece in model.tokenize(shown)]).tobytes()
+    ids = [known[word] for word in words]
+    order, at = cuts.indices.to_numpy().tolist(), (lists.offsets.to_numpy() - lists.offsets.to_numpy()[0]).tolist()
+    out = np.empty(len(chunks), object)
+    out[plain.to_numpy(zero_copy_only=False)] = [b"".join([ids[i] for i in order[a:b]]) if b - a > 2 else ids[order[a]] for a, b in zip(at[:-1], at[1:], strict=True)]
+    out[other.to_numpy(zero_copy_only=False)] = [array("I", own.encode(c, add_special_tokens=False).ids).tobytes() for c in chunks.filter(other).to_pylist()]
+    return out.tolist()
 
 
 def forget() -> None:
     """A function of the module, as what Spark ships of a closure has no part in the worker's own tables."""
-    give_back(*(t[3] for t in _TOKENIZERS.values()))
+    give_back(*(t[2] for t in _TOKENIZERS.values()))
 
 
 def cut(total: int, most: int) -> list[tuple[int, int]]:
@@ -105,9 +115,9 @@ def place(demand: np.ndarray, limits: np.ndarray) -> np.ndarray:
 
 
 def hashed(docs: DataFrame, loss: Column, bucket_docs: int) -> DataFrame:
-    """doc_id, text, loss, bucket of each row, the buckets dealt by a hash."""
+    """doc_id, text, loss, bucket of each row, the buckets dealt by a hash of the row's number, so that repeated rows are dealt out too."""
     buckets = max(1, -(-docs.count() // bucket_docs))
-    at = F.pmod(F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit(""))), F.lit(buckets))
+    at = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(buckets))
     return docs.select(F.col("doc_id").cast("long"), "text", loss.alias("loss"), at.alias("bucket"))
 
 
@@ -136,7 +146,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, most: int) -> DataFrame
         for batch in slices(batches, 1, SLICE):
             split = pc.split_pattern(pc.replace_substring(pc.fill_null(batch.column(1), ""), "\n", " "), " ")
             chunks = split.flatten().dictionary_encode()
-            ids = chunk_ids(chunks.dictionary.to_pylist(), tokenizer)
+            ids = chunk_ids(chunks.dictionary, tokenizer)
             at, order = split.offsets.to_numpy() - split.offsets[0].as_py(), chunks.indices.to_numpy()
             rows: list[tuple] = []
             for k, (doc, bears, bucket) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True)):
@@ -158,16 +168,17 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2,
 
     ``docs``: doc_id, text; other columns don't matter, whatever their names. A null or empty text is the end id
     alone. A null doc_id packs as any other; repeated rows are documents of their own. An empty table gives no
-    rows. A document over ``max_tokens`` is cut into full sequences and a rest; the rests of some 1,500 documents,
+    rows. A document over ``max_tokens`` (or ``max_loss``) is cut into pieces of just that and a rest; the rests of some 1,500 documents,
     dealt by a hash, share a packer, so no task grows with the corpus and only numbers are shuffled. ``loss``
     says whether a row's tokens bear loss (in conversations, the assistant's turns); a sequence holds at most
-    ``max_segments`` pieces and ``max_loss`` loss-bearing tokens.
+    ``max_segments`` pieces and ``max_loss`` loss-bearing tokens. Without ``loss`` all tokens but a document's first
+    bear loss; then ``max_loss`` only binds if it is below ``max_tokens``.
 
     With ``ordered`` the packers get successive runs of the rows instead, in the order of the files that ``docs`` was
     read from, as a sorted table leaves them: sequences ascend by run, and only within a run pieces change places.
     """
     limits = np.array([max_tokens, max_segments, max_loss or max_tokens], float)
-    step = max_tokens if not max_loss or loss is None else min(max_tokens, max_loss)
+    step = min(max_tokens, max_loss or max_tokens)
     bears = F.lit(None).cast("boolean") if loss is None else loss
     dealt = (in_runs if ordered else hashed)(docs, bears, bucket_docs)
 

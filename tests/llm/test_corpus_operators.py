@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("tessera.llm.queries")
@@ -113,6 +114,21 @@ def test_packing_limits(spark):
     assert got.n.max() <= 128 and got.pieces.max() <= 4 and got.loss.max() <= 64 and got.loss.max() > 0
 
 
+def test_packing_limit_on_loss_alone(spark):
+    """Without a loss column a limit on loss below the token limit cuts long documents too, and binds."""
+    df = spark.createDataFrame([(1, "word " * 3000), (2, "word " * 40), (3, "word " * 90)], "doc_id long, text string")
+    got = packing.pack(df, max_tokens=256, max_loss=100).toPandas()
+    assert got.groupby("doc_id").length.sum().to_dict() == {1: 3001, 2: 41, 3: 91}
+    loss = got.groupby("sequence_id").loss_tokens.sum()
+    assert loss.max() == 100 and got.groupby("sequence_id").length.sum().max() < 256
+
+
+def test_packing_deals_out_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "the same text")], "doc_id long, text string").selectExpr("*", "explode(sequence(1, 400)) AS k").repartition(3)
+    got = packing.pack(df, bucket_docs=50).toPandas()
+    assert len(got) == 400 and (got.sequence_id // 2**32).nunique() == 8
+
+
 def test_place_prefers_dot_product():
     # The open bin has most room on the second limit; the piece that uses it is taken before an equally long one that doesn't.
     bins = packing.place(np.array([[50.0, 1], [40, 1], [40, 60]]), np.array([100.0, 100]))
@@ -126,7 +142,7 @@ def test_chunk_ids_are_whole_text_ids(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(common.tokenizer_file("word_bpe_49k.json"))
-    chunks = text.replace("\n", " ").split(" ")
+    chunks = pa.array(text.replace("\n", " ").split(" "))
     assert b"".join(packing.chunk_ids(chunks, "word_bpe_49k.json")) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
@@ -471,8 +487,6 @@ def test_licenses(spark):
 
 
 def test_split_words_is_bytes_split():
-    import pyarrow as pa
-
     texts = [" a b\n\n c ", "", "\x1c a\x0bb c é", "x", "\t"]
     at, ids, vocab = common.split_words(pa.array(texts))
     assert [[vocab[i] for i in ids[at[k] : at[k + 1]]] for k in range(len(texts))] == [t.encode().split() for t in texts]
