@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 
 #: Entries a worker's memo of words holds before it is emptied; words longer than LONG_WORD aren't kept.
 MEMO_ENTRIES, LONG_WORD = 200_000, 64
-#: A side of a join is broadcast only if it has at most this many rows; beyond that Spark joins by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: A side of a join is broadcast only if it has at most this many rows and its files this many bytes; beyond that Spark joins by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 16 << 20
+#: Tasks that the rows of one key are dealt to where both sides of a join are shuffled.
+SALTS = 16
 
 
 class Memo(dict):
@@ -98,9 +100,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one that spark.checkpoint.dir names; that is set to a temporary folder where it is unset, as in tests."""
+    """A new folder below the one that spark.checkpoint.dir names. Where that is unset, a local master gets a temporary folder; a cluster, whose machines share none, gets an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
         root = tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir()
@@ -127,9 +131,44 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is. ``df`` is a written table: counting reads footers only."""
-    return F.broadcast(df) if df.count() <= rows else df
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows and ``size`` bytes of files, else as it is. ``df`` is a written table: its footers and its folder are looked at."""
+    return F.broadcast(df) if is_bounded(df, rows, size) else df
+
+
+def is_bounded(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    spark, files = df.sparkSession, df.inputFiles()
+    if files:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength() > size:
+            return False
+    return df.count() <= rows
+
+
+def looked_up(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """``left`` with what ``right``, a written table with a row a key, has of each key.
+
+    ``right`` is broadcast if it is bounded; else both are shuffled, a key's rows of ``left`` going to SALTS tasks.
+    """
+    if is_bounded(right):
+        return left.join(F.broadcast(right), keys, how)
+    (salt,) = fresh(left, "salt")
+    salted = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, [*keys, salt], how).drop(salt)
+
+
+def numbered(docs: DataFrame, file: str, row: str) -> DataFrame:
+    """``docs`` with two more columns that tell its rows apart, the same whenever they are read: the path of a row's file and its number there.
+
+    Rows that don't come straight from files are written first.
+    """
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.child()
+    if plan.getClass().getSimpleName() != "LogicalRelation":
+        docs = written(docs)
+    place = docs.metadataColumn("_metadata")
+    return docs.withColumns({file: place.getField("file_path"), row: place.getField("row_index")})
 
 
 def fresh(docs: DataFrame, *names: str) -> list[str]:

@@ -11,11 +11,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, give_back, slices, tokenizer_file, written
+from tessera.llm.common import documents, fresh, give_back, numbered, slices, tokenizer_file
 
 #: Documents that one packer places at a time. It searches its own remaining pieces for each place, so work a document is bounded.
 BUCKET_DOCS = 1536
@@ -123,12 +122,8 @@ def hashed(docs: DataFrame, loss: Column, bucket_docs: int) -> DataFrame:
 
 def in_runs(docs: DataFrame, loss: Column, bucket_docs: int) -> DataFrame:
     """doc_id, text, loss, bucket of each row, the buckets being successive runs of the rows in the order of their files."""
-    try:
-        place = docs.metadataColumn("_metadata")
-    except AnalysisException:  # not read from files
-        docs = written(docs)
-        place = docs.metadataColumn("_metadata")
-    rows = docs.select(F.col("doc_id").cast("long"), "text", loss.alias("loss"), place.getField("file_path").alias("file"), place.getField("row_index").alias("index"))
+    file, index = fresh(docs, "file", "index")
+    rows = numbered(docs, file, index).select(F.col("doc_id").cast("long"), "text", loss.alias("loss"), F.col(file).alias("file"), F.col(index).alias("index"))
     # Part files are numbered with five digits or more; the table has a row a file.
     found = sorted(((r["file"], r["count"]) for r in rows.groupBy("file").count().collect()), key=lambda r: (len(r[0]), r[0]))
     ends = np.cumsum([0, *(n for _, n in found)]).tolist()
