@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded, documents, fresh, written
+from tessera.llm.common import bounded, documents, fresh, numbered, written
 
 #: Weights of the sources in order, repeating; the whole mix as a multiple of all sizes; most passes over a source.
 WEIGHTS, SHARE, PASSES = (3, 1, 2), 1.5, 2
@@ -56,8 +56,8 @@ def inverted(part: Column) -> Column:
     return F.least(F.when(root > 0, t0 + 2 * rest / root).otherwise(t0), t1)
 
 
-def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, passes: int = PASSES, schedules: tuple = SCHEDULES, bucket_rows: int = BUCKET_ROWS, size: Callable[[Column], Column] | None = None) -> DataFrame:
-    """doc_id, source, print, size, source_size, target, taken, positions of each row of ``docs``.
+def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, passes: int = PASSES, schedules: tuple = SCHEDULES, bucket_rows: int = BUCKET_ROWS, size: Callable[[Column], Column] | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, print, size, source_size, target, taken, positions of each row of ``docs``, and its columns ``also``.
 
     ``docs``: doc_id, text, source; other columns don't matter. A document's size is its words (``size`` may give
     another measure of the text); a null text has none. Sources are ordered by code point, a null source last, and
@@ -65,15 +65,15 @@ def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
     documents stand in the order of a hash; the run takes them in that order, and again from the start where the
     target exceeds the source, each whole document whose middle is before the target. Then one document of the
     source comes in or goes out if that brings the source nearer its target. ``positions`` are the times, 0 to 1, of
-    its uses. A row's place depends on its doc_id and text alone, so reruns agree, and
-    rows that repeat both get the same places. Running sums are made in buckets of a source's hash range, so a
-    source of any size is spread out. An empty table gives no rows.
+    its uses. A row's place depends on its doc_id and text alone, so reruns agree; rows that repeat both stand one
+    after the other, each with uses of its own. Running sums are made in buckets of a source's hash range, so a
+    source of any size is spread out (rows that repeat doc_id and text share a bucket). An empty table gives no rows.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     words = size(text) if size else F.regexp_count(text, F.lit(WORDS))
     place = F.xxhash64(F.col("doc_id").cast("long"), text)
-    sized = written(docs.select(F.col("doc_id").cast("long"), "source", words.cast("long").alias("size"), place.alias("print")))
+    sized = written(docs.select(F.col("doc_id").cast("long"), "source", words.cast("long").alias("size"), place.alias("print"), F.monotonically_increasing_id().alias("nth"), F.struct(*also, F.lit(0)).alias("also")))
     found = sorted(sized.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect(), key=lambda r: (r["source"] is None, r["source"] or ""))
     goal = targets([r["s"] for r in found], [weights[i % len(weights)] for i in range(len(found))], share, passes)
     table = [(r["source"], r["s"], t, max(1, -(-r["n"] // bucket_rows)), *integrated(schedules[i % len(schedules)])) for i, (r, t) in enumerate(zip(found, goal, strict=True))]
@@ -86,32 +86,30 @@ def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
     before = F.sum("in_bucket").over(Window.partitionBy("source").orderBy("bucket")) - F.col("in_bucket")
     offsets = written(sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), before.alias("offset")))
     rows = rows.join(bounded(offsets), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    # Rows of one place are peers: each begins where the first of them does.
-    own = Window.partitionBy("source", "bucket").orderBy(F.shiftrightunsigned("print", 1))
-    peers = Window.partitionBy("source", "bucket", F.shiftrightunsigned("print", 1))
-    start = F.col("offset") + F.sum("size").over(own) - F.sum("size").over(peers)
+    own = Window.partitionBy("source", "bucket").orderBy(F.shiftrightunsigned("print", 1), "print", "nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = F.col("offset") + F.sum("size").over(own) - F.col("size")
     middle = F.transform(F.sequence(F.lit(0), F.lit(passes - 1)), lambda e: F.col("start") + e * F.col("source_size") + F.col("size") / 2)
     uses = F.when(F.col("target") > 0, F.filter(middle, lambda m: m <= F.col("target"))).otherwise(F.array().cast("array<double>"))
-    placed = written(rows.withColumn("start", start).withColumn("uses", uses).select("doc_id", "source", "print", "size", "source_size", "target", "times", "rates", "sums", "start", "uses"))
+    placed = written(rows.withColumn("start", start).withColumn("uses", uses).select("doc_id", "source", "print", "nth", "also", "size", "source_size", "target", "times", "rates", "sums", "start", "uses"))
     off = placed.groupBy("source").agg((F.sum(F.size("uses") * F.col("size")) - F.first("target")).alias("off"))
     here = placed.join(F.broadcast(off.withColumnRenamed("source", "s")) if len(table) <= 10_000 else off.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).where("size > 0")
     can = here.where(F.when(F.col("off") > 0, F.size("uses") > 0).otherwise(F.size("uses") < passes))
     rest = F.abs(F.abs("off") - F.col("size"))
-    best = can.where(rest < F.abs("off")).groupBy("source").agg(F.min_by(F.struct("doc_id", "print", (F.col("off") > 0).alias("out")), F.struct(rest, "print")).alias("turn"))
+    best = can.where(rest < F.abs("off")).groupBy("source").agg(F.min_by(F.struct("nth", (F.col("off") > 0).alias("out")), F.struct(rest, "print", "nth")).alias("turn"))
     turns = bounded(written(best.select(F.col("source").alias("s"), "turn")), 10_000)
-    turned = placed.join(turns, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("mine", F.coalesce(F.col("turn.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("turn.print") == F.col("print")), F.lit(False)))
+    turned = placed.join(turns, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("mine", F.coalesce(F.col("turn.nth") == F.col("nth"), F.lit(False)))
     extra = F.array((F.col("start") + F.col("size") / 2) / F.col("source_size") * F.col("target"))
     last = F.when(~F.col("mine"), F.col("uses")).when(F.col("turn.out"), F.slice("uses", 1, F.size("uses") - 1)).otherwise(F.sort_array(F.concat("uses", extra)))
     done = turned.withColumn("uses", last)
-    return done.select("doc_id", "source", "print", "size", "source_size", "target", (F.size("uses") * F.col("size")).alias("taken"), F.transform("uses", lambda m: inverted(m / F.col("target"))).alias("positions"))
+    return done.select("doc_id", "source", "print", "size", "source_size", "target", (F.size("uses") * F.col("size")).alias("taken"), F.transform("uses", lambda m: inverted(m / F.col("target"))).alias("positions"), *(F.col("also")[c].alias(c) for c in also))
 
 
 def training_order(docs: DataFrame, **mix) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with all their columns, sorted by position over a range partitioning."""
-    own, mark, at, print_, position = fresh(docs, "mix_id", "mix_print", "mix_at", "own_print", "position")
-    takes = mixed_rows(docs, **mix).where(F.size("positions") > 0).select(F.col("doc_id").alias(own), F.col("print").alias(mark), F.col("positions").alias(at)).distinct()
-    place = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
-    both = docs.withColumn(print_, place).join(bounded(written(takes), 300_000), (F.col(print_) == F.col(mark)) & F.col("doc_id").cast("long").eqNullSafe(F.col(own)))
+    path, row, file, own_row, at, mark, position = fresh(docs, "path", "row", "mix_file", "mix_row", "mix_at", "mix_print", "position")
+    own = numbered(docs, path, row)
+    takes = mixed_rows(own.withColumn(file, F.xxhash64(path)).withColumnRenamed(row, own_row), also=(file, own_row), **mix).where(F.size("positions") > 0).select(file, own_row, F.col("positions").alias(at), F.col("print").alias(mark))
+    both = own.join(bounded(written(takes), 300_000), (F.xxhash64(path) == F.col(file)) & (F.col(row) == F.col(own_row)))
     return both.withColumn(position, F.explode(at)).orderBy(position, mark).select(*docs.columns)
 
 
