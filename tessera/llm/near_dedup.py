@@ -1,20 +1,32 @@
-"""MinHash near-dedup: SuperMinHash signatures, banding, verification on whole shingle sets, components."""
+"""MinHash near-dedup: SuperMinHash signatures, banding, verification on whole shingle sets, components.
+
+Documents of one set are represented by one of them. Of the others, those that share a band are a bucket:
+
+1. each document is compared to the smallest of its buckets' smallest documents, then to those of its other buckets
+   that it isn't tied to yet: a bucket whose documents resemble its smallest is done with a row a document;
+2. what is left are buckets whose other documents aren't all tied; they are compared in blocks, each pair of blocks
+   in a task of its own.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded, chunks, documents, fresh, mixed, parts, utf8, window_hashes, word_hashes, written
+from tessera.llm.common import bounded, chunks, documents, fresh, looked_up, mixed, parts, utf8, window_hashes, word_hashes, written
 from tessera.llm.components import components
 
 SHINGLE, BANDS, ROWS = 5, 32, 6
 #: Members and shingles that one block of a group of candidates holds; larger groups are compared block by block.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 4_000_000
+#: Documents that one task compares to one document.
+STAR = 512
 #: Shingles whose ranks are drawn together.
 ELEMENTS = 100_000
 
@@ -62,14 +74,12 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit print of the set, and its band keys."""
+    """doc_id, n_shingles, the SHA-256 of the sorted set, and its band keys."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got, _ in chunks(batches, 8 << 20):
             sets = [shingles(t) for t in got["text"]]
             sizes = np.array([len(s) for s in sets])
-            low = [int(mixed(s).sum()) if len(s) else 0 for s in sets]
-            high = [int(mixed(s ^ np.uint64(0xA0761D6478BD642F)).sum()) if len(s) else 0 for s in sets]
             keys = np.zeros((len(sets), bands), np.int64)
             at = 0
             while at < len(sets):
@@ -79,11 +89,11 @@ def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     owner = np.repeat(np.arange(len(full)), sizes[full])
                     keys[full] = band_keys(superminhash(np.concatenate([sets[i] for i in full]), owner, len(full), bands * rows), bands, rows)
                 at = to
-            signed64 = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
+            digests = [hashlib.sha256(s.tobytes()).digest() for s in sets]
             lists = pa.ListArray.from_arrays(np.arange(0, bands * len(sets) + 1, bands, dtype=np.int32), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([pa.array(got["doc_id"], pa.int64()), pa.array(sizes, pa.int64()), signed64(low), signed64(high), lists], names=["doc_id", "n_shingles", "low", "high", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(got["doc_id"], pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists], names=["doc_id", "n_shingles", "digest", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), utf8("text").alias("text")).mapInArrow(of, "doc_id long, n_shingles long, low long, high long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), utf8("text").alias("text")).mapInArrow(of, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
 def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -116,6 +126,51 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
         label = low
 
 
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= percent * union."""
+    if len(a) > len(b):
+        a, b = b, a
+    if 100 * len(a) < percent * len(b) or not len(a):
+        return False
+    common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole shingle sets are alike. ``pairs``: a written table a, b without repeats.
+
+    A task gets a document b and up to STAR or so of its partners, one after the other, so it holds two sets.
+    """
+
+    def set_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got, _ in chunks(batches, 8 << 20):
+            own = pa.array([shingles(t).tobytes() for t in got["text"]], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(got[k], pa.int64()) for k in ("doc_id", "b", "salt", "partner")] + [own], names=["doc_id", "b", "salt", "partner", "items"])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own = None, []
+        for batch in batches:
+            found = []
+            for doc, b, salt, partner, item in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if (b, salt) != key:
+                    key, own = (b, salt), []
+                items = np.frombuffer(item, np.uint64)
+                if not partner:
+                    own.append(items)
+                elif any(alike(items, o, percent) for o in own):
+                    found.append((doc, b))
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    tasks = written(pairs.groupBy("b").agg(F.ceil(F.count("*") / STAR).cast("long").alias("tasks")))
+    partners = looked_up(pairs, tasks, ["b"], "inner").select(F.col("a").alias("id"), "b", F.pmod(F.xxhash64("a"), "tasks").alias("salt"), F.lit(1).cast("long").alias("partner"))
+    centres = tasks.select(F.col("b").alias("id"), "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("salt"), F.lit(0).cast("long").alias("partner"))
+    wanted = written(partners.union(centres))
+    mine = docs.select(F.col("doc_id").cast("long"), utf8("text").alias("text")).join(bounded(wanted), F.col("doc_id") == F.col("id"))
+    sets = mine.select("doc_id", "b", "salt", "partner", "text").mapInArrow(set_of, "doc_id long, b long, salt long, partner long, items binary")
+    dealt = sets.repartition(parts(docs.sparkSession), "b", "salt").sortWithinPartitions("b", "salt", "partner")
+    return dealt.mapInArrow(of, "a long, b long").distinct()
+
+
 def verified(docs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) that span the confirmed links within each group of candidates.
 
@@ -157,38 +212,53 @@ def verified(docs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     return dealt.repartition(parts(spark), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(of, "a long, b long")
 
 
-def near_groups(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_groups(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of ``docs``.
 
     ``docs``: doc_id, text; other columns don't matter. Two documents are linked when 100 times what their shingle
     sets share is at least ``percent`` times their union; a component's id is its smallest doc_id, and that
-    document stays. A text without words (null, empty, blank) has no shingles and no links. Equal sets are
-    represented by one document. Rows that repeat a doc_id are one node of the graph. A row without doc_id
-    is in no component (null) and stays. At a similarity of just 0.85 a pair shares no band, and so isn't seen,
-    with a probability of about 3e-7. An empty table gives no rows.
+    document stays. A text without words (null, empty, blank) has no shingles and no links. Equal sets, which agree in
+    a SHA-256 of the whole set, are represented by one document. Rows that repeat a doc_id are one node of the
+    graph. A row without doc_id is in no component (null) and stays. A pair shares no band, and so isn't seen,
+    with a probability of about 3e-7 at a similarity of just 0.85 and 6e-5 at 0.80. An empty table gives no rows.
     """
     signs = written(signed(docs, bands, rows))
     sets = signs.where("n_shingles > 0 and doc_id is not null")
-    print_ = ["n_shingles", "low", "high"]
-    classes = sets.groupBy(*print_).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top"))
-    copies = sets.select("doc_id", *print_).join(classes.where("rep < top"), print_).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    copies = written(copies.distinct())
+    classes = written(sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).where("rep < top"))
+    copies = looked_up(sets.select("doc_id", "digest"), classes, ["digest"], "inner").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    links = copies = written(copies.distinct())
     # One document of each class goes on to the bands.
     own = sets.join(bounded(copies.select(F.col("a").alias("doc_id"))), "doc_id", "left_anti").select("doc_id", F.explode("bands").alias("key"))
     low = own.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top")).where("low < top").select("key", "low")
-    loose = components(own.join(low, "key").where("doc_id <> low").select("doc_id", "low"))
+    bucket = written(looked_up(own, written(low), ["key"], "inner").where("doc_id <> low"))
+    stars = written(bucket.select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct())
+    first = written(stars.groupBy("a").agg(F.min("b").alias("b")))
+    links = written(links.union(confirmed(docs, first, percent)))
+    tie = tied(links)
+    rest = looked_up(looked_up(stars.join(first, ["a", "b"], "left_anti"), tie("a", "of_a"), ["a"]), tie("b", "of_b"), ["b"])
+    rest = written(rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"))
+    links = written(links.union(confirmed(docs, rest, percent)))
+    # Buckets whose documents, but for the smallest, aren't all tied; the smallest has been compared to each.
+    labelled = looked_up(bucket, tied(links)("doc_id", "of"), ["doc_id"]).withColumn("of", F.coalesce("of", "doc_id"))
+    open_ = labelled.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("of").alias("x"), F.max("of").alias("y")).where("x < y").select("key", "least")
+    loose = components(looked_up(bucket, written(open_), ["key"], "inner").where("doc_id <> least").select("doc_id", "least"))
     member = loose.select(F.col("a").alias("doc_id"), F.col("b").alias("cluster")).union(loose.select("b", "b").distinct())
     sized = member.join(sets.groupBy("doc_id").agg(F.max("n_shingles").alias("n")), "doc_id")
     size = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
-    groups = written(member.join(size, "cluster").select("doc_id", "cluster", "blocks"))
-    links = verified(docs, groups, percent).union(copies)
-    found = components(links).select(F.col("a").alias("doc_id"), F.col("b").alias("found"))
+    groups = written(looked_up(member, written(size), ["cluster"], "inner").select("doc_id", "cluster", "blocks"))
+    found = components(verified(docs, groups, percent).union(links)).select(F.col("a").alias("doc_id"), F.col("b").alias("found"))
     out = signs.select("doc_id", "n_shingles").join(bounded(found), "doc_id", "left")
     component = F.coalesce("found", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def drop_near(docs: DataFrame, percent: int = 85) -> DataFrame:
+def tied(links: DataFrame) -> Callable[[str, str], DataFrame]:
+    """By two names the table of each document's component over ``links``."""
+    found = components(links)
+    return lambda doc, of: found.select(F.col("a").alias(doc), F.col("b").alias(of))
+
+
+def drop_near(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose document stays, with all their columns."""
     (name,) = fresh(docs, "gone_id")
     gone = written(near_groups(docs, percent).where("not kept").select(F.col("doc_id").alias(name)).distinct())
@@ -196,4 +266,4 @@ def drop_near(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(documents(spark, sf_dir))
+    return near_groups(documents(spark, sf_dir), percent=85)

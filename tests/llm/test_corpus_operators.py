@@ -249,8 +249,17 @@ def test_expectation_maximisation_finds_the_mixture():
     assert np.allclose(lm.expectation_maximisation(n, p, 2000, 1e-12), [0.7, 0.3], atol=1e-3)
 
 
-def near_brute(rows, percent=85):
-    sets = [set(near_dedup.shingles(t.encode()).tolist()) for _, t in rows]
+def shingle_sets(rows):
+    """Of each row the set of its shingles as tuples of words, made without the code under test."""
+    out = []
+    for _, t in rows:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower())
+        out.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    return out
+
+
+def near_brute(rows, percent):
+    sets = shingle_sets(rows)
     parent = {i: i for i, _ in rows if i is not None}
 
     def top(x):
@@ -269,14 +278,21 @@ def near_brute(rows, percent=85):
     return collections.Counter((i, len(s), None if i is None else top(i)) for (i, _), s in zip(rows, sets, strict=True))
 
 
-def test_near_dedup(docs, monkeypatch):
-    want = near_brute(rows_of(docs))
-    got = near_dedup.near_groups(docs).collect()
-    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+def components_of(got):
+    return collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got)
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_dedup(docs, percent, monkeypatch):
+    want = near_brute(rows_of(docs), percent)
+    got = near_dedup.near_groups(docs, percent).collect()
+    assert components_of(got) == want
     assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
-    # In blocks of few documents.
+    # In blocks of few documents, and joins by shuffle.
     monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 2)
-    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_groups(docs).collect()) == want
+    monkeypatch.setattr(near_dedup, "STAR", 2)
+    monkeypatch.setattr(common, "is_bounded", lambda *_: False)
+    assert components_of(near_dedup.near_groups(docs, percent).collect()) == want
 
 
 def test_near_dedup_of_drifting_copies(spark):
@@ -287,8 +303,46 @@ def test_near_dedup_of_drifting_copies(spark):
         rows.append((i, " ".join(text)))
         text[rng.randrange(120)] = str(rng.randrange(10**6))
     rng.shuffle(rows)
-    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == near_brute(rows)
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()
+    assert components_of(got) == near_brute(rows, 85)
+
+
+def test_near_dedup_of_a_template(spark, monkeypatch):
+    """Documents of one template that share buckets: some alike in pairs, few like the smallest."""
+    rng = random.Random(8)
+    frame = [str(rng.randrange(10**6)) for _ in range(100)]
+    rows = []
+    for i in range(40):
+        own = list(frame)
+        for k in range(6):
+            own[rng.randrange(100)] = f"own{i}-{k}"
+        rows.append((i, " ".join(own)))
+        if i % 3 == 0:
+            own[rng.randrange(100)] = "twin"
+            rows.append((1000 - i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = near_brute(rows, 85)
+    assert len({c for _, _, c in want}) < len(rows)
+    assert components_of(near_dedup.near_groups(df, 85).collect()) == want
+    monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 8)
+    assert components_of(near_dedup.near_groups(df, 85).collect()) == want
+
+
+def test_near_pairs_share_a_band():
+    """Of planted pairs at a similarity of 0.80 to 0.9 at least 0.99 share a band; nothing unlike does so often."""
+    rng = np.random.default_rng(4)
+    seen = unlike = 0
+    for k in range(300):
+        n = 200
+        common_ = int(np.ceil(n * (2 * s / (1 + s)))) if (s := 0.8 + 0.1 * k / 300) else 0
+        both = rng.integers(0, 2**63, common_).astype(np.uint64)
+        a, b = (np.concatenate([both, rng.integers(0, 2**63, n - common_).astype(np.uint64)]) for _ in range(2))
+        other = rng.integers(0, 2**63, n).astype(np.uint64)
+        sig = near_dedup.superminhash(np.concatenate([a, b, other]), np.repeat([0, 1, 2], n), 3, near_dedup.BANDS * near_dedup.ROWS)
+        keys = near_dedup.band_keys(sig, near_dedup.BANDS, near_dedup.ROWS)
+        seen += bool((keys[0] == keys[1]).any())
+        unlike += bool((keys[0] == keys[2]).any())
+    assert seen >= 0.99 * 300 and unlike == 0
 
 
 def test_superminhash_estimates_similarity():
@@ -352,7 +406,20 @@ def test_exact_dedup_state_goes_on(spark, docs, tmp_path):
     exact_dedup.feed(spark, source, state, 1)
     exact_dedup.entries(two).write.mode("append").parquet(source)
     exact_dedup.feed(spark, source, state, 1)
-    assert sorted((r["first"], r["n"]) for r in exact_dedup.seen(spark, state).collect()) == [(2, 2), (7, 1), (9, 1)]
+    got = exact_dedup.seen(spark, state).collect()
+    assert sorted((r["first"]["id"], r["n"]) for r in got) == [(2, 2), (7, 1), (9, 1)]
+    # Identifier and locator are of one row: the locator finds it among the entries.
+    at = {(r.file, r.row): r.doc_id for r in spark.read.schema(exact_dedup.ENTRY).parquet(source).collect()}
+    assert all(at[r["first"]["file"], r["first"]["row"]] == r["first"]["id"] for r in got)
+
+
+def test_exact_dedup_of_repeated_rows_from_files(spark, tmp_path):
+    rows = [(1, "x y", "a"), (1, "x  y", "b"), (1, "x y", "a"), (2, "x y", "c"), (3, None, "d"), (None, "", "e"), (None, "", "f")]
+    spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(3).write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    out = exact_dedup.drop_copies(docs)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 3]
+    assert sum(r.kept for r in exact_dedup.exact_groups(docs).collect()) == 2
 
 
 def suffix_brute(rows):
@@ -443,6 +510,21 @@ def test_mixing(docs):
     assert sorted(map(key, got)) == sorted(map(key, again))
 
 
+def test_mixing_of_repeated_rows(spark):
+    """A row that is there a hundred times has uses for each, so its source comes near its target."""
+    rows = [(1, "ten words are in this text as one can count", None, "a", None)] * 100 + [(2, "w " * 400, None, "b", None)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = mixing.mixed_rows(df).collect()
+    taken = collections.Counter()
+    for r in got:
+        taken[r.source] += r.taken
+        assert r.taken <= 2 * r["size"]
+    goal = {r.source: r.target for r in got}
+    assert abs(taken["a"] - goal["a"]) <= 10 and taken["b"] <= 800
+    out = mixing.training_order(df)
+    assert out.where("doc_id = 1").count() * 10 == taken["a"]
+
+
 @pytest.mark.parametrize("knots", mixing.SCHEDULES)
 def test_schedules_are_inverted(spark, knots):
     times, rates, sums = mixing.integrated(knots)

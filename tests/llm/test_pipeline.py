@@ -66,7 +66,7 @@ def test_stages(spark, tmp_path):
     sets = {i: shingles(own[i][1]) for i in parent}
     for a in parent:
         for b in parent:
-            if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                 x, y = top(a), top(b)
                 parent[max(x, y)] = min(x, y)
     assert sorted(ids("near dedup")) == sorted(i for i in parent if top(i) == i)
