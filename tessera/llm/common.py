@@ -157,16 +157,20 @@ def looked_up(left: DataFrame, right: DataFrame, keys: list[str], how: str = "le
     return left.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, [*keys, salt], how).drop(salt)
 
 
+def stable(docs: DataFrame) -> DataFrame:
+    """``docs`` if its rows come straight from files, else written: its rows and partitions are the same whenever they are read."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.child()
+    return docs if plan.getClass().getSimpleName() == "LogicalRelation" else written(docs)
+
+
 def numbered(docs: DataFrame, file: str, row: str) -> DataFrame:
     """``docs`` with two more columns that tell its rows apart, the same whenever they are read: the path of a row's file and its number there.
 
     Rows that don't come straight from files are written first.
     """
-    plan = docs._jdf.queryExecution().analyzed()
-    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
-        plan = plan.child()
-    if plan.getClass().getSimpleName() != "LogicalRelation":
-        docs = written(docs)
+    docs = stable(docs)
     place = docs.metadataColumn("_metadata")
     return docs.withColumns({file: place.getField("file_path"), row: place.getField("row_index")})
 

@@ -1,8 +1,9 @@
 """Deduplication of long substrings over a logarithmic family of indexes.
 
-Every string of 50 bytes has one anchor: its 12-byte string with the least hash, the leftmost of equals. Strings
-with one anchor are shipped together, as one stretch of text, to the anchor's partition; equal strings have equal
-anchors, so they meet. There the stretches come in batches of ascending documents. A batch's suffixes (one a string
+Every string of 50 bytes has one anchor: its 16-byte string with the least hash. Neighbouring strings of equal anchors
+are shipped together, as one stretch of text, to the anchor's cell; equal strings have equal anchors, so they
+meet. A run of one character, or of a short period, is one stretch, and of a document's equal stretches one text is
+shipped. In a cell the stretches come in batches of ascending documents. A batch's suffixes (one a string
 of 50 bytes) are sorted into an array of its own; the array is merge-scanned against the levels that earlier batches
 left, whose documents are all smaller; then it becomes a level itself, and levels of equal size merge, so that a
 suffix is merged as often as the logarithm of the number of batches. Only equality over the 50 bytes matters, so
@@ -21,14 +22,16 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.blobs import PACKED, dealt, gathered, packed, rows_of, unpacked
+from tessera.llm.blobs import PACKED, SUBS, by_cell, dealt, gathered, packed, rows_of, shuffled, unpacked
 from tessera.llm.common import bounded, chunks, documents, give_back, mixed, parts, utf8, written
 
-LENGTH, ANCHOR = 50, 12
+LENGTH, ANCHOR = 50, 16
 WINDOW = LENGTH - ANCHOR + 1
 BATCHES = 8
-#: Bytes of text that are anchored at once; parts of a partition, gone through one after the other, so that only one is in memory.
-CHUNK, INNER = 2 << 20, 16
+#: Bytes of text that are anchored at once; parts of a cell, gone through one after the other, so that only one is unpacked.
+CHUNK, INNER = 2 << 20, 4
+#: Stretches that a task remembers as repeated.
+HOT = 200_000
 #: Stands for a null identifier, after all others.
 LAST = 2**63 - 1
 ODD = 0x9E3779B97F4A7C15
@@ -49,22 +52,20 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def words_at(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The eight and the four bytes from each position on, as integers; zeros follow the text."""
+def words_at(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as an integer; zeros follow the text."""
     v = np.zeros(len(text) + 8, np.uint64)
     v[: len(text)] = text
-    for k in (1, 2):
+    for k in (1, 2, 4):
         v[:-k] |= v[k:] << np.uint64(8 * k)
-    four = v.copy()
-    v[:-4] |= v[4:] << np.uint64(32)
-    return v[: len(text)], four[: len(text)]
+    return v[: len(text)]
 
 
 def anchor_hashes(text: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the 12 bytes from each position on."""
-    eight, four = words_at(text)
+    """A 64-bit hash of the 16 bytes from each position on."""
+    eight = words_at(text)
     h = eight * np.uint64(0xD6E8FEB86659FD93)
-    h[:-8] ^= four[8:] * np.uint64(0xA0761D6478BD642F)
+    h[:-8] ^= eight[8:] * np.uint64(0xA0761D6478BD642F)
     return mixed(h)
 
 
@@ -127,11 +128,35 @@ def segments(texts: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray, np.n
         yield some, np.array(own), np.array(base)
 
 
-def stretches(texts: list[bytes], ids: np.ndarray, keys: np.ndarray, base: np.ndarray, n: int) -> tuple[list[tuple[int, bytes]], tuple]:
-    """Packed stretches by partition, and the spans (piece's number, start, end) found repeated at once.
+class Hot:
+    """Marks of stretches that several documents have, each with the smallest document that a task saw it in."""
 
-    Of equal stretches in these texts only those of the smallest document are shipped: what repeats them in larger
-    documents is known to be repeated. So a passage that every document has is one stretch a call.
+    def __init__(self):
+        self.marks, self.ids = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+    def least(self, marks: np.ndarray) -> np.ndarray:
+        """The smallest document known to have each, or the largest number there is."""
+        if not len(self.marks):
+            return np.full(len(marks), LAST)
+        k = np.minimum(np.searchsorted(self.marks, marks), len(self.marks) - 1)
+        return np.where(self.marks[k] == marks, self.ids[k], LAST)
+
+    def add(self, marks: np.ndarray, ids: np.ndarray) -> None:
+        if len(self.marks) + len(marks) > HOT:
+            self.marks, self.ids = self.marks[:0], self.ids[:0]
+        marks, ids = np.concatenate([self.marks, marks]), np.concatenate([self.ids, ids])
+        order = np.lexsort((ids, marks))
+        marks, ids = marks[order], ids[order]
+        head = np.concatenate([[True], marks[1:] != marks[:-1]])[: len(marks)]
+        self.marks, self.ids = marks[head], ids[head]
+
+
+def stretches(texts: list[bytes], ids: np.ndarray, keys: np.ndarray, base: np.ndarray, n: int, hot: Hot) -> tuple[list[tuple[int, bytes]], tuple]:
+    """Packed stretches by cell, and the spans (piece's number, start, end) found repeated at once.
+
+    Of equal stretches in these texts only those of the smallest document are shipped, and none if the task has seen
+    a smaller one: what repeats them in larger documents is known to be repeated. So of a passage that every document has
+    a task ships few stretches. Equal stretches of one document are shipped as one text and its places.
     """
     lengths = np.array([len(t) for t in texts], np.int64)
     text = np.frombuffer(b"".join(texts), np.uint8)
@@ -145,41 +170,54 @@ def stretches(texts: list[bytes], ids: np.ndarray, keys: np.ndarray, base: np.nd
     sums = sums_of(hashes)
     at = ranges(begins, strings)
     doc = np.repeat(np.arange(len(texts)), strings)
-    anchor = anchors(hashes)[at]
+    anchor = hashes[anchors(hashes)[at]]
     new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]))
-    first, own = at[new], doc[new]
+    first, own, anchor = at[new], doc[new], anchor[new]
     size = np.diff(np.append(new, len(at))) + LENGTH - 1
     mark = prints(sums, first, size - ANCHOR + 1) ^ mixed(size.astype(np.uint64))
     order = np.lexsort((ids[own], mark))
-    group = np.cumsum(np.concatenate([[False], mark[order][1:] != mark[order][:-1]]))
-    least = ids[own][order][np.flatnonzero(np.concatenate([[True], np.diff(group) > 0]))][group]
+    head = np.concatenate([[True], mark[order][1:] != mark[order][:-1]])
+    lead = np.flatnonzero(head)
+    group = np.cumsum(head) - 1
+    least, most = ids[own][order][lead], ids[own][order][np.append(lead[1:], len(order)) - 1]
+    seen = hot.least(mark[order][lead])
+    least = np.minimum(least, seen)
+    many = (most > least) | (seen < LAST)
+    hot.add(mark[order][lead][many], least[many])
     again = np.zeros(len(own), bool)
-    again[order] = ids[own][order] > least
+    again[order] = ids[own][order] > least[group]
     where = first - begins[own] + base[own]
     found = own[again], where[again], (where + size)[again]
     keep = np.flatnonzero(~again)
-    part = (mixed(hashes[anchor[new]]) % np.uint64(n * INNER)).astype(np.int64)[keep]
+    part = (mixed(anchor[keep]) % np.uint64(n * SUBS * INNER)).astype(np.int64)
+    order = np.lexsort((where[keep], own[keep], mark[keep], part))
+    keep, part = keep[order], part[order]
+    head = np.concatenate([[True], (mark[keep][1:] != mark[keep][:-1]) | (own[keep][1:] != own[keep][:-1])])[: len(keep)]
+    lead = np.flatnonzero(head)
+    times = np.diff(np.append(lead, len(keep)))
+    starts = np.append(lead, len(keep))
+    cell = part[lead] // INNER
+    edges = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])[: len(cell)])
     out = []
-    for k, mine in dealt(part // INNER, n):
-        mine = mine[np.argsort(part[mine], kind="stable")]
-        inner = np.bincount(part[mine] % INNER, minlength=INNER)
-        mine = keep[mine]
+    for a, b in zip(edges.tolist(), np.append(edges[1:], len(cell)).tolist(), strict=True):
+        mine = keep[lead[a:b]]
+        inner = np.bincount(part[lead[a:b]] % INNER, minlength=INNER)
         docs, number = np.unique(own[mine], return_inverse=True)
-        numbers = packed(np.diff(ids[docs], prepend=0), keys[docs], inner, narrow(number), narrow(where[mine]), narrow(size[mine]))
+        numbers = packed(np.diff(ids[docs], prepend=0), keys[docs], inner, narrow(number), narrow(size[mine]), narrow(times[a:b]), narrow(where[keep[starts[a] : starts[b]]]))
         body = zstandard.ZstdCompressor(level=6).compress(text[ranges(first[mine], size[mine])].tobytes())
-        out.append((k, pickle.dumps((numbers, body), protocol=5)))
+        out.append((int(cell[a]), pickle.dumps((numbers, body), protocol=5)))
     return out, found
 
 
 def opened(payload: bytes) -> Iterator[tuple[int, tuple]]:
-    """(part of the partition, (ids, keys, number, where, size, text)) of what ``stretches`` packed."""
+    """(part of the cell, (ids, keys, number, size, times, where, text)) of what ``stretches`` packed."""
     numbers, body = pickle.loads(payload)
-    ids, keys, inner, number, where, size = unpacked(numbers)
+    ids, keys, inner, number, size, times, where = unpacked(numbers)
     ids, text = np.cumsum(ids), zstandard.ZstdDecompressor().decompress(body)
-    records, places = np.append(0, np.cumsum(inner)), np.append(0, np.cumsum(size, dtype=np.int64))
+    records, places, wheres = np.append(0, np.cumsum(inner)), np.append(0, np.cumsum(size, dtype=np.int64)), np.append(0, np.cumsum(times, dtype=np.int64))
     for k in np.flatnonzero(inner):
         a, b = records[k], records[k + 1]
-        yield int(k), (ids, keys, number[a:b], where[a:b], size[a:b], text[places[a] : places[b]])
+        yield int(k), (ids, keys, number[a:b], size[a:b], times[a:b], where[wheres[a] : wheres[b]], text[places[a] : places[b]])
 
 
 def narrow(values: np.ndarray) -> np.ndarray:
@@ -190,7 +228,7 @@ class Levels:
     """Sorted arrays of suffix prints with the place of each suffix; sizes grow geometrically."""
 
     def __init__(self, text: np.ndarray):
-        self.eight, self.levels = words_at(text)[0], []
+        self.eight, self.levels = words_at(text), []
 
     def same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Which suffixes agree over all their 50 bytes."""
@@ -226,11 +264,10 @@ def repeated(payloads: list[tuple]) -> Iterator[tuple]:
     keys = np.concatenate([p[1] for p in payloads])
     base = np.cumsum([0, *(len(p[0]) for p in payloads)])
     own = np.concatenate([p[2].astype(np.int64) + b for p, b in zip(payloads, base, strict=False)])
-    where = np.concatenate([p[3].astype(np.int64) for p in payloads])
-    size = np.concatenate([p[4].astype(np.int64) for p in payloads])
-    text = np.frombuffer(b"".join(p[5] for p in payloads), np.uint8)
+    size, times, where = (np.concatenate([p[k].astype(np.int64) for p in payloads]) for k in (3, 4, 5))
+    text = np.frombuffer(b"".join(p[6] for p in payloads), np.uint8)
     payloads.clear()
-    first = np.cumsum(size) - size
+    first, places = np.cumsum(size) - size, np.cumsum(times) - times
     sums = sums_of(anchor_hashes(text))
     levels = Levels(text)
     doc = ids[own]
@@ -258,7 +295,9 @@ def repeated(payloads: list[tuple]) -> Iterator[tuple]:
         flags[array] = hit
         a, b = runs(flags, np.concatenate([[True], record[1:] != record[:-1]]))
         rec = batch[record[a]]
-        yield doc[rec], keys[own[rec]], where[rec] + place[a] - first[rec], where[rec] + place[b] - first[rec] + LENGTH
+        span = np.repeat(np.arange(len(rec)), times[rec])  # a span at each place of its stretch
+        at, rec = where[ranges(places[rec], times[rec])], rec[span]
+        yield doc[rec], keys[own[rec]], at + place[a][span] - first[rec], at + place[b][span] - first[rec] + LENGTH
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -270,8 +309,8 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def packed_spans(ids: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> pa.RecordBatch:
-    part = (mixed(ids.view(np.uint64)) % np.uint64(n)).astype(np.int64)
-    own = [(k, packed(ids[at], keys[at], starts[at], ends[at])) for k, at in dealt(part, n)]
+    part = mixed(ids.view(np.uint64)) % np.uint64(n)
+    own = [(k * SUBS, packed(ids[at], keys[at], starts[at], ends[at])) for k, at in dealt(part, n)]
     return rows_of([k for k, _ in own], [p for _, p in own])
 
 
@@ -280,28 +319,25 @@ def spans(docs: DataFrame) -> DataFrame:
     n = parts(docs.sparkSession)
 
     def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = Hot()
         for got, _ in chunks(batches, CHUNK):
             ids, keys = np.array(got["doc_id"], np.int64), np.array(got["key"], np.int32)
             for pieces, text, base in segments(got["text"]):
-                out, (own, start, end) = stretches(pieces, ids[text], keys[text], base, n)
+                out, (own, start, end) = stretches(pieces, ids[text], keys[text], base, n, hot)
                 yield rows_of([k for k, _ in out], [b"s" + p for _, p in out])
                 if len(own):
                     direct = packed_spans(ids[text[own]], keys[text[own]], start, end, n)
                     yield rows_of(direct.column(0).to_pylist(), [b"d" + p for p in direct.column(1).to_pylist()])
 
     def of_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for part, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if payload[:1] == b"d":
-                    yield rows_of([part], [payload[1:]])
-                else:
-                    own.setdefault(part, []).append(payload[1:])
-        for part in sorted(own):
+        for cell, payloads in by_cell(batches):
+            done = [p[1:] for p in payloads if p[:1] == b"d"]
+            yield rows_of([cell] * len(done), done)
             inner: dict[int, list[tuple]] = {}
-            for payload in own.pop(part):
-                for k, each in opened(payload):
-                    inner.setdefault(k, []).append(each)
+            for payload in payloads:
+                if payload[:1] == b"s":
+                    for k, each in opened(payload[1:]):
+                        inner.setdefault(k, []).append(each)
             while inner:
                 found = [*repeated(inner.popitem()[1])]
                 yield packed_spans(*(np.concatenate([f[k] for f in found]) for k in range(4)), n)
@@ -317,7 +353,7 @@ def spans(docs: DataFrame) -> DataFrame:
 
     text = utf8("text")
     own = docs.select(by_id().alias("doc_id"), F.hash(text).alias("key"), text.alias("text"))
-    sent = own.mapInArrow(of_texts, PACKED).repartitionById(n, "part").mapInArrow(of_stretches, PACKED)
+    sent = shuffled(own.mapInArrow(of_texts, PACKED), n).mapInArrow(of_stretches, PACKED)
     return gathered(sent, n, of_spans, "id long, key int, spans binary")
 
 
@@ -346,7 +382,7 @@ def without_repeats(docs: DataFrame, text_too: bool = False) -> DataFrame:
 
     text = utf8("text")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), by_id().alias("id"), F.hash(text).alias("key"))
-    both = keyed.join(bounded(found, 200_000), ["id", "key"], "left").select("doc_id", "text", "spans")
+    both = keyed.join(bounded(found), ["id", "key"], "left").select("doc_id", "text", "spans")
     return both.mapInArrow(of, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text binary" * text_too)
 
 
