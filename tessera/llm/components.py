@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import looked_up, written
 
 
 def stars(directed: DataFrame, larger: bool) -> DataFrame:
     """Ties neighbours of each node to the smallest of them (or the node): the larger ones, or the smaller ones and the node itself."""
-    low = directed.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-    both = directed.join(low, "u")
+    low = written(directed.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")))
+    both = looked_up(directed, low, ["u"], "inner")
     tied = both.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")) if larger else both.where("v < u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(low.where("m < u").select("u", "m"))
     return tied.where("a <> b").distinct()
 
@@ -19,8 +19,9 @@ def stars(directed: DataFrame, larger: bool) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(a, b) for each node ``a`` that isn't the smallest of its component ``b``.
 
-    ``edges``: two long columns; loops and repeats are allowed. Every round is a join and two aggregations by
-    node with map-side combining, written to the shared folder; no node's neighbours meet in one task.
+    ``edges``: two long columns; loops and repeats are allowed. Every round is two aggregations by node with map-side
+    combining, and joins with their results by broadcast or salted, written to the shared folder; no node's
+    neighbours meet in one task.
     """
     a, b = edges.columns
     now = written(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import hashlib
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -233,29 +233,30 @@ def near_groups(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: in
     bucket = written(looked_up(own, written(low), ["key"], "inner").where("doc_id <> low"))
     stars = written(bucket.select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct())
     first = written(stars.groupBy("a").agg(F.min("b").alias("b")))
-    links = written(links.union(confirmed(docs, first, percent)))
-    tie = tied(links)
+    found = components(links.union(confirmed(docs, first, percent)))
+    tie = lambda doc, of: found.select(F.col("a").alias(doc), F.col("b").alias(of))
     rest = looked_up(looked_up(stars.join(first, ["a", "b"], "left_anti"), tie("a", "of_a"), ["a"]), tie("b", "of_b"), ["b"])
     rest = written(rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"))
-    links = written(links.union(confirmed(docs, rest, percent)))
+    found = extended(found, confirmed(docs, rest, percent)) if not rest.isEmpty() else found
     # Buckets whose documents, but for the smallest, aren't all tied; the smallest has been compared to each.
-    labelled = looked_up(bucket, tied(links)("doc_id", "of"), ["doc_id"]).withColumn("of", F.coalesce("of", "doc_id"))
-    open_ = labelled.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("of").alias("x"), F.max("of").alias("y")).where("x < y").select("key", "least")
-    loose = components(looked_up(bucket, written(open_), ["key"], "inner").where("doc_id <> least").select("doc_id", "least"))
-    member = loose.select(F.col("a").alias("doc_id"), F.col("b").alias("cluster")).union(loose.select("b", "b").distinct())
-    sized = member.join(sets.groupBy("doc_id").agg(F.max("n_shingles").alias("n")), "doc_id")
-    size = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
-    groups = written(looked_up(member, written(size), ["cluster"], "inner").select("doc_id", "cluster", "blocks"))
-    found = components(verified(docs, groups, percent).union(links)).select(F.col("a").alias("doc_id"), F.col("b").alias("found"))
-    out = signs.select("doc_id", "n_shingles").join(bounded(found), "doc_id", "left")
+    labelled = looked_up(bucket, tie("doc_id", "of"), ["doc_id"]).withColumn("of", F.coalesce("of", "doc_id"))
+    open_ = written(labelled.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("of").alias("x"), F.max("of").alias("y")).where("x < y").select("key", "least"))
+    if not open_.isEmpty():
+        loose = components(looked_up(bucket, open_, ["key"], "inner").where("doc_id <> least").select("doc_id", "least"))
+        member = loose.select(F.col("a").alias("doc_id"), F.col("b").alias("cluster")).union(loose.select("b", "b").distinct())
+        sized = member.join(sets.groupBy("doc_id").agg(F.max("n_shingles").alias("n")), "doc_id")
+        size = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
+        groups = written(looked_up(member, written(size), ["cluster"], "inner").select("doc_id", "cluster", "blocks"))
+        found = extended(found, verified(docs, groups, percent))
+    out = signs.select("doc_id", "n_shingles").join(bounded(found.select(F.col("a").alias("doc_id"), F.col("b").alias("found"))), "doc_id", "left")
     component = F.coalesce("found", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def tied(links: DataFrame) -> Callable[[str, str], DataFrame]:
-    """By two names the table of each document's component over ``links``."""
-    found = components(links)
-    return lambda doc, of: found.select(F.col("a").alias(doc), F.col("b").alias(of))
+def extended(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components over those found before and more links."""
+    more = written(links)
+    return found if more.isEmpty() else components(found.union(more))
 
 
 def drop_near(docs: DataFrame, percent: int = 80) -> DataFrame:
