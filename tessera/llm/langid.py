@@ -20,6 +20,8 @@ ROWS_A_LANGUAGE, ROWS = 400, 4000
 EPOCHS, BATCH, RATE, SEED = 12, 32, 4.0, 7
 #: Words of the short piece that each fitted text also gives, so that short texts are learned from.
 PIECE = 6
+#: Words of a fitted text at most that the longer piece has, and languages at most.
+MOST_WORDS, MOST_LANGUAGES = 1000, 1000
 #: Share of right answers that accepted predictions have in calibration.
 PRECISION = 0.99
 FOLDS, HELD_OUT = 4, 2
@@ -130,11 +132,12 @@ def calibrated(logits: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
 def fitted(docs: DataFrame) -> Classifier | None:
     """The classifier learned from ``docs`` (doc_id, text, lang), or None where no row has text and lang.
 
-    A sample is learned from: about ROWS_A_LANGUAGE rows of a language, ROWS in all, whose doc_id has the least hashes.
-    Executors make the features; the driver gets a bounded number of subword shares a row.
+    A sample is learned from: about ROWS_A_LANGUAGE rows of a language, ROWS in all, whose doc_id has the least hashes, of
+    each a stretch of MOST_WORDS words and one of PIECE; of languages the MOST_LANGUAGES with most rows. Executors
+    make the features; the driver gets a bounded number of subword shares a row.
     """
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    found = sorted((r["lang"], r["count"]) for r in known.groupBy("lang").count().collect())
+    found = sorted((r["lang"], r["count"]) for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect())
     if not found:
         return None
     languages = [lang for lang, _ in found]
@@ -146,8 +149,9 @@ def fitted(docs: DataFrame) -> Classifier | None:
             rows = []
             for lang, text, mark in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 words = text.lower().split()
-                at = mark % max(1, len(words) - PIECE)
-                for piece in (words, words[at : at + PIECE]):
+                for size in (MOST_WORDS, PIECE):
+                    at = mark % max(1, len(words) - size)
+                    piece = words[at : at + size]
                     bucket, part = features(piece)
                     rows.append((lang, mark, bucket.tobytes(), part.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.string(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["lang", "mark", "buckets", "shares"])
