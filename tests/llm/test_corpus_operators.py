@@ -170,6 +170,58 @@ def test_secrets(spark, docs):
     assert all(r.spans == f"random:6:{6 + 44}" for r in got if r.doc_id is not None and 1000 <= r.doc_id < 1012 and r.n_random)
 
 
+ENCODINGS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+
+
+def test_tests_of_randomness_by_definition(spark):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice(c) for _ in range(rng.choice([20, 31, 64, 100]))) for c in ENCODINGS.values() for _ in range(5)] + ["aaaaaaaaaaaaaaaaaaaaaaaa", "thequickbrownfoxjumpsoverthelazydog", "0123456789" * 3]
+    got = {r.found: r for r in secrets.tested(spark.createDataFrame([(t,) for t in texts], "found string")).collect()}
+    for t in texts:
+        size, half = next((k, c) for _, p, k, c in secrets.ALPHABETS if re.search(p, t))
+        n, codes = len(t), [ord(c) for c in t]
+        chi = sum(v * v for v in collections.Counter(t).values()) * size / n - n
+        turns = sum((a >= half) != (b >= half) for a, b in zip(codes, codes[1:], strict=False))
+        mean = sum(codes) / n
+        spread = sum((c - mean) ** 2 for c in codes)
+        serial = sum((a - mean) * (b - mean) for a, b in zip(codes, codes[1:], strict=False)) / spread if spread else 1.0
+        z = (chi - size + 1) / math.sqrt(2 * (size - 1)), (turns - (n - 1) / 2) / (math.sqrt(n - 1) / 2), (serial + 1 / n) * math.sqrt(n)
+        assert got[t].random == (z[0] <= secrets.ALPHA_Z and abs(z[1]) <= secrets.ALPHA_Z and abs(z[2]) <= secrets.ALPHA_Z)
+        assert got[t].distance == pytest.approx(math.log(1 + max(z[0], 0) ** 2 + z[1] ** 2 + z[2] ** 2))
+
+
+def test_halves_of_alphabets_are_even():
+    for name, chars in {"decimal": "0123456789", "lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", **ENCODINGS}.items():
+        half = next(c for a, _, _, c in secrets.ALPHABETS if a == name)
+        assert sum(ord(c) >= half for c in chars) * 2 == len(chars)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_false_discoveries_stay_rare(spark, seed):
+    """Long words of text among random keys: keys are found, and next to no text, over several lengths and encodings."""
+    rng = random.Random(seed)
+    parts = ["the", "ing", "er", "on", "at", "tion", "ver", "ment", "al", "is", "re", "con", "st", "ly", "able", "Get", "Set", "User", "Map", "_", "-", "2"]
+    word = lambda k: "".join(rng.choice(parts) for _ in range(k))
+    rows = [(i, " ".join(word(rng.randrange(1, 4)) for _ in range(120))) for i in range(150)]
+    # Long identifiers, the text that candidates really are.
+    rows += [(1000 + i, "see " + word(30)[: rng.choice([22, 28, 40, 70])] + " here") for i in range(300)]
+    keys = [("".join(rng.choice(ENCODINGS[name]) for _ in range(n))) for name in ("base62", "base64") for n in (24, 32, 44, 64) for _ in range(25)]
+    rows += [(2000 + i, f"see {k} here") for i, k in enumerate(keys)]
+    got = secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = [r.doc_id for r in got if r.n_random]
+    false = sum(i < 2000 for i in found)
+    assert false <= 0.03 * len(found), (false, len(found))
+    assert len(found) - false >= 0.7 * len(keys), (false, len(found))
+
+
+def test_secrets_in_a_long_run(spark):
+    rng = random.Random(4)
+    blob = "".join(rng.choice(ENCODINGS["base64"]) for _ in range(300_000))
+    rows = [(1, f"x {blob} y"), (2, "a" * 200_000), (3, "token=" + "A" * 100_000)]
+    got = {r.doc_id: r for r in secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[3].n_assign == 1 and got[3].spans == f"assign:0:{6 + 100_000}" and not got[2].n_random and not got[2].n_assign
+
+
 def test_language_id(spark, docs):
     rng = random.Random(1)
     vocab = {"xx": ["kato", "mizu", "hana", "sora", "yama"], "yy": ["brug", "vlek", "schop", "gracht", "zwijn"], "zz": ["élan", "naïf", "château", "œuvre", "forêt"]}
@@ -187,8 +239,9 @@ def test_language_id(spark, docs):
     assert [tuple(r)[2:4] for r in langid.languages(blank).collect()] == [("und", 0.0)]
 
 
-@pytest.mark.parametrize("bounds", [{}, {"vocabulary": 40, "frequent_pairs": 60}])
+@pytest.mark.parametrize("bounds", [{}, {"vocabulary": 40, "frequent_pairs": 60}, {"vocabulary": 1}])
 def test_lm(docs, bounds):
+    """The model by its definition, one token at a time; what the tables hold doesn't change it."""
     got = lm.lm_scores(docs, **bounds).collect()
     fold = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7
     tokens = lambda t: [*t.encode().lower().split(), None]
@@ -197,43 +250,36 @@ def test_lm(docs, bounds):
     n, v = sum(count.values()), len(count)
     want = sorted((str(i), fold(i) == 2, len(tokens(t)), sum(count[w] > 0 for w in tokens(t)), n, round(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in tokens(t)), 6)) for i, t in rows)
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    # The model by its definition, one token at a time.
-    most, often = bounds.get("vocabulary", lm.VOCABULARY), max(2, -(-n // bounds.get("vocabulary", lm.VOCABULARY)))
-    assert sum(c >= often for c in count.values()) <= most
-    kind = lambda w: w if w is None or count[w] >= often else "rare"
-    pairs, context, uni = {"a": collections.Counter(), "all": collections.Counter()}, {"a": collections.Counter(), "all": collections.Counter()}, {"a": collections.Counter(), "all": collections.Counter()}
+    pairs, context, uni = ({"a": collections.Counter(), "all": collections.Counter()} for _ in range(3))
     held = collections.Counter()
     for i, t in rows:
         if fold(i) == 2:
             continue
-        c = [kind(w) for w in tokens(t)]
+        c = tokens(t)
         both = list(zip(["start", *c[:-1]], c, strict=True))
         for to in ["all"] + ["a"] * (fold(i) != 3):
             pairs[to].update(both)
             context[to].update(x for x, _ in both)
             uni[to].update(c)
         held.update(both if fold(i) == 3 else [])
-    classes = len({w for w in count if w is not None and count[w] >= often}) + 3
     bucket = lambda x: 1 + int(math.log2(x)) if x else 0
     rounded = lambda p: 10 ** (round(math.log10(p) / lm.BIN) * lm.BIN) if p else 0.0
     na = sum(uni["a"].values())
     by = collections.defaultdict(list)
     for (x, w), c in held.items():
-        by[bucket(context["a"][x])].append((c, rounded(pairs["a"][x, w] / max(context["a"][x], 1)), rounded(uni["a"][w] / na), 1 / classes))
+        by[bucket(context["a"][x])].append((c, rounded(pairs["a"][x, w] / max(context["a"][x], 1)), rounded(uni["a"][w] / na), 1 / (v + 1)))
     weights, last = {}, lm.DEFAULT
     for b in range(64):
         if by[b]:
             own = np.array(by[b])
             last = 0.999 * lm.expectation_maximisation(own[:, 0], own[:, 1:]) + 0.001 * lm.DEFAULT
         weights[b] = last
-    rare_n, rare_v = sum(c for w, c in count.items() if kind(w) == "rare"), sum(kind(w) == "rare" for w in count)
 
     def score(t):
-        c, total = [kind(w) for w in tokens(t)], 0.0
-        for x, w, word in zip(["start", *c[:-1]], c, tokens(t), strict=True):
+        c, total = tokens(t), 0.0
+        for x, w in zip(["start", *c[:-1]], c, strict=True):
             own = weights[bucket(context["all"][x])]
-            total += math.log10(own[0] * pairs["all"][x, w] / max(context["all"][x], 1) + own[1] * uni["all"][w] / n + own[2] / classes)
-            total += math.log10((count[word] + 1) / (rare_n + rare_v + 1)) if w == "rare" else 0.0
+            total += math.log10(own[0] * pairs["all"][x, w] / max(context["all"][x], 1) + own[1] * uni["all"][w] / n + own[2] / (v + 1))
         return total
 
     want = sorted((str(i), len(tokens(t)), score(t)) for i, t in rows)
@@ -447,6 +493,39 @@ def test_suffix_dedup(docs, chunk, monkeypatch):
     assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == suffix_brute(rows_of(docs))
 
 
+def shipped(texts, n=8):
+    """Bytes of text that stretches ship, and the cells they go to."""
+    total, cells = 0, set()
+    hot = suffix_dedup.Hot()
+    for pieces, own, base in suffix_dedup.segments(texts):
+        for cell, payload in suffix_dedup.stretches(pieces, own, np.zeros(len(own), np.int32), base, n, hot)[0]:
+            cells.add(cell)
+            total += sum(len(part[-1]) for _, part in suffix_dedup.opened(payload))
+    return total, cells
+
+
+def test_suffix_stretches_of_long_repeats_are_short():
+    """What repeats itself is shipped about once; other text some four times over, to many cells."""
+    rng = random.Random(6)
+    for unit in (b"a", b"ab", b"= "):
+        assert shipped([unit * (100_000 // len(unit))])[0] <= 110_000
+    passage = bytes(rng.randrange(97, 123) for _ in range(1000))
+    assert shipped([passage * 100])[0] <= 6000
+    # A passage of every document is shipped for few of them, also where they come in other chunks.
+    common_ = [bytes(rng.randrange(97, 123) for _ in range(30)) + passage + bytes(rng.randrange(97, 123) for _ in range(30)) for _ in range(5000)]
+    assert shipped(common_)[0] <= 2.5 * 5000 * 2 * 30 * 5
+    total, cells = shipped([bytes(rng.randrange(97, 123) for _ in range(100_000))])
+    assert total <= 500_000 and len(cells) == 8 * 8
+
+
+def test_suffix_dedup_of_self_repeating_texts(spark):
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    rows = [(5, "a" * 5000), (6, "xy" * 3000 + passage * 20), (7, passage * 3 + "a" * 70), (2, "ab" + "a" * 60), (9, "xy" * 40 + passage[5:90] + "é" * 90), (10, "é" * 200 + "a" * 49), (6, "xy" * 50)]
+    got = suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == suffix_brute(rows)
+
+
 def test_suffix_levels_merge_geometrically():
     text = np.frombuffer(bytes(range(256)) * 4, np.uint8)
     levels = suffix_dedup.Levels(text)
@@ -485,6 +564,32 @@ def test_quality(docs, spark):
     assert 0 <= by[902].token_entropy <= 1 and by[902].byte_share == 0
 
 
+def test_fertility_by_definition(docs):
+    """Characters a token, byte share and entropy against the vocabularies, word by word."""
+    import base64
+
+    import public_tokenizers
+    import sentencepiece
+    import tiktoken
+
+    own = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = {r.doc_id: r for r in quality.verdicts(docs.where("doc_id between 1 and 299 or doc_id in (303, 304, 306)")).collect()}
+    for i, t in rows_of(docs):
+        if i not in got or i in (0, 7):
+            continue
+        own_words = [w.decode() for w in words(t)]
+        ids = [x for w in own_words for x in own.encode(w)]
+        n_other = sum(len(other.encode_ordinary(" " + w)) for w in own_words)
+        chars = sum(map(len, own_words))
+        p = [c / len(ids) for c in collections.Counter(ids).values()]
+        entropy = -sum(x * math.log(x) for x in p) / math.log(len(ids)) if len(ids) > 1 else 1.0
+        r = got[i]
+        assert r.chars_per_token == pytest.approx(chars / len(ids)) and r.chars_per_token_other == pytest.approx(chars / n_other)
+        assert r.byte_share == pytest.approx(sum(own.is_byte(x) for x in ids) / len(ids)) and r.token_entropy == pytest.approx(entropy)
+
+
 def test_targets():
     assert mixing.targets([100, 100, 100], [3, 1, 2]) == pytest.approx([200, 250 / 3, 500 / 3])
     assert mixing.targets([0, 10], [3, 1]) == [0, 15]
@@ -568,6 +673,71 @@ def test_licenses(spark):
     assert licenses.licensed(df, F.col("path")).count() == len(rows)
 
 
+def test_license_cosines_and_inheritance_by_brute_force(spark, docs):
+    """Whole texts against the licenses' bodies, all terms in the norm; nearest ancestor by walking up. Ties, long texts, repeats, clashing columns."""
+    from importlib import resources
+
+    folder = resources.files("tessera.llm").joinpath("license_texts")
+    bodies = {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in folder.iterdir() if f.name.endswith(".txt")}
+    rng = random.Random(2)
+    noise = lambda n: " ".join(f"word{rng.randrange(5000)}" for _ in range(n))
+    rows = [(k, f"d{k % 4}/s{k % 3}/f{k}", body if k % 2 else body + " " + noise(rng.randrange(20, 400))) for k, (_, body) in enumerate(sorted(bodies.items()))]
+    rows += [(100, "d0/x", bodies["MIT"]), (101, "d0/s0/LICENSE", bodies["ISC"]), (102, "d0/s0/deep/er/a", "nothing"), (103, "d9/a", "nothing"), (104, "top", None), (105, None, "x"), (106, "d0/s0/deep/long.txt", bodies["MIT"] + "\n" + noise(50_000)), (102, "d0/s0/deep/er/a", "nothing")]
+    rows += [(200 + i or 0, f"d{i % 5}/t{i}", text) for i, (_, text) in enumerate(rows_of(docs))]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string").select("*", *(F.lit("clash").alias(c) for c in CLASH if c != "path"))
+    terms = lambda t: collections.Counter(w for w in re.findall(licenses.TERM, t.lower()) if w not in licenses.STOP)
+    # Whole texts with a word of the law are compared, and the comments that texts begin with (none here).
+    whole = {k: terms(t) for k, (_, _, t) in enumerate(rows) if t and re.search(licenses.LEGAL, t)}
+    tf = {name: terms(t) for name, t in bodies.items()}
+    df_of = collections.Counter(w for own in whole.values() for w in own)
+    in_body = {w for own in tf.values() for w in own}
+    idf = lambda w: math.log((1 + len(whole)) / (1 + (df_of[w] if w in in_body else 1))) + 1
+    norm = lambda own: math.sqrt(sum((c * idf(w)) ** 2 for w, c in own.items()))
+    sizes = {name: norm(own) for name, own in tf.items()}
+    best = {}
+    for k, own in whole.items():
+        score, name = min((-round(sum(c * idf(w) * tf[n].get(w, 0) * idf(w) for w, c in own.items()) / norm(own) / sizes[n], 9), n) for n in tf)
+        if -score >= licenses.LEAST:
+            best[k] = name, -score
+    assert len(best) > 15
+    grants = collections.defaultdict(list)
+    for k, (name, score) in best.items():
+        if rows[k][1] is not None:
+            grants[rows[k][1].rpartition("/")[0]].append((-score, name))
+
+    def inherited(path):
+        while path is not None and "/" in path:
+            path = path.rpartition("/")[0]
+            if path in grants:
+                return min(grants[path])[1], path
+        return (min(grants[""])[1], "") if path is not None and "" in grants else (None, None)
+
+    got = licenses.licensed(df, F.col("path")).collect()
+    want = collections.Counter()
+    for k, (i, path, _) in enumerate(rows):
+        own = best.get(k)
+        if own:
+            want[(i, path, own[0], round(own[1], 6), None, None)] += 1
+        else:
+            want[(i, path, None, None, *inherited(path))] += 1
+    have = collections.Counter((r.doc_id, r.path, r.license, r.score and round(r.score, 6), r.inherited_license, r.inherited_from) for r in got if not (r.license and r.n_statements and not r.license_file))
+    assert not have - want, list((have - want).items())[:5]
+    assert sum(have.values()) >= len(rows) - 3  # but for texts whose statements alone name a license
+
+
+def test_languages_of_ties_and_long_texts(spark):
+    rng = random.Random(7)
+    vocab = {"xx": ["kato", "mizu", "hana"], "yy": ["brug", "vlek", "schop"]}
+    rows = [(i, " ".join(rng.choice(vocab[lang]) for _ in range(30)), lang) for i, lang in enumerate(["xx", "yy"] * 100)]
+    long = " ".join(rng.choice(vocab["yy"]) for _ in range(300_000))
+    rows += [(500, long, None), (501, "kato " * 3, "yy"), (502, "kato " * 3, "xx"), (502, "kato " * 3, "xx"), (503, "x" * 1_000_000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").select("*", *(F.lit("clash").alias(c) for c in CLASH))
+    got = collections.defaultdict(set)
+    for r in langid.languages(df).collect():
+        got[r.doc_id].add((r.lang_pred, round(r.score, 9)))
+    assert {lang for lang, _ in got[500]} == {"yy"} and got[501] == got[502] and len(got[502]) == 1 and len(got[503]) == 1
+
+
 def test_split_words_is_bytes_split():
     texts = [" a b\n\n c ", "", "\x1c a\x0bb c é", "x", "\t"]
     at, ids, vocab = common.split_words(pa.array(texts))
