@@ -27,10 +27,12 @@ from tessera.llm.blobs import PACKED, SUBS, by_cell, dealt, gathered, packed, ro
 from tessera.llm.common import documents, id_remainder, looked_up, mixed, parts, slices, split_words, stable, written
 
 #: Bounds of the broadcast tables: words, and pairs frequent enough to be scored where the text is read.
-VOCABULARY, FREQUENT_PAIRS = (1 << 21) - 16, 1 << 20
+VOCABULARY, FREQUENT_PAIRS = 1 << 19, 1 << 20
 #: Remainder of crc32(doc_id) by 7 of the documents that aren't learned from, and of those that the weights are learned on.
 FOLDS, HELD_OUT, WEIGHED = 7, 2, 3
-CHUNK = 8 << 20
+CHUNK = 5 << 20
+#: Bins of words' counts for each doubling.
+STEPS = 8
 #: Width of the bins, in log10, in which EM sees relative frequencies; one more bin is for zero.
 BIN, ZERO = 0.05, -9999
 DOC_BITS = 22
@@ -73,6 +75,17 @@ def counted(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(of_texts, "hash long, a long, b long").groupBy("hash").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
+def least_bin(words: DataFrame, most: int) -> int:
+    """The least bin of counts, of 2 or more, from which on there are at most ``most`` words. The driver gets a row a bin."""
+    held, out = 0, 1 << 30
+    for r in sorted(words.groupBy("bin").count().collect(), key=lambda r: -r["bin"]):
+        held += r["count"]
+        if held > most or r["bin"] < STEPS:
+            break
+        out = r["bin"]
+    return out
+
+
 class Model:
     """Counts of the words in the table, by hash, and of the end and the start; the whole's sums; the weights."""
 
@@ -140,8 +153,8 @@ def binned(p: np.ndarray) -> np.ndarray:
     return np.where(p > 0, np.round(np.log10(np.maximum(p, TINY)) / BIN), ZERO).astype(np.int64)
 
 
-def pair_counts(docs: DataFrame, model, frequent: int, n: int) -> DataFrame:
-    """kind, x, y, z, n of pairs in the table: of kind 0 how many held-out tokens are in each bin for EM, of kind 1 the frequent pairs and their counts."""
+def pair_counts(docs: DataFrame, model, most: int, n: int) -> DataFrame:
+    """kind, x, y, z, n of pairs in the table: of kind 0 how many held-out tokens are in each bin for EM, of kind 1 the ``most`` most frequent pairs of each cell and their counts."""
 
     def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
@@ -161,7 +174,9 @@ def pair_counts(docs: DataFrame, model, frequent: int, n: int) -> DataFrame:
         pair, back = np.unique(seen >> np.uint64(1), return_inverse=True)
         held = (seen & np.uint64(1)).astype(bool)
         a, b = (np.bincount(back[s], count[s], minlength=len(pair)) for s in (~held, held))
-        many = np.flatnonzero(a + b >= frequent)
+        many = np.flatnonzero(a + b >= 2)
+        if len(many) > most:
+            many = many[np.argpartition(-(a + b)[many], most - 1)[:most]]
         use = np.flatnonzero(b)
         where, p2, p1 = m.parts_of(pair[use], a[use], m.a, m.a, m.n_a)
         keys, at = np.unique(np.stack([where, binned(p2), binned(p1)]), axis=1, return_inverse=True)
@@ -346,19 +361,17 @@ def lm_scores(docs: DataFrame, vocabulary: int = VOCABULARY, frequent_pairs: int
     own = stable(docs).select(F.monotonically_increasing_id().alias("row"), F.coalesce(doc, F.lit(0)).alias("doc_id"), doc.isNull().alias("null_id"), id_remainder("doc_id", FOLDS).alias("fold"), F.coalesce("text", F.lit("")).alias("text"))
     learn = own.where(F.col("fold") != HELD_OUT).select("fold", "text")
     ends = {r["fold"]: r["count"] for r in own.where(F.col("fold") != HELD_OUT).groupBy("fold").count().collect()}
-    words = written(counted(learn))
+    words = written(counted(learn).withColumn("bin", F.floor(F.log2(F.col("a") + F.col("b")) * STEPS)))
     a, b, types = words.agg(F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0)), F.count("*")).first()
-    frequent = max(2, -(-(a + b) // vocabulary))  # so no more than ``vocabulary`` words are
-    table = words.where(F.col("a") + F.col("b") >= frequent).toPandas()
+    table = words.where(F.col("bin") >= least_bin(words, vocabulary)).toPandas()
     in_b = ends.pop(WEIGHED, 0)
     model = Model(table["hash"].to_numpy(np.int64).view(np.uint64), table["a"].to_numpy(), table["b"].to_numpy(), (a, b), types, (sum(ends.values()), in_b))
-    often = max(2, -(-int(model.n) // frequent_pairs))
     counts = spark.sparkContext.broadcast(model)
-    found = written(pair_counts(learn, counts, often, n))
+    found = written(pair_counts(learn, counts, max(1, frequent_pairs // (n * SUBS)), n))
     outside = outside_pairs(own.select("row", "fold", "text"), counts)
     bins = found.where("kind = 0").select("x", "y", "z", "n").union(outside_bins(outside, model.n_a)).groupBy("x", "y", "z").agg(F.sum("n").alias("n")).collect()  # no more than bins
     model.weights = learned_weights(model, bins)
-    pairs = found.where("kind = 1").select("x", "n").toPandas().sort_values("x")  # no more than ``frequent_pairs``
+    pairs = found.where("kind = 1").select("x", "n").toPandas().sort_values("x")  # no more than ``frequent_pairs``, or one a cell
     tables = spark.sparkContext.broadcast((model, pairs["x"].to_numpy(np.int64).astype(np.uint64), pairs["n"].to_numpy(float)))
     more = written(outside_scores(outside, model)).select("row", F.col("score").alias("more"), F.col("base").alias("more_base"), F.col("known").alias("more_known"))
     both = looked_up(scored(own, tables, n), more, ["row"])
