@@ -1,6 +1,6 @@
 """Deduplication of long substrings over a logarithmic family of indexes.
 
-Every string of 50 bytes has one anchor: its 16-byte string with the least hash. Neighbouring strings of equal anchors
+Every string of 50 bytes has one anchor: its 14-byte string with the least hash. Neighbouring strings of equal anchors
 are shipped together, as one stretch of text, to the anchor's cell; equal strings have equal anchors, so they
 meet. A run of one character, or of a short period, is one stretch, and of a document's equal stretches one text is
 shipped. In a cell the stretches come in batches of ascending documents. A batch's suffixes (one a string
@@ -8,6 +8,9 @@ of 50 bytes) are sorted into an array of its own; the array is merge-scanned aga
 left, whose documents are all smaller; then it becomes a level itself, and levels of equal size merge, so that a
 suffix is merged as often as the logarithm of the number of batches. Only equality over the 50 bytes matters, so
 suffixes are ordered by a 64-bit print of them, and bytes are compared on every hit.
+
+``Index`` keeps the stretches of batches in a folder, as levels of a logarithmic family: what is added later is compared to
+all levels, becomes a level, and levels of equal rank merge into one of the next.
 """
 
 from __future__ import annotations
@@ -25,13 +28,13 @@ from pyspark.sql import functions as F
 from tessera.llm.blobs import PACKED, SUBS, by_cell, dealt, gathered, packed, rows_of, shuffled, unpacked
 from tessera.llm.common import bounded, chunks, documents, give_back, mixed, parts, utf8, written
 
-LENGTH, ANCHOR = 50, 16
+LENGTH, ANCHOR = 50, 14
 WINDOW = LENGTH - ANCHOR + 1
 BATCHES = 8
 #: Bytes of text that are anchored at once; parts of a cell, gone through one after the other, so that only one is unpacked.
 CHUNK, INNER = 2 << 20, 4
-#: Stretches that a task remembers as repeated.
-HOT = 200_000
+#: Stretches that a task remembers as repeated; spans that it holds before it packs them for their documents.
+HOT, SPANS_HELD = 200_000, 500_000
 #: Stands for a null identifier, after all others.
 LAST = 2**63 - 1
 ODD = 0x9E3779B97F4A7C15
@@ -62,10 +65,10 @@ def words_at(text: np.ndarray) -> np.ndarray:
 
 
 def anchor_hashes(text: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the 16 bytes from each position on."""
+    """A 64-bit hash of the ANCHOR bytes from each position on."""
     eight = words_at(text)
     h = eight * np.uint64(0xD6E8FEB86659FD93)
-    h[:-8] ^= eight[8:] * np.uint64(0xA0761D6478BD642F)
+    h[: 8 - ANCHOR] ^= eight[ANCHOR - 8 :] * np.uint64(0xA0761D6478BD642F)
     return mixed(h)
 
 
@@ -204,7 +207,7 @@ def stretches(texts: list[bytes], ids: np.ndarray, keys: np.ndarray, base: np.nd
         inner = np.bincount(part[lead[a:b]] % INNER, minlength=INNER)
         docs, number = np.unique(own[mine], return_inverse=True)
         numbers = packed(np.diff(ids[docs], prepend=0), keys[docs], inner, narrow(number), narrow(size[mine]), narrow(times[a:b]), narrow(where[keep[starts[a] : starts[b]]]))
-        body = zstandard.ZstdCompressor(level=6).compress(text[ranges(first[mine], size[mine])].tobytes())
+        body = zstandard.ZstdCompressor(level=2).compress(text[ranges(first[mine], size[mine])].tobytes())
         out.append((int(cell[a]), pickle.dumps((numbers, body), protocol=5)))
     return out, found
 
@@ -259,8 +262,12 @@ class Levels:
 
 
 def repeated(payloads: list[tuple]) -> Iterator[tuple]:
-    """(ids, keys, starts, ends) of the spans that a smaller document has too, of stretches whose anchors share a part of a partition."""
+    """(ids, keys, starts, ends) of the spans that a smaller document has too, of stretches whose anchors share a part of a cell.
+
+    A payload's last item says whether it was there before: then its documents come before all others, and have no spans.
+    """
     ids = np.concatenate([p[0] for p in payloads])
+    before = np.repeat([p[7] for p in payloads], [len(p[0]) for p in payloads])
     keys = np.concatenate([p[1] for p in payloads])
     base = np.cumsum([0, *(len(p[0]) for p in payloads)])
     own = np.concatenate([p[2].astype(np.int64) + b for p, b in zip(payloads, base, strict=False)])
@@ -270,7 +277,8 @@ def repeated(payloads: list[tuple]) -> Iterator[tuple]:
     first, places = np.cumsum(size) - size, np.cumsum(times) - times
     sums = sums_of(anchor_hashes(text))
     levels = Levels(text)
-    doc = ids[own]
+    new = ~before[own]
+    doc = np.unique(np.stack([~before, ids]), axis=1, return_inverse=True)[1].reshape(-1)[own] if before.any() else ids[own]
     order = np.argsort(doc, kind="stable")
     # Batches of about equal size, none of which divides a document.
     edges = np.searchsorted(doc[order], doc[order][np.linspace(0, len(order) - 1, BATCHES + 1).astype(int)[1:-1]], "right")
@@ -281,23 +289,26 @@ def repeated(payloads: list[tuple]) -> Iterator[tuple]:
         place = ranges(first[batch], strings)
         record = np.repeat(np.arange(len(batch)), strings)
         mark = prints(sums, place, WINDOW)
-        # The records of a batch ascend by document, so a stable sort leaves equal suffixes in the order of documents.
-        array = np.argsort(mark, kind="stable")
-        mark, at, who = mark[array], place[array], doc[batch][record[array]]
-        head = np.concatenate([[True], mark[1:] != mark[:-1]])
-        lead = np.flatnonzero(head)[np.cumsum(head) - 1]
-        hit = (who > who[lead]) & (lead < np.arange(len(lead)))
+        array = np.argsort(mark)
+        mark = mark[array]
+        heads = np.flatnonzero(np.concatenate([[True], mark[1:] != mark[:-1]]))
+        # The records of a batch ascend by document, so the first of equal suffixes by place is of the smallest.
+        firsts = np.minimum.reduceat(array, heads)
+        lead = np.repeat(firsts, np.diff(np.append(heads, len(array))))
+        own_doc = doc[batch][record]
+        hit = own_doc[array] > own_doc[lead]
         at_hit = np.flatnonzero(hit)
-        hit[at_hit] = levels.same(at[at_hit], at[lead[at_hit]])
-        hit |= levels.scanned(mark, at)
-        levels.add(mark[head], at[head])
+        hit[at_hit] = levels.same(place[array[at_hit]], place[lead[at_hit]])
+        hit |= levels.scanned(mark, place[array])
+        levels.add(mark[heads], place[firsts])
         flags = np.zeros(len(place), bool)
         flags[array] = hit
         a, b = runs(flags, np.concatenate([[True], record[1:] != record[:-1]]))
         rec = batch[record[a]]
+        a, b, rec = a[new[rec]], b[new[rec]], rec[new[rec]]
         span = np.repeat(np.arange(len(rec)), times[rec])  # a span at each place of its stretch
         at, rec = where[ranges(places[rec], times[rec])], rec[span]
-        yield doc[rec], keys[own[rec]], at + place[a][span] - first[rec], at + place[b][span] - first[rec] + LENGTH
+        yield ids[own[rec]], keys[own[rec]], at + place[a][span] - first[rec], at + place[b][span] - first[rec] + LENGTH
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -314,9 +325,8 @@ def packed_spans(ids: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np
     return rows_of([k for k, _ in own], [p for _, p in own])
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """id, key, spans of each document that has repeated bytes: its maximal removed runs, packed. The key tells rows of one id apart."""
-    n = parts(docs.sparkSession)
+def shipped(docs: DataFrame, n: int) -> DataFrame:
+    """The stretches of ``docs`` for the cells of n partitions, and the spans found at once."""
 
     def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = Hot()
@@ -329,18 +339,34 @@ def spans(docs: DataFrame) -> DataFrame:
                     direct = packed_spans(ids[text[own]], keys[text[own]], start, end, n)
                     yield rows_of(direct.column(0).to_pylist(), [b"d" + p for p in direct.column(1).to_pylist()])
 
+    text = utf8("text")
+    return docs.select(by_id().alias("doc_id"), F.hash(text).alias("key"), text.alias("text")).mapInArrow(of_texts, PACKED)
+
+
+def matched(rows: DataFrame, n: int) -> DataFrame:
+    """id, key, spans of each new document that has repeated bytes: its maximal removed runs, packed. The key tells rows of one id apart.
+
+    ``rows``: what ``shipped`` gives, and rows of an index, marked with an o for old.
+    """
+
     def of_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for cell, payloads in by_cell(batches):
             done = [p[1:] for p in payloads if p[:1] == b"d"]
             yield rows_of([cell] * len(done), done)
             inner: dict[int, list[tuple]] = {}
             for payload in payloads:
-                if payload[:1] == b"s":
+                if payload[:1] != b"d":
                     for k, each in opened(payload[1:]):
-                        inner.setdefault(k, []).append(each)
+                        inner.setdefault(k, []).append((*each, payload[:1] == b"o"))
             while inner:
-                found = [*repeated(inner.popitem()[1])]
-                yield packed_spans(*(np.concatenate([f[k] for f in found]) for k in range(4)), n)
+                own = inner.popitem()[1]
+                held += [] if all(p[7] for p in own) else [f for f in repeated(own) if len(f[0])]
+                if sum(len(f[0]) for f in held) > SPANS_HELD:
+                    yield packed_spans(*(np.concatenate([f[k] for f in held]) for k in range(4)), n)
+                    held = []
+        if held:
+            yield packed_spans(*(np.concatenate([f[k] for f in held]) for k in range(4)), n)
         give_back()
 
     def of_spans(payloads: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -351,21 +377,80 @@ def spans(docs: DataFrame) -> DataFrame:
         out = [np.stack(merged(s, e)).tobytes() for s, e in zip(np.split(starts, heads[1:]), np.split(ends, heads[1:]), strict=True)] if len(heads) else []
         yield pa.RecordBatch.from_arrays([pa.array(ids[heads], pa.int64()), pa.array(keys[heads], pa.int32()), pa.array(out, pa.binary())], names=["id", "key", "spans"])
 
-    text = utf8("text")
-    own = docs.select(by_id().alias("doc_id"), F.hash(text).alias("key"), text.alias("text"))
-    sent = shuffled(own.mapInArrow(of_texts, PACKED), n).mapInArrow(of_stretches, PACKED)
-    return gathered(sent, n, of_spans, "id long, key int, spans binary")
+    return gathered(shuffled(rows, n).mapInArrow(of_stretches, PACKED), n, of_spans, "id long, key int, spans binary")
+
 
+class Index:
+    """Levels of stretches below a folder that driver and executors share, for batches of documents that come one after the other.
 
-def without_repeats(docs: DataFrame, text_too: bool = False) -> DataFrame:
+    Documents of an earlier batch count as smaller than all of a later one. Batches of rank 0 merge to one of rank 1 and
+    so on, so a stretch is written again as often as the logarithm of the number of batches. The number of partitions is
+    that of the first batch. A batch whose add failed leaves no level and can be added again.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.fs = spark._jvm.org.apache.hadoop.fs.Path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+
+    def levels(self) -> list[tuple[int, int, int, str]]:
+        """(rank, serial number, partitions, name) of each level, those of the highest rank first."""
+        if not self.fs.exists(self.path("")):
+            return []
+        names = [s.getPath().getName() for s in self.fs.listStatus(self.path(""))]
+        return sorted(((*map(int, name.split("-")[1:]), name) for name in names if name.startswith("level-")), key=lambda x: (-x[0], x[1]))
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.schema(PACKED).parquet(f"{self.folder}/{name}")
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """The spans of ``docs`` as ``matched`` gives them, and the stretches as a level."""
+        own = self.levels()
+        n = own[0][2] if own else parts(self.spark)
+        serial = max((x[1] for x in own), default=-1) + 1
+        batch = f"batch-{serial}"
+        shipped(docs, n).write.mode("overwrite").parquet(f"{self.folder}/{batch}")
+        rows = self.table(batch)
+        for _, _, _, name in own:
+            rows = rows.union(self.table(name).select("cell", F.concat(F.lit(b"o"), F.expr("substring(payload, 2)")).alias("payload")))
+        found = written(matched(rows, n))
+        is_text = F.expr("substring(payload, 1, 1)") == F.lit(b"s")
+        self.put(self.table(batch).where(is_text), 0, serial, n)
+        self.fs.delete(self.path(batch), True)
+        self.merge()
+        return found
+
+    def put(self, rows: DataFrame, rank: int, serial: int, n: int) -> None:
+        """Written aside and then renamed, so that a level is there as a whole or not at all."""
+        rows.write.mode("overwrite").parquet(f"{self.folder}/new-{rank}-{serial}")
+        self.fs.rename(self.path(f"new-{rank}-{serial}"), self.path(f"level-{rank}-{serial}-{n}"))
+
+    def merge(self) -> None:
+        while True:
+            own = self.levels()
+            pair = next(((a, b) for a, b in zip(own, own[1:], strict=False) if a[0] == b[0]), None)
+            if pair is None:
+                return
+            a, b = pair
+            self.put(self.table(a[3]).union(self.table(b[3])), a[0] + 1, b[1], a[2])
+            for level in pair:
+                self.fs.delete(self.path(level[3]), True)
+
+
+def without_repeats(docs: DataFrame, text_too: bool = False, index: Index | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of ``docs``, and ``kept_text`` (binary) if asked for.
 
     ``docs``: doc_id, text; other columns don't matter. Texts are UTF-8 bytes, a null text the empty one. Each byte
     goes that a string of 50 bytes covers which also starts in a document with a smaller doc_id; strings are
     judged on the input. A null doc_id comes after all others. Rows that repeat a doc_id don't repeat each
     other. An empty table gives no rows.
+
+    With an ``index`` all documents of batches added to it before count as smaller, and these are added.
     """
-    found = written(spans(docs))
+    n = parts(docs.sparkSession)
+    found = index.add(docs) if index else written(matched(shipped(docs, n), n))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

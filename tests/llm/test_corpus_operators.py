@@ -493,7 +493,7 @@ def test_suffix_dedup(docs, chunk, monkeypatch):
     assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == suffix_brute(rows_of(docs))
 
 
-def shipped(texts, n=8):
+def shipped_bytes(texts, n=8):
     """Bytes of text that stretches ship, and the cells they go to."""
     total, cells = 0, set()
     hot = suffix_dedup.Hot()
@@ -508,13 +508,13 @@ def test_suffix_stretches_of_long_repeats_are_short():
     """What repeats itself is shipped about once; other text some four times over, to many cells."""
     rng = random.Random(6)
     for unit in (b"a", b"ab", b"= "):
-        assert shipped([unit * (100_000 // len(unit))])[0] <= 110_000
+        assert shipped_bytes([unit * (100_000 // len(unit))])[0] <= 110_000
     passage = bytes(rng.randrange(97, 123) for _ in range(1000))
-    assert shipped([passage * 100])[0] <= 6000
+    assert shipped_bytes([passage * 100])[0] <= 6000
     # A passage of every document is shipped for few of them, also where they come in other chunks.
     common_ = [bytes(rng.randrange(97, 123) for _ in range(30)) + passage + bytes(rng.randrange(97, 123) for _ in range(30)) for _ in range(5000)]
-    assert shipped(common_)[0] <= 2.5 * 5000 * 2 * 30 * 5
-    total, cells = shipped([bytes(rng.randrange(97, 123) for _ in range(100_000))])
+    assert shipped_bytes(common_)[0] <= 2.5 * 5000 * 2 * 30 * 5
+    total, cells = shipped_bytes([bytes(rng.randrange(97, 123) for _ in range(100_000))])
     assert total <= 500_000 and len(cells) == 8 * 8
 
 
@@ -526,6 +526,23 @@ def test_suffix_dedup_of_self_repeating_texts(spark):
     assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == suffix_brute(rows)
 
 
+def test_suffix_index_goes_on(spark, docs, tmp_path):
+    """Documents added in three batches of ascending ids lose what they lose in one run; levels of equal rank merge."""
+    rows = [(i, t) for i, t in rows_of(docs) if i is not None]
+    ids = sorted({i for i, _ in rows})
+    cuts = [ids[len(ids) // 3], ids[2 * len(ids) // 3], ids[-1] + 1]
+    index, got, ranks = suffix_dedup.Index(spark, str(tmp_path / "index")), collections.Counter(), []
+    for low, high in zip([-1, *cuts], cuts, strict=False):
+        batch = spark.createDataFrame([(i, t) for i, t in rows if low <= i < high], "doc_id long, text string").repartition(2)
+        got.update((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.without_repeats(batch, index=index).collect())
+        ranks.append([level[0] for level in index.levels()])
+    assert got == suffix_brute(rows)
+    assert ranks == [[0], [1], [1, 0]]
+    # What comes again is gone but for its start.
+    again = suffix_dedup.without_repeats(batch, index=suffix_dedup.Index(spark, str(tmp_path / "index"))).collect()
+    assert all(r.n_removed == (r.n_bytes if r.n_bytes >= 50 else 0) for r in again)
+
+
 def test_suffix_levels_merge_geometrically():
     text = np.frombuffer(bytes(range(256)) * 4, np.uint8)
     levels = suffix_dedup.Levels(text)
