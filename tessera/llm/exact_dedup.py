@@ -115,7 +115,11 @@ def exact_groups(docs: DataFrame, batches: int = 2) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. Rows are told apart by their locators, so of repeated rows one stays, too."""
+    """The rows of ``docs`` that stay, with all their columns, of one text as for exact_groups.
+
+    Rows are told apart by their locators, so of repeated rows one stays, too. A null text is the empty one; other
+    columns pass through, whatever their names; an empty table gives no rows.
+    """
     path, row, gone_file, gone_row = fresh(docs, "path", "row", "gone_file", "gone_row")
     own = numbered(docs, path, row)
     # Read from files, or else written once for both uses.

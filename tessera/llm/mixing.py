@@ -105,7 +105,11 @@ def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
 
 
 def training_order(docs: DataFrame, **mix) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with all their columns, sorted by position over a range partitioning."""
+    """The rows of ``docs`` as often as the mix takes them, with all their columns, sorted by position over a range partitioning.
+
+    A null source is a source, the last; a text without words is never taken. Rows that repeat are taken each by itself.
+    Equal positions are in the order of a hash. An empty table gives no rows.
+    """
     path, row, file, own_row, at, mark, position = fresh(docs, "path", "row", "mix_file", "mix_row", "mix_at", "mix_print", "position")
     own = numbered(docs, path, row)
     takes = mixed_rows(own.withColumn(file, F.xxhash64(path)).withColumnRenamed(row, own_row), also=(file, own_row), **mix).where(F.size("positions") > 0).select(file, own_row, F.col("positions").alias(at), F.col("print").alias(mark))

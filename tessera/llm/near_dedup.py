@@ -260,7 +260,11 @@ def extended(found: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def drop_near(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose document stays, with all their columns."""
+    """The rows of ``docs`` whose document stays by near_groups, with all their columns.
+
+    Rows without a doc_id and texts without words stay. Rows that repeat a doc_id stay or go together. Other columns
+    pass through, whatever their names; an empty table gives no rows.
+    """
     (name,) = fresh(docs, "gone_id")
     gone = written(near_groups(docs, percent).where("not kept").select(F.col("doc_id").alias(name)).distinct())
     return docs.join(bounded(gone), F.col(name) == docs["doc_id"], "left_anti")

@@ -193,7 +193,10 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
+    """The rows of ``docs`` that are kept, with all their columns, whatever their names.
+
+    A null, empty or blank text fails. Rows that repeat have one verdict; an empty table gives no rows.
+    """
     (name,) = fresh(docs, "quality")
     return judged(docs, name).where(f"`{name}`.kept").select(*docs.columns)
 
