@@ -15,6 +15,14 @@ def n_lines(s: Column) -> Column:
     return F.size(F.split(s, BREAKS, -1)).cast("long")
 
 
+def line_at(s: Column, offset: Column | int) -> Column:
+    """The number, from 1, of the line that the character at ``offset`` (from 0) is in. Offsets outside count as the ends."""
+    own = F.lit(offset) if isinstance(offset, int) else offset
+    end = F.greatest(F.least(own, F.length(s)), F.lit(0))
+    # A CR before the offset breaks a line even if its LF is not before it.
+    return (F.regexp_count(F.substring(s, F.lit(1), end.cast("int")), F.lit(BREAKS)) + 1).cast("long")
+
+
 def utf16_length(s: Column) -> Column:
     return (F.octet_length(F.encode(s, "UTF-16BE")) / 2).cast("long")
 
@@ -66,9 +74,8 @@ def find_snippet(s: Column, needle: str, around: int = 80, most: int = 160) -> C
     return F.when(at > 0, F.concat(F.when(start > 1, "…").otherwise(""), body, F.when(end + around < F.length(s), "…").otherwise("")))
 
 
-# Lines that show code, and those that alone are enough.
-SYNTAX = r"^(?:#!/.*|.*#include <.*|.*fn .*\(.*|.*\(.*fn .*|.*def .*\(.*:|.*\(.*def .*:|.*function .*\(.*|.*\(.*function .*|package main.*|.*public static.*|(?:const|let|var) .*=.*|(?=.*\()(?=.*\)).*;.*|(?=.*=>).*[{;].*)$"
-CERTAIN = r"^(?:#!/.*|.*#include <.*|.*fn .*\(.*|.*\(.*fn .*|.*def .*\(.*|.*\(.*def .*|.*function .*\(.*|.*\(.*function .*|package main.*|.*public static.*)$"
+# What a line of code begins with or holds; a parenthesis too for those of CALLS; what starts an assignment.
+STARTS, HOLDS, CALLS, ASSIGNS = ["#!/", "package main"], ["#include <", "public static"], ["fn ", "def ", "function "], ["const ", "let ", "var "]
 CODE_KEYS = ["code", "source", "script"]
 LIMIT_BYTES, HTML_LIMIT = 2 << 20, 64 << 10
 
@@ -77,28 +84,61 @@ def lines(s: Column) -> Column:
     return F.split(s, r"\r?\n", -1)
 
 
+def any_of(test, line: Column, words: list[str]) -> Column:
+    out = F.lit(False)
+    for word in words:
+        out = out | test(line, F.lit(word))
+    return out
+
+
+def table_cells(line: Column) -> Column:
+    """What bars part, without the empty parts outside of those at the ends."""
+    own = trimmed(line)
+    first = F.when(F.startswith(own, F.lit("|")), 2).otherwise(1)
+    parts = F.split(own, r"\|", -1)
+    size = F.size(parts) - first + 1 - F.when(F.endswith(own, F.lit("|")), 1).otherwise(0)
+    return F.slice(parts, first, F.greatest(size, F.lit(0)))
+
+
 def has_markdown(s: Column) -> Column:
-    """A heading, a quoted line, two items of a list, or a table whose second line parts as many cells."""
-    block = F.rlike(s, F.lit(r"(?m)^ {0,3}#{1,6}(?:[ \t]|$)")) | F.rlike(s, F.lit(r"(?m)^\s*>"))
-    items = F.regexp_count(s, F.lit(r"(?m)^\s*(?:[-*+]|\d+[.)])\s+\S")) >= 2
-    cells = lambda line: F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|", -1)
-    own = F.filter(lines(s), lambda x: F.trim(x) != "")
-    head, rule = F.try_element_at(own, F.lit(1)), F.try_element_at(own, F.lit(2))
-    table = (F.size(cells(head)) >= 2) & (F.size(cells(head)) == F.size(cells(rule))) & F.forall(cells(rule), lambda c: F.rlike(F.trim(c), F.lit(r"^:?-{3,}:?$")))
-    return block | items | F.coalesce(table, F.lit(False))
+    """A heading, a quoted line, two items of a list, or a table: the line after the first that isn't blank parts as many cells."""
+    block = F.rlike(s, F.lit(r"(?md)^(?U:\s*)#{1,6}(?:[ \t\f]|\r|$)")) | F.rlike(s, F.lit(r"(?md)^(?U:\s*)>"))
+    items = F.regexp_count(s, F.lit(r"(?md)^(?U:\s*)(?:[-+*] |[0-9]+\.(?:[ \t\f]|\r(?!\n)))")) >= 2
+    own = lines(s)
+    first = F.array_min(F.transform(own, lambda x, i: F.when(trimmed(x) != "", i)))
+    head, rule = F.get(own, first), F.get(own, first + 1)
+    table = (F.size(table_cells(head)) >= 2) & (F.size(table_cells(head)) == F.size(table_cells(rule))) & F.forall(table_cells(rule), lambda c: F.rlike(trimmed(c), F.lit(r"^:?-{3,}:?$")))
+    return block | items | F.coalesce(F.contains(s, F.lit("|")) & table, F.lit(False))
 
 
 def has_fence(s: Column) -> Column:
-    """Three or more backticks or tildes that a line of at least as many closes."""
-    return F.rlike(s, F.lit(r"(?ms)^ {0,3}(`{3,})[^`\n]*\n.*?^ {0,3}\1`*[ \t]*$")) | F.rlike(s, F.lit(r"(?ms)^ {0,3}(~{3,})[^\n]*\n.*?^ {0,3}\1~*[ \t]*$"))
+    """A line of three or more backticks or tildes, whatever follows, and a later one of at least as many of the same and nothing else."""
+    mark = lambda x: F.regexp_extract(x, r"(?U)^\s*(`{3,}|~{3,})", 1)
+    opening = F.filter(lines(s), lambda x: mark(x) != "")
+    state = F.struct(F.lit("").alias("open"), F.lit(False).alias("done"))
+    closes = lambda acc, x: (F.left(acc["open"], F.lit(1)) == F.left(mark(x), F.lit(1))) & (F.length(mark(x)) >= F.length(acc["open"])) & F.rlike(x, F.lit(r"(?U)^\s*(?:`+|~+)\s*$"))
+    step = lambda acc, x: F.struct(F.when(acc["open"] == "", mark(x)).otherwise(acc["open"]).alias("open"), (acc["done"] | ((acc["open"] != "") & closes(acc, x))).alias("done"))
+    marked = F.contains(s, F.lit("```")) | F.contains(s, F.lit("~~~"))
+    return marked & F.aggregate(opening, state, step)["done"]
+
+
+def certain_code(line: Column) -> Column:
+    """Whether a trimmed line is code for itself."""
+    return any_of(F.startswith, line, STARTS) | any_of(F.contains, line, HOLDS) | (any_of(F.contains, line, CALLS) & F.contains(line, F.lit("(")))
+
+
+def code_line(line: Column) -> Column:
+    """Whether a trimmed line looks like code. A ``def`` must end with a colon here."""
+    has = lambda word: F.contains(line, F.lit(word))
+    calls = (any_of(F.contains, line, [c for c in CALLS if c != "def "]) | (has("def ") & F.endswith(line, F.lit(":")))) & has("(")
+    return any_of(F.startswith, line, STARTS) | any_of(F.contains, line, HOLDS) | calls | (any_of(F.startswith, line, ASSIGNS) & has("=")) | (has("(") & has(")") & has(";")) | (has("=>") & (has("{") | has(";")))
 
 
 def is_code(s: Column, key: Column | None = None) -> Column:
     own = F.transform(lines(s), lambda x: trimmed(x))
-    syntax = F.size(F.filter(own, lambda x: F.rlike(x, F.lit(SYNTAX))))
-    certain = F.exists(own, lambda x: F.rlike(x, F.lit(CERTAIN)))
+    syntax = F.size(F.filter(own, code_line))
     named = F.lit(False) if key is None else F.coalesce(F.lower(key).isin(CODE_KEYS), F.lit(False))
-    return (syntax >= 1) & (named | (syntax >= 2) | certain)
+    return (syntax >= 1) & (named | (syntax >= 2) | F.exists(own, certain_code))
 
 
 def is_json(s: Column) -> Column:
@@ -129,6 +169,7 @@ LANGUAGES = (
     ("java", (r"\bpublic\s+(?:static\s+)?class\s+\w+|\bpublic\s+static\s+void\s+main\s*\(", r"(?:\bnew\b|\bSystem\.out\b|String\[\])")),
     ("go", (r"(?m)^\s*package\s+main\b", r"\bfunc\s+main\s*\(")),
 )
+# Fixed value: a field of YAML.
 YAML_FIELD = r"(?m)^[\t ]*[A-Za-z_][\w.-]*\s*:\s+\S.*$"
 DETECT_LIMIT = 256 << 10
 

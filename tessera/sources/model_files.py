@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import struct
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -20,6 +21,11 @@ from pyspark.sql import functions as F
 
 HEADER_LEAST, HEADER_MOST = 2, 25_000_000
 MOST_DIMS, MOST_DEPTH, PREVIEW = 8, 4, 16
+#: Most entries, tensors, array elements, bytes of a text, of a key and of a tensor's name of a GGUF file.
+MOST_ENTRIES, MOST_TENSORS, MOST_ELEMENTS, MOST_TEXT, MOST_KEY, MOST_NAME = 100_000, 1_000_000, 1_000_000, 10 << 20, 65_535, 64
+KEY = re.compile(r"[a-z0-9_]+(?:\.[a-z0-9_]+)*")
+#: Most bytes, entries, bytes of a name and values of an importance matrix.
+MATRIX_BYTES, MATRIX_ENTRIES, MATRIX_NAME, MATRIX_VALUES = 32 << 20, 100_000, 1024, 10_000_000
 #: Bytes that Spark holds of a file's content at most; bytes of a file that are read at once.
 CONTENT_MOST, BLOCK = (1 << 31) - 1, 1 << 16
 #: What a reader meets in a file that is damaged or can't be opened.
@@ -96,7 +102,7 @@ class Reader:
     """The values of a file in order. What the file is too short for is never asked of the stream."""
 
     def __init__(self, stream, length: int):
-        self.stream, self.length, self.at, self.order = stream, length, 0, "<"
+        self.stream, self.length, self.at, self.order, self.count, self.elements = stream, length, 0, "<", "Q", 0
 
     def bytes(self, n: int) -> bytes:
         if not 0 <= n <= min(self.length - self.at, CONTENT_MOST):
@@ -111,22 +117,35 @@ class Reader:
         (value,) = struct.unpack(self.order + code, self.bytes(struct.calcsize(self.order + code)))
         return value
 
-    def text(self, length: str = "Q") -> str:
-        return self.bytes(self.take(length)).decode()
+    def text(self, most: int = MOST_TEXT) -> str:
+        n = self.take(self.count)
+        if n > most:
+            raise ValueError("text too long")
+        return self.bytes(n).decode()
 
     def value(self, kind: int, depth: int = 0):
         if kind == 8:
             return self.text()
         if kind == 9:
-            inner, n = self.take("I"), self.take("Q")
             if depth >= MOST_DEPTH:
                 raise ValueError("depth")
+            inner, n = self.take("I"), self.take(self.count)
+            self.elements += n
+            if inner > 12 or self.elements > MOST_ELEMENTS:
+                raise ValueError("array")
             found = []
             for k in range(n):
                 v = self.value(inner, depth + 1)
                 if k < PREVIEW:
                     found.append(v)
             return {"count": n, "first": found}
+        if kind == 7:
+            flag = self.take("B")
+            if flag > 1:
+                raise ValueError("boolean")
+            return bool(flag)
+        if kind > 9 and self.count == "I":
+            raise ValueError("type")  # version 1 has no 64-bit values
         return self.take(SCALARS[kind])
 
 
@@ -136,29 +155,33 @@ def gguf_parts(r: Reader) -> tuple[list[tuple], list[tuple]]:
         raise ValueError("magic")
     four = r.bytes(4)
     (version,) = struct.unpack("<I", four)
-    if version > 3:
+    if not 1 <= version <= 3:
         r.order = ">"
         (version,) = struct.unpack(">I", four)
-    if not 1 <= version <= 3:
-        raise ValueError("version")
-    tensors, entries = r.take("Q" if version > 1 else "I"), r.take("Q" if version > 1 else "I")
+        if version != 3:
+            raise ValueError("version")
+    r.count = "I" if version == 1 else "Q"  # lengths, counts and dimensions
+    tensors, entries = r.take(r.count), r.take(r.count)
+    if tensors > MOST_TENSORS or entries > MOST_ENTRIES:
+        raise ValueError("counts")
     meta: dict[str, object] = {}
     for _ in range(entries):
-        key = r.text()
+        key = r.text(MOST_KEY)
         kind = r.take("I")
-        if key in meta:
-            raise ValueError("repeated key")
+        if key in meta or not KEY.fullmatch(key):
+            raise ValueError("key")
         meta[key] = r.value(kind)
     alignment = meta.get("general.alignment", 32)
-    if alignment <= 0 or alignment % 8:
+    alignment = alignment if type(alignment) is int and alignment >= 0 else 32
+    if alignment == 0 or alignment % 8:
         raise ValueError("alignment")
     rows, names = [], set()
     for _ in range(tensors):
-        name, dims = r.text(), r.take("I")
-        if dims > MOST_DIMS or name in names:
+        name, dims = r.text(MOST_NAME), r.take("I")
+        if dims > MOST_DIMS or not name or name in names:
             raise ValueError("dimensions or name")
         names.add(name)
-        shape = [r.take("Q") for _ in range(dims)]
+        shape = [r.take(r.count) for _ in range(dims)]
         kind, offset = r.take("I"), r.take("Q")
         if offset % alignment:
             raise ValueError("offset")
@@ -166,16 +189,35 @@ def gguf_parts(r: Reader) -> tuple[list[tuple], list[tuple]]:
     return [(k, json.dumps(v, ensure_ascii=False)) for k, v in meta.items()], rows
 
 
-def imatrix_rows(r: Reader) -> list[tuple]:
-    """(name, calls, count, least, most, mean) of each entry of a legacy importance matrix."""
-    out = {}
-    for _ in range(r.take("i")):
-        name, calls, n = r.text("i"), r.take("i"), r.take("i")
-        values = np.frombuffer(r.bytes(4 * n), "<f4").astype(float)
-        if name in out or not len(values) or not np.isfinite(values).all():
+def imatrix_parts(r: Reader) -> tuple[list[tuple], int | None, str | None]:
+    """((name, calls, count, least, most, mean) of each entry, chunks, dataset) of a legacy importance matrix."""
+    if r.length > MATRIX_BYTES:
+        raise ValueError("file too large")
+    entries = r.take("i")
+    if not 1 <= entries <= MATRIX_ENTRIES:
+        raise ValueError("entries")
+    out, total = {}, 0
+    for _ in range(entries):
+        size = r.take("i")
+        if not 1 <= size <= MATRIX_NAME:
+            raise ValueError("name")
+        name, calls, n = r.bytes(size).decode(), r.take("i"), r.take("i")
+        if name in out or calls < 0 or not 1 <= n <= MATRIX_VALUES - total:
             raise ValueError("entry")
+        total += n
+        values = np.frombuffer(r.bytes(4 * n), "<f4").astype(float)
+        if not np.isfinite(values).all():
+            raise ValueError("values")
         out[name] = name, calls, n, float(values.min()), float(values.max()), float(values.mean())
-    return [*out.values()]
+    chunks = r.take("i") if r.at < r.length else None
+    if chunks is not None and chunks < 0:
+        raise ValueError("chunks")
+    dataset = None
+    if r.at < r.length:
+        dataset = r.bytes(r.take("i")).decode() or None
+        if r.at < r.length:
+            raise ValueError("dataset")
+    return [*out.values()], chunks, dataset
 
 
 def tensors(binary: DataFrame, of=safetensors_rows) -> DataFrame:
@@ -216,9 +258,17 @@ def gguf_metadata(binary: DataFrame) -> DataFrame:
 
 
 def imatrix(binary: DataFrame) -> DataFrame:
+    """A row for each entry of each file, with the file's chunks and dataset, or one row with the error of a file that can't be read."""
+
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(path, *row) for path, *own in zip(frame["path"], frame["length"], frame["content"], strict=True) for row in read_by(imatrix_rows, path, *own)]
-            yield pd.DataFrame(rows, columns=["path", "name", "calls", "n", "least", "most", "mean"])
+            rows = []
+            for path, *own in zip(frame["path"], frame["length"], frame["content"], strict=True):
+                try:
+                    entries, chunks, dataset = read_by(imatrix_parts, path, *own)
+                    rows += [(path, *row, chunks, dataset, None) for row in entries]
+                except UNREADABLE as e:
+                    rows.append((path, *[None] * 8, type(e).__name__ + ": " + str(e)))
+            yield pd.DataFrame(rows, columns=["path", "name", "calls", "n", "least", "most", "mean", "chunks", "dataset", "error"]).astype({c: "Int32" for c in ("calls", "n", "chunks")})
 
-    return binary.select("path", "length", "content").mapInPandas(each, "path string, name string, calls int, n int, least double, most double, mean double")
+    return binary.select("path", "length", "content").mapInPandas(each, "path string, name string, calls int, n int, least double, most double, mean double, chunks int, dataset string, error string")

@@ -215,7 +215,7 @@ def test_files(spark):
     ids = [("https://hub.co/o/n/tree/main", "o/n"), ("o/n", "o/n"), ("nothing", None)]
     assert [r[0] for r in spark.createDataFrame(ids, "u string, w string").select(names.model_id(F.col("u"))).collect()] == [w for _, w in ids]
     sizes = spark.createDataFrame([(5,), (1500,), (2_500_000,)], "n long")
-    assert [r[0] for r in sizes.select(names.format_bytes(F.col("n"))).collect()] == ["5 B", "1.5 kB", "2.5 MB"]
+    assert [r[0] for r in sizes.select(names.format_bytes(F.col("n"))).collect()] == ["5 bytes", "2 KB", "2.5 MB"]
 
 
 def test_natural_order(spark):
@@ -275,7 +275,7 @@ def test_jsonl_over_splits(spark, tmp_path):
 
 
 def test_routes(spark):
-    rows = [("a.json", b"[1]", "Collection"), ("b.json", b"{}", "Document"), ("c.jsonl", b"{}", "Entry"), ("d.gz", b"x", "Unsupported"), ("e.txt", b"{}\n{}\n", "Entry"), ("f.txt", b"{}", "Document"), ("g.txt", b"words\nmore", "Unsupported"), ("h.json", b"\xff\xfe{\0", "Unsupported")]
+    rows = [("a.json", b"[1]", "Collection"), ("b.json", b"{}", "Document"), ("c.jsonl", b"{}", "Entry"), ("d.gz", b"x", "Unsupported"), ("e.txt", b"{}\n{}\n", "Entry"), ("f.txt", b"{}", "Document"), ("g.txt", b"words\nmore", "Choice"), ("h.json", b"\xff\xfe{\0", "Unsupported")]
     df = spark.createDataFrame([(p, bytearray(c), w) for p, c, w in rows], "path string, content binary, want string")
     assert {r.path: r.route for r in jsonl.routes(df).collect()} == {p: w for p, _, w in rows}
     bad = spark.createDataFrame([(bytearray(b"\xff"),), (bytearray(b"x"),)], "raw binary")
