@@ -60,11 +60,24 @@ def locality(att: DataFrame, reach: int = 2) -> DataFrame:
 
 
 def head_similarity(att: DataFrame) -> DataFrame:
-    """Mean and deviation of the correlations of each two heads' weights (batch 0). Heads of one layer meet by position."""
-    own = att.where("batch = 0").select("layer", "head", "q", "k", "weight")
-    other = own.select("layer", "q", "k", F.col("head").alias("head2"), F.col("weight").alias("weight2"))
-    pairs = own.join(other, ["layer", "q", "k"]).where("head < head2").groupBy("layer", "head", "head2").agg(F.corr("weight", "weight2").alias("r"))
-    return pairs.where("r IS NOT NULL AND NOT isnan(r)").groupBy("layer").agg(F.avg("r").alias("mean"), F.stddev_pop("r").alias("std"), F.count("*").alias("pairs"))
+    """Mean and deviation of the correlations of each two heads' weights (batch 0), and the number of pairs.
+
+    No pair of heads is made: with z the standardised weights of a head of n cells, the correlation of two heads is z.z'/n.
+    Over all pairs the sum of these follows from the sum of the z, and the sum of their squares from the sum of
+    the products of each two cells, which every task adds up for its own heads. Heads without variance have none.
+    """
+    head = att.where("batch = 0").groupBy("layer", "head").agg(F.array_sort(F.collect_list(F.struct("q", "k", "weight"))).alias("cells"), F.avg(W).alias("mean"), F.stddev_pop(W).alias("std")).where("std > 0")
+    z = head.select("layer", F.size("cells").alias("n"), F.transform("cells", lambda c: (c["weight"] - F.col("mean")) / F.col("std")).alias("z"))
+    each = z.select("layer", "n", "z", F.posexplode("z").alias("i", "a")).select("layer", "n", "i", "a", F.posexplode("z").alias("j", "b")).where("i <= j")
+    products = each.groupBy("layer", "n", "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("g"), F.sum(F.when(F.col("i") == F.col("j"), F.col("a"))).alias("s"), F.count("*").alias("heads"))
+    square = F.col("g") * F.col("g") * F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0)
+    whole = products.groupBy("layer", "n").agg(F.sum(F.col("s") * F.col("s")).alias("s2"), F.sum(square).alias("g2"), F.max("heads").alias("heads"))
+    # A head's correlation with itself is 1; the others are there twice.
+    heads, n = F.col("heads"), F.col("n")
+    pairs = whole.withColumns({"pairs": heads * (heads - 1) / 2, "sum": (F.col("s2") / n - heads) / 2, "squares": (F.col("g2") / (n * n) - heads) / 2}).where("pairs > 0")
+    got = pairs.groupBy("layer").agg(F.sum("sum").alias("sum"), F.sum("squares").alias("squares"), F.sum("pairs").alias("pairs"))
+    mean = F.col("sum") / F.col("pairs")
+    return got.select("layer", mean.alias("mean"), F.sqrt(F.greatest(F.col("squares") / F.col("pairs") - mean * mean, F.lit(0.0))).alias("std"), F.col("pairs").cast("long").alias("pairs"))
 
 
 def token_attribution(att: DataFrame) -> DataFrame:

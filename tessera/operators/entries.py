@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,18 +25,19 @@ SAMPLES, SAMPLE_BYTES = 200, 8 << 20
 NODE = "node_id int, parent int, kind string, key string, index int, occurrence int, start long, end long, path string, lexeme string, value string, children int"
 
 
-@F.pandas_udf(T.StructType([T.StructField("code", T.StringType()), T.StructField("at", T.LongType())]))
+@F.pandas_udf(T.StructType([T.StructField("code", T.StringType()), T.StructField("at", T.LongType()), T.StructField("line", T.LongType()), T.StructField("column", T.LongType())]))
 def strict_error(values: pd.Series) -> pd.DataFrame:
-    """The first error of each text; nulls where it is valid."""
+    """The first error of each text, with its byte, line and column; nulls where it is valid."""
 
     def of(s: str) -> tuple:
         try:
             strict_json.nodes(s)
         except strict_json.Bad as e:
-            return e.code, len(s[: e.at].encode())
-        return None, None
+            return e.code, *strict_json.place(s, e.at)
+        return (None,) * 4
 
-    return pd.DataFrame([of(s) if s is not None else (None, None) for s in values], columns=["code", "at"]).astype({"at": "Int64"})
+    names = ["code", "at", "line", "column"]
+    return pd.DataFrame([of(s) if s is not None else (None,) * 4 for s in values], columns=names).astype(dict.fromkeys(names[1:], "Int64"))
 
 
 def entry_status(df: DataFrame, raw: str) -> DataFrame:
@@ -53,6 +57,15 @@ def entry_status(df: DataFrame, raw: str) -> DataFrame:
     return got.withColumn("status", status).withColumn("error", F.when(F.col("_error.code").isNotNull(), F.col("_error"))).drop("_text", "_sure", "_error")
 
 
+def byte_places(s: str | None):
+    """What gives the bytes before each character of a text: one table for all of its values."""
+    if not s or s.isascii():
+        return lambda k: k
+    points = np.frombuffer(s.encode("utf-32-le"), np.uint32)
+    table = np.concatenate([[0], np.cumsum(1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF))]).tolist()
+    return table.__getitem__
+
+
 def json_nodes(df: DataFrame, key: str, text: str) -> DataFrame:
     """A row for each value of each valid text, in order, with its path, span in bytes, lexeme and decoded string."""
     kind = dict(df.select(key).dtypes)[key]
@@ -66,8 +79,7 @@ def json_nodes(df: DataFrame, key: str, text: str) -> DataFrame:
                 except strict_json.Bad:
                     continue
                 path: dict[int, str] = {}
-                ascii_ = s.isascii() if s else True
-                at = (lambda k: k) if ascii_ else (lambda k, s=s: len(s[:k].encode()))
+                at = byte_places(s)
                 for n in found:
                     path[n["id"]] = "$" if n["parent"] is None else path[n["parent"]] + strict_json.path_part(n)
                     leaf = n["kind"] not in ("Object", "Array")
@@ -104,18 +116,49 @@ def first_evidence(matches: DataFrame, key: str) -> DataFrame:
     return matches.groupBy(key).agg(F.min(F.struct("node_id", "phase", "start", "path", "field")).alias("m")).select(key, "m.path", "m.field", "m.start")
 
 
-def by_rank(json: Column, keys: list[str]) -> Column:
-    """The value of the first key that the object has: strings decoded, others as written, null as ``null``."""
-    has = F.json_object_keys(json)
-    value = lambda k: F.coalesce(F.get_json_object(json, f"$.{k}"), F.lit("null"))
-    return F.coalesce(*(F.when(F.array_contains(has, k), value(k)) for k in keys))
+def evidence_snippets(nodes: DataFrame, key: str, query: str, around: int = 80, most: int = 160) -> DataFrame:
+    """key, path, field, snippet, match_start, match_end: the first match of each entry with what surrounds it.
+
+    Marks show what is cut, of a match over 160 characters the rest too; the offsets are in UTF-16 units of the snippet.
+    """
+    fields = F.array(F.struct(F.lit(0).alias("phase"), F.lit("key").alias("field"), F.col("key").alias("text")), F.struct(F.lit(1).alias("phase"), F.lit("value").alias("field"), F.coalesce("value", "lexeme").alias("text")))
+    long = nodes.select(F.col(key).alias("_own"), "node_id", "path", F.explode(fields).alias("f")).where(F.contains("f.text", F.lit(query)))
+    first = long.groupBy("_own").agg(F.min_by(F.struct("path", "f.field", "f.text"), F.struct("node_id", "f.phase")).alias("m")).select("_own", "m.*")
+    at, size = F.locate(query, F.col("text")) - 1, len(query)
+    start = F.greatest(at - around, F.lit(0))
+    shown = min(size, most)
+    end = F.least(at + size + around, F.length("text")) if shown == size else at + shown
+    part = lambda a, b: F.substring(F.col("text"), a + 1, b - a)
+    units = lambda c: (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
+    before = F.concat(F.when(start > 0, "…").otherwise(""), part(start, at))
+    snippet = F.concat(before, part(at, end), F.when(end < F.length("text"), "…").otherwise(""))
+    return first.select(F.col("_own").alias(key), "path", "field", snippet.alias("snippet"), units(before).alias("match_start"), (units(before) + units(part(at, at + shown))).alias("match_end"))
+
+
+def as_written(json: Column, key: str, value: Column) -> Column:
+    """``value``, or, if it is a number with a fraction or an exponent, the number of the same value that the text gives the key."""
+    said = F.regexp_extract(json, rf'"{key}"\s*:\s*(-?[0-9][0-9.eE+-]*)', 1)
+    same = F.rlike(value, F.lit(r"^-?[0-9.]+(?:[eE][+-]?[0-9]+)?$")) & F.rlike(value, F.lit("[.eE]")) & (said.try_cast("double") == value.try_cast("double"))
+    return F.when(F.coalesce(same, F.lit(False)), said).otherwise(value)
+
+
+def by_rank(json: Column, fields: Column, keys: list[str]) -> Column:
+    """The value, in a map of an object's fields, of the first key that it has: strings decoded, others as written, null as ``null``."""
+    value = lambda k: as_written(json, k, F.coalesce(F.try_element_at(fields, F.lit(k)), F.lit("null")))
+    return F.coalesce(*(F.when(F.map_contains_key(fields, k), value(k)) for k in keys))
 
 
 def event_summary(df: DataFrame, json: str) -> DataFrame:
-    """``df`` with event_type, timestamp and grouping, each at most 256 characters and whether there were more."""
-    own = F.col(json)
+    """``df`` with event_type, timestamp and grouping, each at most 256 characters and whether there were more. An entry is parsed once."""
+    name = "_fields"
+    while name in df.columns:
+        name += "_"
+    # An aggregate over the one object makes the map a variable, so that not every use of it parses anew.
+    found = lambda m: F.struct(*(by_rank(F.col(json), m, keys).alias(name) for name, keys in (("a", TYPE_KEYS), ("b", TIME_KEYS), ("c", GROUP_KEYS))))
+    object_ = F.when(F.startswith(F.ltrim(json), F.lit("{")), F.from_json(json, "map<string,string>"))
     cut = lambda c: F.when(c.isNotNull(), bounded_value(c))
-    return df.withColumns({"event_type": cut(by_rank(own, TYPE_KEYS)), "timestamp": cut(by_rank(own, TIME_KEYS)), "grouping": cut(by_rank(own, GROUP_KEYS))})
+    own = df.withColumn(name, F.get(F.transform(F.array(object_), found), F.lit(0)))
+    return own.withColumns({"event_type": cut(F.col(name)["a"]), "timestamp": cut(F.col(name)["b"]), "grouping": cut(F.col(name)["c"])}).drop(name)
 
 
 def family(key: Column) -> Column:
@@ -123,10 +166,19 @@ def family(key: Column) -> Column:
 
 
 def event_samples(df: DataFrame, order: str, json: str) -> DataFrame:
-    """The first 200 objects, as far as the first 8 MiB reach; the limit is the feature, so one task sorts 200 rows."""
+    """The first 200 objects within the first 8 MiB of all entries' bytes, a line end each; an entry that these cut is left out.
+
+    A first aggregation by ranges of the order finds how far the bytes can reach, so that few entries are sorted.
+    """
+    size = F.octet_length(json).cast("long") + 1
     first = df.where(F.json_object_keys(json).isNotNull()).orderBy(order).limit(SAMPLES)
-    sized = first.withColumn("_bytes", F.sum(F.octet_length(json) + 1).over(Window.orderBy(order)))
-    return sized.where(F.col("_bytes") <= SAMPLE_BYTES).drop("_bytes")
+    last = first.agg(F.max(order).alias("_last"))
+    upto = df.join(F.broadcast(last), F.col(order) <= F.col("_last")).drop("_last")
+    # Up to the 200th object: a running sum over the entries, which the byte limit bounds to those of 8 MiB and one more for each partition.
+    local = upto.select("*", size.alias("_size"), F.spark_partition_id().alias("_part")).withColumn("_own", F.sum("_size").over(Window.partitionBy("_part").orderBy(order)))
+    near = local.where(F.col("_own") - F.col("_size") < SAMPLE_BYTES)
+    sized = near.withColumn("_bytes", F.sum("_size").over(Window.orderBy(order)))
+    return sized.where((F.col("_bytes") <= SAMPLE_BYTES) & F.json_object_keys(json).isNotNull()).drop("_size", "_part", "_own", "_bytes")
 
 
 def event_signals(df: DataFrame, key: str, json: str) -> DataFrame:
@@ -156,21 +208,144 @@ def event_verdict(df: DataFrame, key: str, json: str) -> DataFrame:
     return n.withColumn("is_event_stream", (F.col("n") >= 10) & (typed | timed))
 
 
-def nested_scopes(df: DataFrame, key: str, text: str, depth: int = 5, most: int = 2 << 20) -> DataFrame:
-    """key, depth, path, text of the JSON containers that strings of JSON hold, level by level down to ``depth``."""
+def nested_scopes(df: DataFrame, key: str, text: str, depth: int = 5, most: int = 2 << 20, in_all: int = 8 << 20) -> DataFrame:
+    """key, depth, path, text of the JSON containers that strings of JSON hold, level by level down to ``depth``.
+
+    A container is at most ``most`` bytes, and it and those that it is in are ``in_all`` together. A text is read once
+    and what it holds right after it, so no level is read again for the next.
+    """
     if not 1 <= depth <= 10:
         raise ValueError("depth is 1 to 10")
-    level = df.select(key, F.lit(0).alias("depth"), F.lit("$").alias("path"), F.col(text).alias("text"))
-    out = None
-    for k in range(1, depth + 1):
-        own = F.struct(key, "path").alias("id")
-        strings = json_nodes(level.select(F.to_json(own).alias("id"), "text"), "id", "text").where("kind = 'String'").where(F.rlike("value", F.lit(r"^\s*[{\[]")) & (F.octet_length("value") <= most))
-        kind = dict(df.select(key).dtypes)[key]
-        id_ = F.from_json("id", f"{key} {kind}, path string")
-        level = strings.select(id_.alias("i"), "path", "value").select(F.col(f"i.{key}").alias(key), F.lit(k).alias("depth"), F.concat(F.col("i.path"), F.lit(" → "), F.col("path")).alias("path"), F.col("value").alias("text"))
-        level = level.where(strict_error(F.col("text"))["code"].isNull())
-        out = level if out is None else out.union(level)
-    return out
+    kind, begins = dict(df.select(key).dtypes)[key], re.compile(r"\s*[{\[]")
+
+    def inside(s: str, level: int, path: str, held: int) -> Iterator[tuple]:
+        try:
+            found = strict_json.nodes(s)
+        except strict_json.Bad:
+            return
+        if level:
+            yield level, path, s
+        if level == depth:
+            return
+        where: dict[int, str] = {}
+        for n in found:
+            where[n["id"]] = "$" if n["parent"] is None else where[n["parent"]] + strict_json.path_part(n)
+            size = len(n["value"].encode()) if n["kind"] == "String" and begins.match(n["value"]) else 0
+            if size and size <= most and held + size <= in_all:
+                yield from inside(n["value"], level + 1, f"{path} → {where[n['id']]}", held + size)
+
+    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(own, *row) for own, s in zip(frame[key], frame[text], strict=True) if s is not None for row in inside(s, 0, "$", 0)]
+            yield pd.DataFrame(rows, columns=[key, "depth", "path", "text"])
+
+    return df.select(key, text).mapInPandas(of, f"{key} {kind}, depth int, path string, text string")
+
+
+def path_labels(nodes: DataFrame, key: str, most_chars: int = 256, most_bytes: int = 2048) -> DataFrame:
+    """key, node_id, labels, truncated: each node's path as a list, keys cut at 256 characters and the whole at 2048 bytes.
+
+    A key that is the first of its name, isn't empty and doesn't begin with a bracket stands as it is, another one as
+    ["key"], with #n for the n-th of equal keys.
+    """
+    kind = dict(nodes.select(key).dtypes)[key]
+
+    def label(name: str | None, index, occurrence) -> tuple[str, bool]:
+        if name is None:
+            return ("$" if index is None or pd.isna(index) else f"[{int(index)}]"), False
+        cut, again = name[:most_chars], int(occurrence)
+        plain = again == 1 and name and not name.startswith("[")
+        return (cut if plain else f"[{json.dumps(cut, ensure_ascii=False)}]") + (f"#{again}" if again > 1 else ""), len(name) > most_chars
+
+    def shortened(parts: list[tuple[str, bool]]) -> tuple[list[str], bool]:
+        out, room, cut = [], most_bytes, any(c for _, c in parts)
+        for k, (part, _) in enumerate(parts):
+            raw = part.encode()
+            own = raw[:room].decode(errors="ignore") if k else part
+            if not own:
+                return out, True
+            out.append(own)
+            room = max(0, room - len(own.encode()))
+            cut |= len(own.encode()) < len(raw)
+            if not room and k + 1 < len(parts):
+                return out, True
+        return out, cut
+
+    def of(own: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("node_id")
+        path: dict[int, list[tuple[str, bool]]] = {}
+        rows = []
+        for node, parent, name, index, occurrence in zip(*(frame[c] for c in ("node_id", "parent", "key", "index", "occurrence")), strict=True):
+            path[node] = ([] if pd.isna(parent) else path[int(parent)]) + [label(name, index, occurrence)]
+            rows.append((own[0], node, *shortened(path[node])))
+        return pd.DataFrame(rows, columns=[key, "node_id", "labels", "truncated"])
+
+    own = nodes.select(key, "node_id", "parent", F.col("key").alias("key") if key != "key" else F.col("key"), "index", "occurrence")
+    return own.groupBy(key).applyInPandas(of, f"{key} {kind}, node_id int, labels array<string>, truncated boolean")
+
+
+def filtered_entries(df: DataFrame, raw: str, query: str, mode: str = "decoded") -> DataFrame:
+    """``df`` with ``outcome``: matched, unmatched, or why an entry is skipped (Oversized, InvalidUtf8, InvalidJson).
+
+    In mode decoded a valid entry matches if a key or the value of a leaf holds the query; in mode raw the bytes of every
+    entry are looked at, also of oversized ones, and only entries that aren't UTF-8 are skipped.
+    """
+    if mode not in ("decoded", "raw") or not query or len(query.encode()) > 4096:
+        raise ValueError("mode is decoded or raw, a query has 1 to 4096 bytes")
+    if mode == "raw":
+        text = F.try_validate_utf8(F.col(raw).cast("string"))
+        return df.withColumn("outcome", F.when(text.isNull(), "InvalidUtf8").when(F.contains(text, F.lit(query)), "matched").otherwise("unmatched"))
+
+    @F.pandas_udf("boolean")
+    def holds(values: pd.Series) -> pd.Series:
+        def of(s: str | None):
+            if s is None:
+                return None
+            try:
+                return any(query in part for n in strict_json.nodes(s) for part in (n["key"] or "", n["value"] if n["value"] is not None else "" if n["kind"] in ("Object", "Array") else s[n["start"] : n["end"]]))
+            except strict_json.Bad:
+                return None
+
+        return pd.Series([of(s) for s in values], dtype="object")
+
+    own = entry_status(df, raw)
+    hit = holds(F.when(F.col("status") == "Valid", F.col(raw).cast("string")))
+    return own.withColumn("outcome", F.when(F.col("status") != "Valid", F.col("status")).when(hit, "matched").otherwise("unmatched")).drop("status", "error")
+
+
+def filter_counts(filtered: DataFrame) -> DataFrame:
+    """One row: entries, matched, and skipped by reason."""
+    count = lambda name: F.count_if(F.col("outcome") == name)
+    return filtered.agg(F.count("*").alias("entries"), count("matched").alias("matched"), count("InvalidJson").alias("skipped_invalid_json"), count("InvalidUtf8").alias("skipped_invalid_utf8"), count("Oversized").alias("skipped_oversized"))
+
+
+@F.pandas_udf(T.StringType())
+def sorted_pretty(values: pd.Series) -> pd.Series:
+    """Valid JSON with sorted keys, indented; null where it isn't JSON."""
+
+    def of(s):
+        try:
+            return strict_json.sorted_pretty(s)
+        except (strict_json.Bad, TypeError):
+            return None
+
+    return values.map(of)
+
+
+RANGES = T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+
+
+@F.pandas_udf(RANGES)
+def key_ranges(values: pd.Series) -> pd.Series:
+    """The keys of root objects with the characters they stand at, in order of their places; empty for others."""
+
+    def of(s):
+        try:
+            return sorted(({"key": k, "start": a, "end": b} for k, (a, b) in strict_json.key_ranges(s).items()), key=lambda r: r["start"])
+        except (strict_json.Bad, TypeError):
+            return []
+
+    return values.map(of)
 
 
 def text_chunk(s: Column, offset: int, size: int, most: int = 128 << 10) -> Column:

@@ -47,6 +47,38 @@ def shard_summary(df: DataFrame, key: str, index: str) -> DataFrame:
     return df.select(key, F.size(weights).cast("long").alias("tensors"), F.size(F.array_distinct(F.map_values(weights))).cast("long").alias("shards"), F.get_json_object(index, "$.metadata.total_size").try_cast("long").alias("total_size"))
 
 
+# Rows of the summaries of configuration files: group, label, field.
+CONFIG_ROWS = {
+    "config": [("scale", "hidden_size"), ("scale", "intermediate_size"), ("scale", "vocab_size"), ("attention", "num_attention_heads"), ("attention", "num_key_value_heads"), ("attention", "head_dim"), ("context", "max_position_embeddings"), ("context", "rope_theta")],
+    "generation": [("sampling", "do_sample"), ("sampling", "temperature"), ("sampling", "top_p"), ("sampling", "top_k"), ("stop", "eos_token_id"), ("stop", "pad_token_id"), ("stop", "max_new_tokens"), ("stop", "repetition_penalty")],
+    "tokenizerConfig": [("core", "model_max_length"), ("core", "padding_side"), ("core", "bos_token"), ("core", "eos_token"), ("core", "unk_token")],
+}
+
+
+def config_title(json: str) -> Column:
+    """The first of the architectures if all are texts, else the model type."""
+    get = lambda path: F.get_json_object(json, path)
+    return F.coalesce(F.get(F.from_json(get("$.architectures"), "array<string>"), F.lit(0)), get("$.model_type"))
+
+
+def config_subtitle(json: str) -> Column:
+    get = lambda path: F.get_json_object(json, path)
+    return F.concat_ws(" · ", get("$.model_type"), get("$.torch_dtype"), F.concat(get("$.num_hidden_layers"), F.lit(" layers")))
+
+
+def config_summary(df: DataFrame, key: str, json: str, kind: str) -> DataFrame:
+    """key, place, part, field, value of the fields that a configuration, generation or tokenizer configuration file has; nothing for what isn't an object."""
+    rows = F.array(*(F.struct(F.lit(k).alias("place"), F.lit(part).alias("part"), F.lit(field).alias("field"), F.get_json_object(json, f"$.{field}").alias("value")) for k, (part, field) in enumerate(CONFIG_ROWS[kind])))
+    return df.select(key, F.explode(F.filter(rows, lambda r: r["value"].isNotNull())).alias("r")).select(key, "r.*")
+
+
+def shard_mapping(df: DataFrame, key: str, index: str, most: int = 80) -> DataFrame:
+    """key, tensor, shard: the first tensors by name of weight index texts."""
+    weights = F.from_json(F.get_json_object(index, "$.weight_map"), "map<string,string>")
+    own = F.slice(F.array_sort(F.map_entries(weights)), 1, most)
+    return df.select(key, F.explode(own).alias("e")).select(key, F.col("e.key").alias("tensor"), F.col("e.value").alias("shard"))
+
+
 def gguf_overview(metadata: DataFrame) -> DataFrame:
     """path, architecture, name, context_length of GGUF metadata rows (path, key, value): the architecture's own length, else the first of any."""
     get = lambda k: F.max(F.when(F.col("key") == k, F.regexp_replace("value", '^"|"$', "")))

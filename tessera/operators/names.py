@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,15 +62,52 @@ def dominant_dtype(df: DataFrame, by: str, dtype: str) -> DataFrame:
     return df.groupBy(by, dtype).agg(F.count("*").alias("n")).groupBy(by).agg(F.min(F.struct((-F.col("n")).alias("minus"), F.col(dtype).alias("dtype"))).alias("best")).select(by, "best.dtype", (-F.col("best.minus")).alias("n"))
 
 
+# Units of bytes and the most digits after the point of each.
+BYTE_UNITS = [("KB", 0), ("MB", 1), ("GB", 2), ("TB", 2), ("PB", 2)]
+
+
 def format_bytes(n: Column) -> Column:
-    """Base 1000, one decimal from kB on."""
-    out = F.when(n < 1000, F.concat(n.cast("string"), F.lit(" B")))
-    for k, unit in enumerate(("kB", "MB", "GB", "TB"), 1):
-        scaled = F.concat(F.format_string("%.1f", n / F.lit(1000.0**k)), F.lit(f" {unit}"))
-        out = out.when(n < 1000 ** (k + 1), scaled) if unit != "TB" else out.otherwise(scaled)
+    """Base 1000; whole KB, one decimal for MB, two from GB on, zeros at the end left out. The unit is picked after rounding."""
+    out = F.when(n == 0, "Zero bytes").when(n == 1, "1 byte").when(n < 1000, F.concat(n.cast("string"), F.lit(" bytes")))
+    for k, (unit, digits) in enumerate(BYTE_UNITS, 1):
+        value = F.floor(n / F.lit(1000.0**k) * 10**digits + 0.5) / 10**digits
+        shown = F.concat(F.regexp_replace(F.format_number(value, digits), r"\.?0+$", "") if digits else F.format_number(value, 0), F.lit(f" {unit}"))
+        out = out.when(value < 1000, shown) if unit != "PB" else out.otherwise(shown)
     return out
 
 
+# Languages by extension, image types by extension.
+LANGUAGES = {
+    "python": ["py", "pyw"], "javascript": ["js", "javascript", "mjs", "cjs"], "jsx": ["jsx"], "typescript": ["ts", "mts", "cts"], "tsx": ["tsx"], "bash": ["sh", "bash", "zsh"],
+    "swift": ["swift"], "rust": ["rs"], "go": ["go"], "c": ["c", "h"], "cpp": ["cc", "cpp", "cxx", "hpp"], "java": ["java"], "kotlin": ["kt", "kts"], "ruby": ["rb"], "php": ["php"],
+    "lua": ["lua"], "yaml": ["yaml", "yml"], "json": ["json"], "toml": ["toml"], "sql": ["sql"], "css": ["css"], "scss": ["scss"], "sass": ["sass"], "less": ["less"], "markup": ["html", "htm", "xml", "svg"],
+}
+IMAGES = {"image/svg+xml": ["svg"], "image/png": ["png"], "image/jpeg": ["jpg", "jpeg"], "image/gif": ["gif"], "image/webp": ["webp"], "image/bmp": ["bmp"], "image/x-icon": ["ico"], "image/avif": ["avif"], "image/tiff": ["tif", "tiff"]}
+
+
+def extension(path: Column) -> Column:
+    """What follows the last point of a file's name, in lower case; empty without a point."""
+    name = F.element_at(F.split(path, "/"), -1)
+    return F.when(F.contains(name, F.lit(".")), F.lower(F.substring_index(name, ".", -1))).otherwise("")
+
+
+def by_extension(path: Column, table: dict[str, list[str]]) -> Column:
+    return F.coalesce(*(F.when(extension(path).isin(all_), F.lit(name)) for name, all_ in table.items()))
+
+
+def syntax_language(path: Column) -> Column:
+    return by_extension(path, LANGUAGES)
+
+
+def image_type(path: Column) -> Column:
+    """The type of an image's name, else application/octet-stream."""
+    return F.coalesce(by_extension(path, IMAGES), F.lit("application/octet-stream"))
+
+
+def is_image(path: Column) -> Column:
+    return by_extension(path, IMAGES).isNotNull()
+
+
 # Categories of repository files and the names that come first.
 BLOCKED = ["safetensors", "bin", "pt", "pth", "ckpt", "onnx", "h5", "msgpack", "tflite", "pb"]
 ORDER = ["configuration", "tokenizer", "templates", "weightMetadata", "documentation", "other", "weights"]
@@ -137,5 +178,45 @@ def source_chunks(df: DataFrame, key: str, text: str, lines: int = 400) -> DataF
     return own.groupBy(key, F.floor(F.col("line") / lines).alias("chunk")).agg(F.min("line").alias("first_line"), F.count("*").alias("n_lines"), F.sum(F.length("said")).alias("n_chars"))
 
 
+def source_cuts(df: DataFrame, key: str, text: str, lines: int = 400, chars: int = 64 << 10, piece: int = 4 << 10) -> DataFrame:
+    """key, start, end, first_line, n_lines of the stretches that a source is shown in, in UTF-16 units.
+
+    A stretch ends before a line that would make it more than ``lines`` lines or ``chars`` units, and inside of a line
+    after ``piece`` units; the next then begins on the same line. No cut parts a surrogate pair or a CR from its LF.
+    """
+    kind, cut = dict(df.select(key).dtypes)[key], min(chars, piece)
+
+    def stretches(s: str) -> Iterator[tuple[int, int, int, int]]:
+        units = np.frombuffer(s.encode("utf-16-le", "surrogatepass"), np.uint16)
+        high, low = (units >> 10) == 0x36, (units >> 10) == 0x37
+        ends = np.flatnonzero(((units == 13) & (np.append(units[1:], 0) != 10)) | (units == 10)) + 1
+        if not len(ends) or ends[-1] < len(units):
+            ends = np.append(ends, len(units))
+        start, first, held = 0, 1, 0
+        for number, end in enumerate(ends.tolist() if len(units) else [], 1):
+            if held and (held >= lines or end - start > chars):
+                yield start, start + sum_held, first, held
+                start, first, held = start + sum_held, number, 0
+            while end - start > cut:
+                at = start + cut
+                at += bool((low[at] and high[at - 1]) or (units[at - 1] == 13 and units[at] == 10))
+                yield start, at, first, held + 1
+                start, first, held = at, number, 0
+            if start == end:
+                first = number + 1
+            else:
+                held += 1
+            sum_held = end - start
+        if start < len(units) or not len(units):
+            yield start, len(units), first, max(held, 1)
+
+    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(own, *row) for own, s in zip(frame[key], frame[text], strict=True) if s is not None for row in stretches(s)]
+            yield pd.DataFrame(rows, columns=[key, "start", "end", "first_line", "n_lines"])
+
+    return df.select(key, text).mapInPandas(of, f"{key} {kind}, start long, end long, first_line long, n_lines long")
+
+
 def newest(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_n = 1").drop("_n")

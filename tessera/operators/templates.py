@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import strict_json
-from tessera.functions.stats import let
 
 ENTRY = "array<struct<name:string,body:string>>"
 
@@ -82,56 +83,147 @@ def variable_errors(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn("own", name).withColumn("error", bad).where("error IS NOT NULL").select(key, "place", "name", "error")
 
 
-TAG = re.compile(r"(?s)\{\{.*?\}\}|\{%.*?%\}|\{#.*?#\}")
-STRING = re.compile(r"""(?s)'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*\"""")
-# Jinja's keywords.
-KEYWORD = re.compile(r"\b(?:if|else|elif|endif|for|in|endfor|set|true|false|none|and|or|not|is|macro|endmacro|call|endcall|filter|endfilter)\b")
-DELIMITER = re.compile(r"\{\{|\}\}|\{%|%\}|\{#|#\}")
+def request_context(messages: DataFrame, tools: DataFrame, variables: DataFrame, key: str, with_tools: bool = True, prompt: bool = True) -> DataFrame:
+    """key, place, name, value (JSON) of what a template is given: messages, whether the answer begins, tools, then the variables that a request can have.
+
+    ``messages``: key, turn, role, kind (text or json), content; ``tools``: key, place, name, description, parameters (a
+    JSON object); ``variables``: as for variable_errors. A name or value that is refused has no entry.
+    """
+    said = F.when(F.col("kind") == "text", F.to_json(F.struct(F.col("content").alias("v")))).otherwise(F.concat(F.lit('{"v":'), F.col("content"), F.lit("}")))
+    value = lambda wrapped: F.regexp_extract(wrapped, r'(?s)^\{"v":(.*)\}$', 1)
+    quoted = lambda c: value(F.to_json(F.struct(F.coalesce(c, F.lit("")).alias("v"))))
+    one = F.concat(F.lit('{"role":'), quoted(F.col("role")), F.lit(',"content":'), value(said), F.lit("}"))
+    listed = lambda df, order, item: df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("item")))).alias("all")).select(key, F.concat(F.lit("["), F.array_join(F.transform("all", lambda x: x["item"]), ","), F.lit("]")).alias("value"))
+    tool = F.concat(F.lit('{"type":"function","function":{"name":'), quoted(F.trim("name")), F.lit(',"description":'), quoted(F.col("description")), F.lit(',"parameters":'), F.col("parameters"), F.lit("}}"))
+    good = tools.where((F.trim("name") != "") & F.json_object_keys("parameters").isNotNull())
+    row = lambda df, place, name: df.select(key, F.lit(place).alias("place"), F.lit(name).alias("name"), "value")
+    spoken = listed(messages, "turn", one)
+    out = row(spoken, 0, "messages").union(row(spoken.select(key, F.lit("true" if prompt else "false").alias("value")), 1, "add_generation_prompt"))
+    if with_tools:
+        out = out.union(row(listed(good, "place", tool), 2, "tools"))
+    kind = F.col("kind")
+    typed = F.when(kind == "string", quoted(F.col("value"))).when(kind == "boolean", F.when(F.col("value") == "false", "false").otherwise("true")).when(kind == "null", "null").otherwise(F.trim("value"))
+    sound = variables.join(variable_errors(variables, key).select(key, "place"), [key, "place"], "left_anti")
+    return out.union(sound.select(key, (F.col("place") + 3).alias("place"), F.trim("name").alias("name"), typed.alias("value")))
+
+
+# What Jinja's tags begin and end with and what each is, and its keywords.
+TAGS = {"{{": ("}}", "expression"), "{%": ("%}", "statement"), "{#": ("#}", "comment")}
+KEYWORDS = frozenset("if else elif endif for in endfor set true false none and or not is macro endmacro call endcall filter endfilter".split())
+WORD = re.compile(r"[A-Za-z0-9_]+")
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType())]))
 
 
-@F.pandas_udf(SPAN)
-def jinja_spans(values: pd.Series) -> pd.Series:
-    """Runs of comment, expression, statement, string, keyword and delimiter; what comes later in this list lies on top."""
+def jinja_tokens(s: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the parts of Jinja source in order, from left to right; text between tags has none.
 
-    def of(s):
-        layers = []
-        for tag in TAG.finditer(s or ""):
-            kind = {"{#": "comment", "{{": "expression", "{%": "statement"}[tag.group()[:2]]
-            layers.append((*tag.span(), kind))
-            if kind != "comment":
-                inner = [(tag.start() + m.start(), tag.start() + m.end(), name) for name, p in (("string", STRING), ("keyword", KEYWORD)) for m in p.finditer(tag.group())]
-                layers += inner
-        layers += [(*m.span(), "delimiter") for m in DELIMITER.finditer(s or "")]
-        # The last layer over a character counts: cut at every edge, then join equal neighbours.
-        kinds = [None] * len(s or "")
-        for a, b, kind in layers:
-            kinds[a:b] = [kind] * (b - a)
-        out = []
-        for k, kind in enumerate(kinds):
-            if kind and out and out[-1]["end"] == k and out[-1]["kind"] == kind:
-                out[-1]["end"] = k + 1
-            elif kind:
-                out.append({"start": k, "end": k + 1, "kind": kind})
-        return out
+    A tag ends with the first of its closing marks, also inside quotes. Keywords count inside quotes, too, and any mark
+    of two characters is a delimiter wherever it stands.
+    """
+    marks = {*TAGS, *(end for end, _ in TAGS.values())}
+    out: list[tuple[int, int, str]] = []
+
+    def put(start: int, end: int, kind: str) -> None:
+        if start >= end:
+            return
+        if out and out[-1][1:] == (start, kind):
+            out[-1] = (out[-1][0], end, kind)
+        else:
+            out.append((start, end, kind))
+
+    def plain(start: int, end: int, kind: str | None) -> None:
+        """A stretch of one kind but for the marks in it."""
+        k = start
+        while k < end:
+            if s[k : k + 2] in marks and k + 2 <= end:
+                put(k, k + 2, "delimiter")
+                k += 2
+            else:
+                if kind:
+                    put(k, k + 1, kind)
+                k += 1
+
+    def words(start: int, end: int, kind: str) -> None:
+        """A stretch of a tag: keywords, and the rest of its kind."""
+        at = start
+        for word in WORD.finditer(s, start, end):
+            if word.group() in KEYWORDS:
+                plain(at, word.start(), kind)
+                put(*word.span(), "keyword")
+                at = word.end()
+        plain(at, end, kind)
+
+    def quoted(start: int, end: int) -> int:
+        """Where the quoted text from ``start`` on ends, or ``start`` if it doesn't before ``end``."""
+        k = start + 1
+        while k < end:
+            if s[k] == "\\":
+                k += 2
+            elif s[k] == s[start]:
+                return k + 1
+            else:
+                k += 1
+        return start
+
+    at = 0
+    while at < len(s):
+        opening = min((k for k in (s.find(mark, at) for mark in TAGS) if k >= 0), default=-1)
+        close, kind = TAGS[s[opening : opening + 2]] if opening >= 0 else ("", "")
+        stop = s.find(close, opening + 2) + 2 if opening >= 0 else 1
+        if stop == 1:  # no tag from here on, or one that isn't closed
+            plain(at, opening + 2 if opening >= 0 else len(s), None)
+            at = opening + 2 if opening >= 0 else len(s)
+            continue
+        plain(at, opening, None)
+        k = from_ = opening
+        while k < stop and kind != "comment":
+            to = quoted(k, stop) if s[k] in "'\"" else k
+            if to > k:
+                words(from_, k, kind)
+                words(k, to, "string")
+                k = from_ = to
+            else:
+                k += 1
+        plain(from_, stop, kind) if kind == "comment" else words(from_, stop, kind)
+        at = stop
+    return out
 
-    return values.map(of)
+
+@F.pandas_udf(SPAN)
+def jinja_spans(values: pd.Series) -> pd.Series:
+    """Runs of comment, expression, statement, string, keyword and delimiter."""
+    return values.map(lambda s: [{"start": a, "end": b, "kind": kind} for a, b, kind in jinja_tokens(s or "")])
 
 
 def indent_folds(df: DataFrame, key: str, text: str, header: str) -> DataFrame:
     """key, start_line, end_line: each line that ``header`` matches and that deeper lines follow, up to the last of these.
 
-    A fold ends before the next line (blank ones aside) that is no deeper. That line's number is found for each header
-    by looking at the least indentation so far, a window within the document.
+    A fold ends before the next line (blank ones aside) that is no deeper. One pass over a document's lines keeps the
+    headers that are still open, each deeper than the one before.
     """
-    lines = df.select(key, F.posexplode(F.split(text, r"\r\n|\r|\n", -1)).alias("at", "line")).where(~F.rlike("line", F.lit(r"^\s*$")))
-    own = lines.select(key, (F.col("at") + 1).alias("no"), F.length(F.regexp_extract("line", r"^([ \t]*)", 1)).alias("indent"), F.rlike("line", F.lit(header)).alias("header"))
-    rows = own.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("no", "indent", "header"))).alias("all"))
-    after = lambda h: F.filter("all", lambda x: x["no"] > h["no"])
-    stop = lambda h: F.coalesce(F.array_min(F.transform(F.filter(after(h), lambda x: x["indent"] <= h["indent"]), lambda x: x["no"])), F.lit(2**31 - 1))
-    end = lambda h: let(stop(h), lambda s: F.array_max(F.transform(F.filter("all", lambda x: (x["no"] > h["no"]) & (x["no"] < s)), lambda x: x["no"])))
-    found = F.transform(F.filter("all", lambda h: h["header"]), lambda h: F.struct(h["no"].alias("start_line"), end(h).alias("end_line")))
-    return rows.select(key, F.explode(found).alias("f")).where("f.end_line IS NOT NULL").select(key, "f.*")
+    kind, blank, head = dict(df.select(key).dtypes)[key], re.compile(r"\s*"), re.compile(header)
+
+    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for own, s in zip(frame[key], frame[text], strict=True):
+                open_: list[tuple[int, int]] = []
+                last = 0
+                for no, line in enumerate(re.split(r"\r\n|\r|\n", s or ""), 1):
+                    if blank.fullmatch(line):
+                        continue
+                    indent = len(line) - len(line.lstrip(" \t"))
+                    while open_ and open_[-1][1] >= indent:
+                        start, _ = open_.pop()
+                        if last > start:
+                            rows.append((own, start, last))
+                    if head.search(line):
+                        open_.append((no, indent))
+                    last = no
+                rows += [(own, start, last) for start, _ in reversed(open_) if last > start]
+            yield pd.DataFrame(rows, columns=[key, "start_line", "end_line"])
+
+    return df.select(key, text).mapInPandas(of, f"{key} {kind}, start_line int, end_line int")
 
 
 FOLDS = T.ArrayType(T.StructType([T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType())]))
@@ -146,7 +238,8 @@ def json_folds(values: pd.Series) -> pd.Series:
             found = strict_json.nodes(s)
         except (strict_json.Bad, TypeError):
             return []
-        line = lambda k: s.count("\n", 0, k) + 1
+        ends = [m.start() for m in re.finditer("\n", s)]
+        line = lambda k: bisect_left(ends, k) + 1
         spans = ((line(n["start"]), line(n["end"] - 1), n["end"]) for n in found if n["kind"] in ("Object", "Array"))
         return [{"start_line": a, "end_line": b} for a, b, _ in sorted(spans, key=lambda x: x[2]) if b > a]
 

@@ -89,3 +89,48 @@ ARCHITECTURES = (("gpt|causal", "causal_lm"), ("bert|encoder", "encoder"), ("t5|
 def architecture(class_name: Column) -> Column:
     lower = F.lower(class_name)
     return F.coalesce(*(F.when(lower.rlike(part), F.lit(kind)) for part, kind in ARCHITECTURES), F.lit("unknown"))
+
+
+def full_analysis(logits: DataFrame, key: str, x: str, hidden: DataFrame | None = None, attention: DataFrame | None = None, k: int = 10) -> dict[str, DataFrame]:
+    """By name the tables of a whole analysis: top tokens, statistics and confidence of logits, statistics of hidden states, patterns of attention, and a summary of one row.
+
+    ``hidden``: layer, values; ``attention``: layer, batch, head, q, k, weight. Nothing runs until a table is used.
+    """
+    from tessera.operators import attention as att
+
+    out = {"top_tokens": top_tokens(logits, key, x, k), "logit_statistics": logit_statistics(logits, key, x), "confidence": confidence(logits, key, x)}
+    spark = logits.sparkSession
+    layers = heads = spark.range(1).select(F.lit(0).cast("long").alias("n"))
+    if hidden is not None:
+        out["hidden"] = hidden_statistics(hidden, "layer", "values")
+        layers = hidden.agg(F.count_distinct("layer").alias("n"))
+    if attention is not None:
+        out |= {"attention_heads": att.head_statistics(attention), "attention_entropy": att.entropy_distribution(attention), "sparsity": att.sparsity(attention), "diagonal": att.diagonal(attention), "locality": att.locality(attention), "head_similarity": att.head_similarity(attention)}
+        heads = attention.agg(F.count_distinct("layer").alias("n"))
+    number = lambda df, name: df.select(F.col("n").alias(name))
+    out["summary"] = number(layers, "analyzed_layers").crossJoin(number(heads, "attention_layers")).withColumn("has_confidence_analysis", F.lit(True))
+    return out
+
+
+def layer_logits(hidden: DataFrame) -> DataFrame:
+    """layer, logits: a layer's hidden values as they are, as no head for layers is given."""
+    return hidden.select("layer", F.col("values").alias("logits"))
+
+
+def each_or_none(df: DataFrame, key: str, column: str, of, kind: str) -> DataFrame:
+    """key, output, error: ``of`` of each value, in Arrow batches; a value for which it fails has no output, and the others go on."""
+    import pandas as pd
+
+    key_kind = dict(df.select(key).dtypes)[key]
+
+    def each(frames):
+        for frame in frames:
+            rows = []
+            for own, value in zip(frame[key], frame[column], strict=True):
+                try:
+                    rows.append((own, of(value), None))
+                except Exception as e:  # noqa: BLE001  whatever fails is that item's error
+                    rows.append((own, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=[key, "output", "error"])
+
+    return df.select(key, column).mapInPandas(each, f"{key} {key_kind}, output {kind}, error string")

@@ -49,6 +49,20 @@ def searched(tokens: DataFrame, token: str, token_id: str, query: str, most: int
     return tokens.where(F.contains(F.lower(token), F.lit(own)) | F.contains(F.col(token_id).cast("string"), F.lit(own))).orderBy(token_id).limit(most)
 
 
+def difference_search(differences: DataFrame, token: str, side: str, query: str, most: int = 1000) -> DataFrame:
+    """total, piece: the pieces on one side that contain the query without case (a blank one: all), the first 1000 in order, each with how many there are."""
+    own = query.strip().lower()
+    found = differences.where((F.col("side") == side) & F.contains(F.lower(token), F.lit(own)))
+    total = found.agg(F.count("*").alias("total"))
+    return found.select(F.col(token).alias("piece")).orderBy("piece").limit(most).crossJoin(F.broadcast(total)).select("total", "piece")
+
+
+def vocabulary_entries(vocabulary: DataFrame, token: str, token_id: str, query: str) -> DataFrame:
+    """Entries whose piece holds the query without case or whose id's digits do, sorted by id; all for an empty query."""
+    own = query.lower()
+    return vocabulary.where(F.contains(F.lower(token), F.lit(own)) | F.contains(F.col(token_id).cast("string"), F.lit(own))).orderBy(token_id)
+
+
 def comparison(a: Column, b: Column) -> dict[str, Column]:
     """Counts, difference, whether two arrays of ids are equal, and where they first differ (from 0)."""
     same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
@@ -139,12 +153,17 @@ def token_roles(rendered: str, bodies: list[tuple[str, str]], segments: list[str
 
 
 def attributed(df: DataFrame, key: str) -> DataFrame:
-    """key, position, segment, role from columns text, bodies (array of role and body) and segments."""
+    """key, position, segment, role from columns text, bodies (array of role and body) and segments.
+
+    With a column ``mapping`` rows have a role only where it is Exact.
+    """
+    exact = F.col("mapping") == "Exact" if "mapping" in df.columns else F.lit(True)
     kind = dict(df.select(key).dtypes)[key]
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(k, i, s, r) for k, text, bodies, segments in zip(frame[key], frame["text"], frame["bodies"], frame["segments"], strict=True) for i, (s, r) in enumerate(zip(segments, token_roles(text, [tuple(b.values()) if isinstance(b, dict) else tuple(b) for b in bodies], list(segments)), strict=True))]
+            rows = [(k, i, s, r if exact_ else None) for k, text, bodies, segments, exact_ in zip(frame[key], frame["text"], frame["bodies"], frame["segments"], frame["exact"], strict=True) for i, (s, r) in enumerate(zip(segments, token_roles(text, [tuple(b.values()) if isinstance(b, dict) else tuple(b) for b in bodies], list(segments)), strict=True))]
             yield pd.DataFrame(rows, columns=[key, "position", "segment", "role"])
 
-    return df.select(key, "text", "bodies", "segments").mapInPandas(of, f"{key} {kind}, position int, segment string, role string")
+    given = df.select(key, "text", "bodies", "segments", F.coalesce(exact, F.lit(False)).alias("exact"))
+    return given.mapInPandas(of, f"{key} {kind}, position int, segment string, role string")

@@ -1,10 +1,14 @@
-"""Streams of entries: running counts with late data, and verdicts that equal the batch ones."""
+"""Streams of entries: running counts with late data, and verdicts over a bounded sample that equal the batch ones."""
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import entries
+
 
 def late_by(events: DataFrame, at: str, late: str) -> DataFrame:
     """A stream with its watermark; a table as it is."""
@@ -31,3 +35,48 @@ def run_to_end(result: DataFrame, name: str, mode: str = "complete") -> DataFram
 
 def table_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+
+
+class Verdicts:
+    """The event verdict of a stream of entries (order, JSON), read while it runs.
+
+    Of the entries seen so far the first 200 objects, within the first 8 MiB, are kept below ``folder``; that is all the
+    state there is. When the sample is full, the verdict is final: the sample goes, and later entries are only counted.
+    A batch that is run again finds its sample and counts written and changes nothing.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, order: str, json: str):
+        self.spark, self.folder, self.order, self.json = spark, folder.rstrip("/"), order, json
+        self.batch, self.entries, self.final, self.hint = -1, 0, False, None
+
+    def sample(self) -> str:
+        return f"{self.folder}/sample-{self.batch % 2}"
+
+    def feed(self, batch: DataFrame, number: int) -> None:
+        """For foreachBatch."""
+        if number <= self.batch:
+            return
+        fresh = batch.select(self.order, self.json)
+        self.entries += fresh.count()
+        if not self.final:
+            before = self.spark.read.schema(fresh.schema).parquet(self.sample()) if self.batch >= 0 else fresh.limit(0)
+            target = f"{self.folder}/sample-{number % 2}"
+            entries.event_samples(before.unionByName(fresh), self.order, self.json).write.mode("overwrite").parquet(target)
+            kept = self.spark.read.schema(fresh.schema).parquet(target)
+            found = entries.event_verdict(kept, self.order, self.json).first()
+            size = kept.agg(F.coalesce(F.sum(F.octet_length(self.json) + 1), F.lit(0))).first()[0]
+            self.hint = found["is_event_stream"]
+            self.final = found["n"] >= entries.SAMPLES or size >= entries.SAMPLE_BYTES
+        self.batch = number
+
+    def progress(self, complete: bool = False) -> dict:
+        """Entries so far, whether these are all, their number if so, and the verdict if it is final or the stream has ended."""
+        return {"entries": self.entries, "complete": complete, "total": self.entries if complete else None, "hint": self.hint if self.final or complete else None}
+
+
+def streamed_verdict(stream: DataFrame, order: str, json: str, folder: str) -> Verdicts:
+    """Runs a stream over all that is there now through ``Verdicts``, below a folder that executors and driver share."""
+    own = Verdicts(stream.sparkSession, folder, order, json)
+    query = stream.writeStream.foreachBatch(own.feed).option("checkpointLocation", os.path.join(folder, "checkpoint")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return own
