@@ -137,7 +137,7 @@ def attention_locality(spark, d):
     return rounded(attention.locality(attention_rows(spark, d)))
 
 
-@query(ATT + ", p AS (SELECT x.layer, x.head, y.head AS head2, corr(x.weight, y.weight) AS r FROM a x JOIN a y USING (layer, q, k) WHERE x.head < y.head AND x.head % 7 = y.head % 7 GROUP BY ALL) SELECT layer, round(avg(r), 5) AS mean, round(stddev_pop(r), 5) AS std, count(*) AS pairs FROM p GROUP BY layer".replace(" AND x.head % 7 = y.head % 7", ""))
+@query(ATT + ", p AS (SELECT x.layer, x.head, y.head AS head2, corr(x.weight, y.weight) AS r FROM a x JOIN a y USING (layer, q, k) WHERE x.head < y.head GROUP BY ALL) SELECT layer, round(avg(r), 5) AS mean, round(stddev_pop(r), 5) AS std, count(*) AS pairs FROM p GROUP BY layer")
 def head_similarity(spark, d):
     return rounded(attention.head_similarity(attention_rows(spark, d)), 5)
 

@@ -6,7 +6,9 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans import catalog
+from tessera.plans import cases, catalog
+
+QUERIES, ORACLES = catalog.QUERIES | cases.QUERIES, catalog.ORACLES | cases.ORACLES
 
 DATA = "/root/testdata/sf0.001"
 
@@ -26,14 +28,14 @@ def plain(v):
     return v
 
 
-@pytest.mark.parametrize("name", catalog.QUERIES)
+@pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, duck, name):
-    df = catalog.QUERIES[name](spark, DATA)
+    df = QUERIES[name](spark, DATA)
     rows = sorted(tuple(str(plain(v)) for v in r) for r in df.collect())
-    if name not in catalog.ORACLES:
+    if name not in ORACLES:
         assert rows
         return
-    got = duck.execute(catalog.ORACLES[name])
+    got = duck.execute(ORACLES[name])
     names = [c[0] for c in got.description]
     assert sorted(names) == sorted(df.columns)
     order = [names.index(c) for c in df.columns]
