@@ -27,7 +27,7 @@ from tessera.llm.blobs import PACKED, SUBS, by_cell, dealt, gathered, packed, ro
 from tessera.llm.common import documents, id_remainder, looked_up, mixed, parts, slices, split_words, stable, written
 
 #: Bounds of the broadcast tables: words, and pairs frequent enough to be scored where the text is read.
-VOCABULARY, FREQUENT_PAIRS = 1 << 19, 1 << 20
+VOCABULARY, FREQUENT_PAIRS = 1 << 18, 1 << 18
 #: Remainder of crc32(doc_id) by 7 of the documents that aren't learned from, and of those that the weights are learned on.
 FOLDS, HELD_OUT, WEIGHED = 7, 2, 3
 CHUNK = 5 << 20
@@ -371,6 +371,7 @@ def lm_scores(docs: DataFrame, vocabulary: int = VOCABULARY, frequent_pairs: int
     outside = outside_pairs(own.select("row", "fold", "text"), counts)
     bins = found.where("kind = 0").select("x", "y", "z", "n").union(outside_bins(outside, model.n_a)).groupBy("x", "y", "z").agg(F.sum("n").alias("n")).collect()  # no more than bins
     model.weights = learned_weights(model, bins)
+    counts.destroy()  # what was made with it is written
     pairs = found.where("kind = 1").select("x", "n").toPandas().sort_values("x")  # no more than ``frequent_pairs``, or one a cell
     tables = spark.sparkContext.broadcast((model, pairs["x"].to_numpy(np.int64).astype(np.uint64), pairs["n"].to_numpy(float)))
     more = written(outside_scores(outside, model)).select("row", F.col("score").alias("more"), F.col("base").alias("more_base"), F.col("known").alias("more_known"))
