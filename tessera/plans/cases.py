@@ -172,6 +172,20 @@ def projected_nodes(spark):
     return got.select("node_id", F.col("label.value").alias("label"), F.col("preview.value").alias("preview"), F.col("preview.has_more").alias("more"))
 
 
+@case("step string, node_id int", [("first", 1), ("first", 2), ("next", 3), ("subtree", 3), ("subtree", 4), ("subtree", 5)])
+def tree_pages(spark):
+    """Two children of the root, the next one, and what is inside of it."""
+    nodes = entries.json_nodes(rows(spark, [(1, '{"a":1,"b":2,"c":{"d":[3]}}')], "id int, s string"), "id", "s")
+    own = lambda step, df: df.select(F.lit(step).alias("step"), "node_id")
+    return own("first", entries.children_page(nodes, "id", 0, -1, 2)).union(own("next", entries.children_page(nodes, "id", 0, 2, 2))).union(own("subtree", entries.subtree(nodes, "id", 3)))
+
+
+@case("ordinal long, raw string", [(2, "c"), (3, "d")])
+def entry_pages(spark):
+    df = rows(spark, [("f", k, c) for k, c in enumerate("abcde")], "file string, ordinal long, raw string")
+    return jsonl.page(df, 1, 2)
+
+
 @case("depth int, path string, text string", [(1, "$ → $.a", '{"b":"[\\"{}\\"]"}'), (2, "$ → $.a → $.b", '["{}"]'), (3, "$ → $.a → $.b → $[0]", "{}")])
 def nested_json(spark):
     df = rows(spark, [(1, '{"a":"{\\"b\\":\\"[\\\\\\"{}\\\\\\"]\\"}","c":"{no","d":"plain"}')], "id int, s string")
@@ -505,6 +519,24 @@ def system_fields(spark):
     return conversations.system_blocks(df, "id", "s")
 
 
+@case("page int, turn int, block int", [(1, 0, 0), (1, 0, 1), (1, 1, 0), (2, 1, 1), (2, 2, 0)])
+def block_pages(spark):
+    """Pages of three blocks by keyset; a conversation's second page begins where its first ended."""
+    data = [(1, k, '{"role":"user"}') for k in range(3)]
+    own = conversations.message_blocks(rows(spark, data, "conv int, turn int, m string"), "conv", "turn", "m", "generic")
+    order = ["turn", "block"]
+    one = inspection.keyset_page(own, order, None, 3, 100)
+    two = inspection.keyset_page(own, order, (1, 0), 2, 100)
+    return one.withColumn("page", F.lit(1)).union(two.withColumn("page", F.lit(2)))
+
+
+@case("id int, n_recognised long, generic boolean", [(1, 2, True), (2, 1, False), (3, 4, True), (4, 3, False)])
+def conversation_profiles(spark):
+    """Two of two; one alone; four of five; three of five."""
+    data = [(1, "user", "a"), (1, "bot", "b"), (2, "user", "a"), *((3, r, "x") for r in ("user", "model", "user", "gpt", "other")), *((4, r, "x") for r in ("user", "model", "user", "other", "other"))]
+    return conversations.profile(rows(spark, data, "id int, role string, content string"), "id", "role", "content")
+
+
 @case("role string, normal string", [("system", "system"), ("developer", "developer"), ("user", "user"), ("human", "user"), ("assistant", "assistant"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"), ("tool", "tool"), ("function", "tool"), ("narrator", "unknown"), (None, "unknown")])
 def roles_normalised(spark):
     data = ["system", "developer", "user", "human", "assistant", "gpt", "bot", "model", "tool", "function", "narrator", None]
@@ -633,6 +665,21 @@ def token_id_lists(spark):
     return got.select("text", F.array_join(F.col("t.ids").cast("array<string>"), ",").alias("ids"), "t.error", "t.item")
 
 
+@case("pos int, flag string", [(0, "eos_token"), (1, "pad_token"), (2, None), (3, "added"), (4, None)])
+def special_flags(spark):
+    """A named token by its id, one without an id by its piece, one marked special, and plain ones, an added one that isn't special among them."""
+    fields = rows(spark, [("t", "eos_token", "</s>"), ("t", "pad_token", "<pad>")], "tokenizer string, name string, piece string")
+    added = rows(spark, [("t", 2, "</s>", True), ("t", 9, "<x>", True), ("t", 5, "word", False)], "tokenizer string, token_id int, content string, special boolean")
+    tokens = rows(spark, [("t", 0, 2, "</s>"), ("t", 1, 7, "<pad>"), ("t", 2, 3, "a"), ("t", 3, 9, "<x>"), ("t", 4, 5, "word")], "tokenizer string, pos int, token_id int, piece string")
+    return vocabularies.flagged(tokens, vocabularies.special_tokens(fields, added))
+
+
+@case("id int, left_count long, right_count long, delta long, ids_match boolean, first_difference long, left_id int, right_id int", [(1, 2, 2, 0, True, None, None, None), (2, 3, 2, -1, False, 1, 2, 9), (3, 1, 3, 2, False, 1, None, 5), (4, 0, 0, 0, True, None, None, None)])
+def token_comparisons(spark):
+    df = rows(spark, [(1, [1, 2], [1, 2]), (2, [1, 2, 3], [1, 9]), (3, [1], [1, 5, 6]), (4, [], [])], "id int, a array<int>, b array<int>")
+    return df.select("id", *(c.alias(n) for n, c in vocabularies.comparison(F.col("a"), F.col("b")).items()))
+
+
 @case("id int, position int, segment string, role string", [(1, 0, "<u>", "template"), (1, 1, "he", "user"), (1, 2, "llo", "user"), (1, 3, "<a>o", "template"), (1, 4, "k", "assistant"), (2, 0, "x", None)])
 def segment_roles(spark):
     schema = "id int, text string, bodies array<struct<role:string,body:string>>, segments array<string>, mapping string"
