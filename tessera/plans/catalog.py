@@ -180,7 +180,7 @@ def find_count(spark, d):
     return table(spark, d, "documents").select("doc_id", F.regexp_count("text", F.lit(text.find_pattern("token"))).cast("long").alias("n"))
 
 
-@query()
+@query("SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+'), lambda x: x = 'the'))::bigint AS n FROM documents")
 def find_whole_words(spark, d):
     return table(spark, d, "documents").select("doc_id", F.regexp_count("text", F.lit(text.find_pattern("the", "fullWord"))).cast("long").alias("n"))
 
