@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, langid, licenses, lm, mixing, near_dedup, packing, quality, secrets, suffix_dedup
+from tessera.llm import exact_dedup, langid, lexical_search, licenses, lm, mixing, near_dedup, packing, quality, relative_lz, secrets, suffix_dedup, vector_codes
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -15,7 +15,13 @@ QUERIES = {
     "op8_quality_rules": quality.query,
     "op9_mixing": mixing.query,
     "op10_license_scans": licenses.query,
+    "op11_lexical_search": lexical_search.query,
+    "op12_vector_codes": vector_codes.query,
+    "op13_substring_dedup": relative_lz.query,
 }
 ORACLES = {
     "op6_exact_dedup": exact_dedup.ORACLE,
+    "op11_lexical_search": lexical_search.ORACLE,
+    "op12_vector_codes": vector_codes.ORACLE,
+    "op13_substring_dedup": relative_lz.ORACLE,
 }

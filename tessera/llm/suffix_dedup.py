@@ -83,14 +83,14 @@ def prints(sums: np.ndarray, start: np.ndarray, n: np.ndarray | int) -> np.ndarr
     return (sums[start + n] - sums[start]) * powers(len(sums))[1][start]
 
 
-def anchors(hashes: np.ndarray) -> np.ndarray:
-    """For each position the anchor of the 50 bytes from there on (those at the end of the text have none of meaning)."""
+def anchors(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """For each position the least of the ``window`` hashes from there on (those at the end of the text have none of meaning)."""
     low = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
     span = 1
-    while 2 * span <= WINDOW:
+    while 2 * span <= window:
         low = np.minimum(low[:-span], low[span:]) if len(low) > span else low[:0]
         span *= 2
-    rest = WINDOW - span
+    rest = window - span
     low = np.minimum(low[:-rest], low[rest:]) if rest and len(low) > rest else low
     return (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
@@ -325,6 +325,16 @@ def packed_spans(ids: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np
     return rows_of([k for k, _ in own], [p for _, p in own])
 
 
+def united_spans(payloads: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """id, key, spans: the union of the packed spans of each document, as maximal runs."""
+    ids, keys, starts, ends = (np.concatenate([p[k] for p in payloads]) for k in range(4))
+    order = np.lexsort((keys, ids))
+    ids, keys, starts, ends = ids[order], keys[order], starts[order], ends[order]
+    heads = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])])[: len(ids)])
+    out = [np.stack(merged(s, e)).tobytes() for s, e in zip(np.split(starts, heads[1:]), np.split(ends, heads[1:]), strict=True)] if len(heads) else []
+    yield pa.RecordBatch.from_arrays([pa.array(ids[heads], pa.int64()), pa.array(keys[heads], pa.int32()), pa.array(out, pa.binary())], names=["id", "key", "spans"])
+
+
 def shipped(docs: DataFrame, n: int) -> DataFrame:
     """The stretches of ``docs`` for the cells of n partitions, and the spans found at once."""
 
@@ -369,15 +379,7 @@ def matched(rows: DataFrame, n: int) -> DataFrame:
             yield packed_spans(*(np.concatenate([f[k] for f in held]) for k in range(4)), n)
         give_back()
 
-    def of_spans(payloads: list[tuple]) -> Iterator[pa.RecordBatch]:
-        ids, keys, starts, ends = (np.concatenate([p[k] for p in payloads]) for k in range(4))
-        order = np.lexsort((keys, ids))
-        ids, keys, starts, ends = ids[order], keys[order], starts[order], ends[order]
-        heads = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])])[: len(ids)])
-        out = [np.stack(merged(s, e)).tobytes() for s, e in zip(np.split(starts, heads[1:]), np.split(ends, heads[1:]), strict=True)] if len(heads) else []
-        yield pa.RecordBatch.from_arrays([pa.array(ids[heads], pa.int64()), pa.array(keys[heads], pa.int32()), pa.array(out, pa.binary())], names=["id", "key", "spans"])
-
-    return gathered(shuffled(rows, n).mapInArrow(of_stretches, PACKED), n, of_spans, "id long, key int, spans binary")
+    return gathered(shuffled(rows, n).mapInArrow(of_stretches, PACKED), n, united_spans, "id long, key int, spans binary")
 
 
 class Index:
