@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,3 +33,23 @@ def report(df: DataFrame, title: str) -> DataFrame:
     """One column of lines: a title, then ``name: value`` of each row's columns."""
     lines = F.array(*(F.concat_ws(": ", F.lit(c), F.coalesce(F.col(c).cast("string"), F.lit("-"))) for c in df.columns))
     return df.sparkSession.createDataFrame([(title,), ("=" * len(title),)], "line string").union(df.select(F.explode(lines).alias("line")))
+
+
+def write_json_arrays(rows: DataFrame, json: str, path: str) -> None:
+    """Writes each partition as a file that is one JSON array; ``json``: the column of the items' texts. A partition without rows is an empty array."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, opened = None, "["
+        for batch in batches:
+            items = batch.column(0).to_pylist()
+            if not items:
+                continue
+            whole = items if last is None else [last, *items]
+            lines = [x + "," for x in whole[:-1]]
+            last = whole[-1]
+            if lines:
+                yield pa.RecordBatch.from_arrays([pa.array([opened + lines[0], *lines[1:]])], names=["value"])
+                opened = ""
+        yield pa.RecordBatch.from_arrays([pa.array([opened + (last or "") + "]"])], names=["value"])
+
+    rows.select(json).mapInArrow(of, "value string").write.text(path)
