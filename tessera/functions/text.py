@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BREAKS = r"\r\n|\r|\n"
@@ -74,6 +74,45 @@ def find_snippet(s: Column, needle: str, around: int = 80, most: int = 160) -> C
     return F.when(at > 0, F.concat(F.when(start > 1, "…").otherwise(""), body, F.when(end + around < F.length(s), "…").otherwise("")))
 
 
+def borders(query: bytes) -> bool:
+    """Whether a match can begin inside another one: whether a beginning of the query is also its end."""
+    return any(query.startswith(query[k:]) for k in range(1, len(query)))
+
+
+def byte_matches(df: DataFrame, key: str, text: str, query: str, width: int = 256 << 10) -> DataFrame:
+    """key, start: the byte, from 0, that each match of a literal begins at; matches don't overlap, the leftmost counts.
+
+    Texts are searched in windows of ``width`` bytes, each with as many more as a match can reach beyond it; a match is the
+    window's that it begins in. Where matches can overlap, those that do so in a row are gone through in order. A null text
+    has none. Rows that repeat a key give their matches each.
+    """
+    raw = query.encode()
+    if not raw or len(raw) > 4096:
+        raise ValueError("a query has 1 to 4096 bytes")
+    size, latin = len(raw), raw.decode("latin-1")
+    own = df.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("own"), F.encode(text, "UTF-8").alias("raw")).where(F.contains("raw", F.lit(raw)))
+    windows = own.select("row", "own", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("raw") - 1) / width).cast("int"))).alias("w"), "raw")
+    chunk = F.decode(F.substring("raw", F.col("w") * width + 1, F.lit(width + size - 1)), "ISO-8859-1")
+    pattern = "(?=\\Q" + latin.replace("\\E", "\\E\\\\E\\Q") + "\\E)"
+    # Cut before each match, overlapping ones too: a piece begins at a match, but for the first one if the chunk doesn't.
+    pieces = windows.select("row", "own", "w", chunk.alias("chunk")).where(F.contains("chunk", F.lit(latin))).select("row", "own", "w", F.startswith("chunk", F.lit(latin)).alias("at_once"), F.transform(F.split("chunk", pattern, -1), lambda p: F.length(p)).alias("n"))
+    each = pieces.select("row", "own", "w", "at_once", F.posexplode("n").alias("k", "n"))
+    end = F.sum("n").over(Window.partitionBy("row", "w").orderBy("k"))
+    starts = each.withColumn("local", end - F.col("n")).where((F.col("k") > 0) | F.col("at_once")).where((F.col("local") < width) & (F.col("n") > 0)).select("row", "own", (F.col("w").cast("long") * width + F.col("local")).alias("start"))
+    if not borders(raw):
+        return starts.select(F.col("own").alias(key), "start")
+    by = Window.partitionBy("row").orderBy("start")
+    new = F.coalesce(F.col("start") - F.lag("start").over(by) >= size, F.lit(True))
+    islands = starts.withColumn("new", new.cast("int")).withColumn("island", F.sum("new").over(by)).groupBy("row", "own", "island").agg(F.array_sort(F.collect_list("start")).alias("s"))
+    first = F.struct(F.lit(-1).cast("long").alias("free"), F.array().cast("array<long>").alias("out"))
+    gaps = F.transform(F.slice("s", F.lit(2), F.size("s") - 1), lambda x, i: x - F.get("s", i))
+    # A run with one period, however long, is counted through; others are gone through match by match.
+    even = F.filter("s", lambda x, i: i % F.ceil(F.lit(size) / F.coalesce(F.get(gaps, F.lit(0)), F.lit(size))) == 0)
+    greedy = F.aggregate("s", first, lambda acc, x: F.when(x >= acc["free"], F.struct((x + size).alias("free"), F.concat(acc["out"], F.array(x)).alias("out"))).otherwise(acc))["out"]
+    taken = F.when(F.coalesce(F.array_min(gaps) == F.array_max(gaps), F.lit(True)), even).otherwise(greedy)
+    return islands.select(F.col("own").alias(key), F.explode(taken).alias("start"))
+
+
 # What a line of code begins with or holds; a parenthesis too for those of CALLS; what starts an assignment.
 STARTS, HOLDS, CALLS, ASSIGNS = ["#!/", "package main"], ["#include <", "public static"], ["fn ", "def ", "function "], ["const ", "let ", "var "]
 CODE_KEYS = ["code", "source", "script"]

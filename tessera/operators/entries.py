@@ -22,9 +22,21 @@ TIME_KEYS = ["timestamp", "time", "ts", "created_at", "createdAt"]
 GROUP_KEYS = ["session_id", "sessionId", "trace_id", "traceId", "run_id", "runId", "conversation_id", "conversationId", "request_id", "requestId", "case_id", "caseId"]
 SEQUENCE_KEYS = ["seq", "sequence", "step", "step_index", "index"]
 SAMPLES, SAMPLE_BYTES = 200, 8 << 20
+#: Rows that are sorted for a sample without looking for a smaller part first; quantiles by which one is looked for.
+SPAN_ROWS, BOUNDS = 100_000, 32
 NODE = "node_id int, parent int, kind string, key string, index int, occurrence int, start long, end long, path string, lexeme string, value string, children int"
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 @F.pandas_udf(T.StructType([T.StructField("code", T.StringType()), T.StructField("at", T.LongType()), T.StructField("line", T.LongType()), T.StructField("column", T.LongType())]))
 def strict_error(values: pd.Series) -> pd.DataFrame:
     """The first error of each text, with its byte, line and column; nulls where it is valid."""
@@ -48,13 +60,15 @@ def entry_status(df: DataFrame, raw: str) -> DataFrame:
     """
     text = F.try_validate_utf8(F.col(raw).cast("string"))
     size = F.octet_length(raw)
-    sized = df.withColumn("_text", F.when(size <= OVERSIZED, text))
-    sure = F.coalesce(is_json(F.col("_text")), F.lit(False)) & ~F.coalesce(F.rlike("_text", F.lit(r"\\u[dD][89a-fA-F]")), F.lit(False))
-    marked = sized.withColumn("_sure", sure)
+    own, sure_, found = fresh(df, "own_text", "sure", "found")
+    sized = df.withColumn(own, F.when(size <= OVERSIZED, text))
+    sure = F.coalesce(is_json(F.col(own)), F.lit(False)) & ~F.coalesce(F.rlike(own, F.lit(r"\\u[dD][89a-fA-F]")), F.lit(False))
+    marked = sized.withColumn(sure_, sure)
     # Rows that need no reader are null to it, and cost it nothing.
-    got = marked.withColumn("_error", strict_error(F.when(~F.col("_sure"), F.col("_text"))))
-    status = F.when(size > OVERSIZED, "Oversized").when(F.col("_text").isNull(), "InvalidUtf8").when(F.col("_error.code").isNotNull(), "InvalidJson").otherwise("Valid")
-    return got.withColumn("status", status).withColumn("error", F.when(F.col("_error.code").isNotNull(), F.col("_error"))).drop("_text", "_sure", "_error")
+    got = marked.withColumn(found, strict_error(F.when(~F.col(sure_), F.col(own))))
+    bad = F.col(found)["code"].isNotNull()
+    status = F.when(size > OVERSIZED, "Oversized").when(F.col(own).isNull(), "InvalidUtf8").when(bad, "InvalidJson").otherwise("Valid")
+    return got.withColumn("status", status).withColumn("error", F.when(bad, F.col(found))).drop(own, sure_, found)
 
 
 def byte_places(s: str | None):
@@ -165,43 +179,78 @@ def family(key: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_replace(key, "Id$", "_id")), "_id$", "")
 
 
+def first_part(df: DataFrame, order: str, size: Column, is_object: Column, enough: int = SPAN_ROWS) -> DataFrame:
+    """The rows up to some value of ``order`` beyond which no sample reaches, if they are more than ``enough``; ``df`` is scanned a few times, nothing is sorted.
+
+    Each scan adds up bytes and objects below BOUNDS quantiles of what is left, and keeps what is below the first that holds a whole sample.
+    """
+    cut = None
+    while True:
+        own = df if cut is None else df.where(F.col(order) <= F.lit(cut))
+        bounds = own.agg(F.percentile_approx(order, [k / BOUNDS for k in range(1, BOUNDS)], 1000).alias("q"), F.count("*").alias("n")).first()
+        if bounds["n"] <= enough or not bounds["q"]:
+            return own
+        marks = sorted(set(bounds["q"]))
+        below = [F.col(order) <= F.lit(m) for m in marks]
+        sums = own.agg(*(F.sum(F.when(c, size)).alias(f"s{k}") for k, c in enumerate(below)), *(F.count_if(c & is_object).alias(f"o{k}") for k, c in enumerate(below)), *(F.count_if(c).alias(f"n{k}") for k, c in enumerate(below))).first()
+        full = next((k for k in range(len(marks)) if (sums[f"s{k}"] or 0) > SAMPLE_BYTES or sums[f"o{k}"] >= SAMPLES), None)
+        if full is None or sums[f"n{full}"] >= bounds["n"]:
+            return own
+        cut = marks[full]
+
+
 def event_samples(df: DataFrame, order: str, json: str) -> DataFrame:
     """The first 200 objects within the first 8 MiB of all entries' bytes, a line end each; an entry that these cut is left out.
 
-    A first aggregation by ranges of the order finds how far the bytes can reach, so that few entries are sorted.
+    ``first_part`` finds how far they can reach; only rows up to there are sorted.
+    """
+    size, is_object = F.octet_length(json).cast("long") + 1, F.json_object_keys(json).isNotNull()
+    bytes_, nth = fresh(df, "bytes", "nth")
+    by = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    near = first_part(df.where(F.col(order).isNotNull()), order, size, is_object)
+    sized = near.withColumns({bytes_: F.sum(size).over(by), nth: F.sum(is_object.cast("int")).over(by)})
+    return sized.where((F.col(bytes_) <= SAMPLE_BYTES) & (F.col(nth) <= SAMPLES) & is_object).drop(bytes_, nth)
+
+
+def event_samples_by(df: DataFrame, by: str, order: str, json: str, salts: int = 16) -> DataFrame:
+    """The samples of each stream, which ``by`` tells apart, with all columns of ``df``.
+
+    Rows are first dealt to parts of their stream; a row before which its part alone has a whole sample is in no sample, so what meets in
+    a stream's window is bounded, whatever the stream's size.
     """
-    size = F.octet_length(json).cast("long") + 1
-    first = df.where(F.json_object_keys(json).isNotNull()).orderBy(order).limit(SAMPLES)
-    last = first.agg(F.max(order).alias("_last"))
-    upto = df.join(F.broadcast(last), F.col(order) <= F.col("_last")).drop("_last")
-    # Up to the 200th object: a running sum over the entries, which the byte limit bounds to those of 8 MiB and one more for each partition.
-    local = upto.select("*", size.alias("_size"), F.spark_partition_id().alias("_part")).withColumn("_own", F.sum("_size").over(Window.partitionBy("_part").orderBy(order)))
-    near = local.where(F.col("_own") - F.col("_size") < SAMPLE_BYTES)
-    sized = near.withColumn("_bytes", F.sum("_size").over(Window.orderBy(order)))
-    return sized.where((F.col("_bytes") <= SAMPLE_BYTES) & F.json_object_keys(json).isNotNull()).drop("_size", "_part", "_own", "_bytes")
-
-
-def event_signals(df: DataFrame, key: str, json: str) -> DataFrame:
+    size, is_object = F.octet_length(F.coalesce(json, F.lit(""))).cast("long") + 1, F.json_object_keys(json).isNotNull()
+    part, bytes_, nth = fresh(df, "part", "bytes", "nth")
+    dealt = df.withColumn(part, F.pmod(F.xxhash64(order), F.lit(salts)))
+    for keys, whole in (([by, part], False), ([by], True)):
+        window = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        sized = dealt.withColumns({bytes_: F.sum(size).over(window), nth: F.sum(is_object.cast("int")).over(window)})
+        # The row that exceeds a part's share stays, so that the whole's sums end where they should.
+        inside = (F.col(bytes_) <= SAMPLE_BYTES) & (F.col(nth) <= SAMPLES) & is_object if whole else (F.col(bytes_) - size <= SAMPLE_BYTES) & (F.col(nth) - is_object.cast("int") <= SAMPLES)
+        dealt = sized.where(inside).drop(bytes_, nth)
+    return dealt.drop(part)
+
+
+def event_signals(df: DataFrame, key: str, json: str, by: list[str] = ()) -> DataFrame:
     keys = F.json_object_keys(json)
     has = lambda names: F.arrays_overlap(keys, F.array(*map(F.lit, names)))
-    return df.select(key, json, has(TYPE_KEYS).alias("has_type"), has(TIME_KEYS).alias("has_time"), has(SEQUENCE_KEYS).alias("has_sequence"), has(GROUP_KEYS).alias("has_grouping"))
+    return df.select(*by, key, json, has(TYPE_KEYS).alias("has_type"), has(TIME_KEYS).alias("has_time"), has(SEQUENCE_KEYS).alias("has_sequence"), has(GROUP_KEYS).alias("has_grouping"))
 
 
-def repeated_groupings(df: DataFrame, key: str, json: str) -> DataFrame:
-    """The rows of which a (family, typed value) is also in another row."""
-    each = df.select(key, json, F.explode(F.array_intersect(F.json_object_keys(json), F.array(*map(F.lit, GROUP_KEYS)))).alias("k"))
+def repeated_groupings(df: DataFrame, key: str, json: str, by: list[str] = ()) -> DataFrame:
+    """The rows of which a (family, typed value) is also in another row, of the same stream if ``by`` names what tells streams apart."""
+    each = df.select(*by, key, json, F.explode(F.array_intersect(F.json_object_keys(json), F.array(*map(F.lit, GROUP_KEYS)))).alias("k"))
     raw = F.variant_get(F.try_parse_json(json), "$", "map<string,variant>")[F.col("k")]
     typed = F.concat(F.schema_of_variant(raw), F.lit(":"), F.coalesce(F.from_json(json, "map<string,string>")[F.col("k")], F.lit("null")))
-    long = each.select(key, family(F.col("k")).alias("family"), typed.alias("value")).distinct()
-    many = long.groupBy("family", "value").agg(F.count("*").alias("n")).where("n > 1")
-    return long.join(many, ["family", "value"], "left_semi").select(key).distinct()
+    long = each.select(*by, key, family(F.col("k")).alias("family"), typed.alias("value")).distinct()
+    many = long.groupBy(*by, "family", "value").agg(F.count("*").alias("n")).where("n > 1")
+    return long.join(many, [*by, "family", "value"], "left_semi").select(*by, key).distinct()
 
 
-def event_verdict(df: DataFrame, key: str, json: str) -> DataFrame:
-    """One row: counts of the signals, and whether these are events. All is one aggregation over at most 200 samples."""
-    s = event_signals(df, key, json)
-    again = repeated_groupings(df, key, json).withColumn("again", F.lit(True))
-    n = s.join(again, key, "left").agg(F.count("*").alias("n"), *(F.count_if(c).alias(c[4:]) for c in ("has_type", "has_time", "has_sequence", "has_grouping")), F.count_if(F.coalesce("again", F.lit(False))).alias("repeated"))
+def event_verdict(df: DataFrame, key: str, json: str, by: list[str] = ()) -> DataFrame:
+    """Counts of the signals, and whether these are events: one row, or one for each stream, of at most 200 samples each."""
+    s = event_signals(df, key, json, by)
+    again = repeated_groupings(df, key, json, by).withColumn("again", F.lit(True))
+    n = s.join(again, [*by, key], "left").groupBy(*by).agg(F.count("*").alias("n"), *(F.count_if(c).alias(c[4:]) for c in ("has_type", "has_time", "has_sequence", "has_grouping")), F.count_if(F.coalesce("again", F.lit(False))).alias("repeated"))
     share = lambda c, pct, of="n": (F.col(of) > 0) & (F.col(c) * 100 >= F.col(of) * pct)
     typed = share("type", 70) & (share("time", 40) | (share("grouping", 50) & share("repeated", 50, "grouping")) | share("sequence", 40))
     timed = share("time", 70) & share("grouping", 70) & share("repeated", 50, "grouping")

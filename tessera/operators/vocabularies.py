@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Buckets of lengths.
@@ -134,36 +134,34 @@ def encoded(df: DataFrame, key: str, text: str, tokenizer: str) -> DataFrame:
     return df.select(key, text).mapInPandas(of, f"{key} {kind}, ids array<long>, pieces array<string>, decoded string, segments array<string>, mapping string")
 
 
-def token_roles(rendered: str, bodies: list[tuple[str, str]], segments: list[str]) -> list[str]:
-    """The role of each segment: that of the message whose body, found in order, holds all of it; else ``template``."""
-    spans, at = [], 0
-    for role, body in bodies:
-        k = rendered.find(body, at) if body else -1
-        if k >= 0:
-            spans.append((k, k + len(body), role))
-            at = k + len(body)
-    out, at, k = [], 0, 0
-    for s in segments:
-        end = at + len(s)
-        while k < len(spans) and spans[k][1] <= at:
-            k += 1
-        out.append(spans[k][2] if k < len(spans) and spans[k][0] <= at and end <= spans[k][1] else "template")
-        at = end
-    return out
-
-
 def attributed(df: DataFrame, key: str) -> DataFrame:
     """key, position, segment, role from columns text, bodies (array of role and body) and segments.
 
-    With a column ``mapping`` rows have a role only where it is Exact.
+    Bodies are looked for one after the other in the text, each from the last one's end on; one that isn't there is passed
+    over. A segment that lies in a body as a whole has its role, any other ``template``. A sweep over the starts of
+    bodies and segments tells which body was opened last. With a column ``mapping`` rows have a role only where it is Exact.
     """
     exact = F.col("mapping") == "Exact" if "mapping" in df.columns else F.lit(True)
-    kind = dict(df.select(key).dtypes)[key]
-
-    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(k, i, s, r if exact_ else None) for k, text, bodies, segments, exact_ in zip(frame[key], frame["text"], frame["bodies"], frame["segments"], frame["exact"], strict=True) for i, (s, r) in enumerate(zip(segments, token_roles(text, [tuple(b.values()) if isinstance(b, dict) else tuple(b) for b in bodies], list(segments)), strict=True))]
-            yield pd.DataFrame(rows, columns=[key, "position", "segment", "role"])
-
-    given = df.select(key, "text", "bodies", "segments", F.coalesce(exact, F.lit(False)).alias("exact"))
-    return given.mapInPandas(of, f"{key} {kind}, position int, segment string, role string")
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,role:string>>").alias("spans"))
+
+    def opened(acc: Column, b: Column) -> Column:
+        place = F.when(F.length(b["body"]) > 0, F.call_function("locate", b["body"], F.col("text"), acc["at"] + 1)).otherwise(0)
+        end = place - 1 + F.length(b["body"])
+        span = F.array(F.struct((place - 1).alias("start"), end.alias("end"), b["role"].cast("string").alias("role")))
+        return F.when(place > 0, F.struct(end.alias("at"), F.concat(acc["spans"], span).alias("spans"))).otherwise(acc)
+
+    bodies = F.transform("bodies", lambda b: F.struct(b["role"].alias("role"), b["body"].alias("body")))
+    spans = F.aggregate(bodies, start, opened)["spans"]
+    body_rows = F.transform(spans, lambda x: F.struct(F.lit(0).alias("kind"), F.lit(0).alias("position"), x["start"].alias("start"), F.lit(0).alias("size"), x["end"].alias("end"), x["role"].alias("label")))
+    segment_rows = F.transform("segments", lambda x, i: F.struct(F.lit(1).alias("kind"), i.alias("position"), F.lit(None).cast("int").alias("start"), F.length(x).alias("size"), F.lit(None).cast("int").alias("end"), x.alias("label")))
+    given = df.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("own"), F.coalesce(exact, F.lit(False)).alias("exact"), F.concat(body_rows, segment_rows).alias("x"))
+    each = given.select("row", "own", "exact", F.explode("x").alias("x")).select("row", "own", "exact", "x.*")
+    is_segment = F.col("kind") == 1
+    ends = F.sum("size").over(Window.partitionBy("row", "kind").orderBy("position")).cast("int")
+    placed = each.withColumn("end", F.when(is_segment, ends).otherwise(F.col("end"))).withColumn("start", F.when(is_segment, F.col("end") - F.col("size")).otherwise(F.col("start")))
+    # Of what begins at one place a body comes first.
+    sweep = Window.partitionBy("row").orderBy("start", "kind", "position").rowsBetween(Window.unboundedPreceding, 0)
+    body = F.last(F.when(~is_segment, F.struct("end", "label")), ignorenulls=True).over(sweep)
+    found = placed.withColumn("body", body).where(is_segment)
+    role = F.when(F.col("exact"), F.when(F.col("end") <= F.col("body.end"), F.col("body.label")).otherwise("template"))
+    return found.select(F.col("own").alias(key), "position", F.col("label").alias("segment"), role.alias("role"))

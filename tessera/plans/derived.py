@@ -1,0 +1,74 @@
+"""More queries over the given tables: files, entries, trees, conversations and token lists that Spark makes from them, each with SQL that works out the same rows from the tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.operators import entries
+from tessera.plans.catalog import event_json, query, table
+from tessera.sources import json_arrays, scratch, sinks
+from tessera.streaming import events
+
+
+def event_arrays(spark, d: str) -> str:
+    """A folder with the events, in their order, as files that are one JSON array each."""
+    path = scratch.folder(spark)
+    own = event_json(spark, d).repartitionByRange(3, "event_id").sortWithinPartitions("event_id")
+    sinks.write_json_arrays(own, "json", path)
+    return path
+
+
+@query("SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1)::bigint AS ordinal, event_type AS type, user_id AS session_id FROM events")
+def array_items(spark, d):
+    """Items of array files, found over byte splits; their ordinals go on from file to file."""
+    path = event_arrays(spark, d)
+    counts = json_arrays.array_counts(spark, path)
+    before = counts.alias("a").join(counts.alias("b"), F.col("b.file") < F.col("a.file"), "left").groupBy(F.col("a.file").alias("file")).agg(F.coalesce(F.sum("b.n_items"), F.lit(0)).alias("before"))  # a row a file
+    got = json_arrays.array_items(spark, path).join(F.broadcast(before), "file")
+    item = F.from_json(F.col("raw").cast("string"), "type string, session_id long")
+    ids = event_json(spark, d).select("event_id", "json")
+    own = got.select((F.col("ordinal") + F.col("before")).alias("ordinal"), F.col("raw").cast("string").alias("json"), item.alias("item"))
+    return own.join(ids, "json").select("event_id", "ordinal", F.col("item.type").alias("type"), F.col("item.session_id").alias("session_id"))
+
+
+@query("SELECT '[' AS root, true AS closed, true AS valid, count(*) AS n_items FROM events")
+def array_counts(spark, d):
+    """Items of array files counted without parsing, and whether the files are valid."""
+    path = event_arrays(spark, d)
+    both = json_arrays.array_counts(spark, path).join(json_arrays.array_documents(spark, path).select("file", "valid"), "file")
+    return both.groupBy("root", "closed", "valid").agg(F.sum("n_items").alias("n_items"))
+
+
+def varied_json(e: DataFrame) -> DataFrame:
+    """Events as entries some of which lack a type, a time, a place in a sequence or a session; sessions are numbers or strings."""
+    k = F.col("event_id")
+    part = lambda when, name, value: F.when(when, F.concat(F.lit(f'"{name}":'), value))
+    number = (k % 5).cast("string")
+    parts = F.array_compact(F.array(part(k % 4 != 0, "type", F.to_json(F.struct("event_type"))), part(k % 3 != 0, "ts", k.cast("string")), part(k % 7 == 0, "seq", F.lit("1")), part(k % 2 == 0, "session_id", number), part(k % 10 == 1, "sessionId", F.concat(F.lit('"'), number, F.lit('"')))))
+    return e.withColumn("json", F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")))
+
+
+VERDICTS = """WITH o AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+s AS (SELECT *, CASE WHEN event_id % 2 = 0 THEN concat('i', event_id % 5) WHEN event_id % 10 = 1 THEN concat('s', event_id % 5) END AS g FROM o WHERE r <= 200),
+m AS (SELECT *, g IS NOT NULL AND count(*) OVER (PARTITION BY user_id, g) > 1 AS again FROM s),
+c AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_id % 4 <> 0) AS type, count(*) FILTER (event_id % 3 <> 0) AS time, count(*) FILTER (event_id % 7 = 0) AS sequence, count(g) AS "grouping", count(*) FILTER (again) AS repeated FROM m GROUP BY user_id),
+v AS (SELECT *, "grouping" > 0 AND repeated * 2 >= "grouping" AS most FROM c),
+w AS (SELECT *, n >= 10 AND ((type * 10 >= n * 7 AND (time * 10 >= n * 4 OR ("grouping" * 2 >= n AND most) OR sequence * 10 >= n * 4)) OR (time * 10 >= n * 7 AND "grouping" * 10 >= n * 7 AND most)) AS is_event_stream FROM v)
+"""
+
+
+@query(VERDICTS + 'SELECT user_id, n, type, time, sequence, "grouping", repeated, is_event_stream FROM w')
+def stream_verdicts(spark, d):
+    """A verdict for each user's entries, from samples that no single task sorts whole streams for."""
+    own = varied_json(table(spark, d, "events"))
+    return entries.event_verdict(entries.event_samples_by(own, "user_id", "event_id", "json"), "event_id", "json", ["user_id"])
+
+
+@query(VERDICTS + ", t AS (SELECT user_id, count(*) AS entries FROM events GROUP BY user_id) SELECT user_id, entries, n::int AS samples, is_event_stream AS hint FROM w JOIN t USING (user_id)")
+def keyed_stream_verdicts(spark, d):
+    """The same verdicts from a stream over the table, as keyed state read back."""
+    path = scratch.folder(spark)
+    stream = varied_json(events.table_stream(spark, f"{d}/events.parquet"))
+    found = events.run_keyed_verdicts(stream, "user_id", "event_id", "json", path)
+    return found.select(F.col("key").alias("user_id"), "entries", "samples", "hint")
