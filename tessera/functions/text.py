@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessera.functions import strict_json
 
 BREAKS = r"\r\n|\r|\n"
 
@@ -180,10 +186,63 @@ def is_code(s: Column, key: Column | None = None) -> Column:
     return (syntax >= 1) & (named | (syntax >= 2) | F.exists(own, certain_code))
 
 
+SURROGATE = r"\\u[dD][89a-fA-F]"
+
+
+def surely_json(s: Column) -> Column:
+    """Whether Spark's parser takes the string as one value: two wrappers must both parse, which trailing data fails. It refuses repeated keys and great depth, and takes lone surrogates."""
+    body = F.regexp_replace(s, "^\ufeff", "")
+    return F.coalesce(F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"v":'), body, F.lit("}"))).isNotNull(), F.lit(False))
+
+
+def strictly(read) -> Callable:
+    def of(values: pd.Series) -> pd.Series:
+        def one(s) -> bool | None:
+            if s is None:
+                return None
+            try:
+                read(s)
+            except (ValueError, RecursionError):
+                return False
+            return True
+
+        return pd.Series([one(s) for s in values], dtype="object")
+
+    return of
+
+
+def not_a_number(_: str):
+    raise ValueError
+
+
+@F.pandas_udf(T.BooleanType())
+def strict_json_text(values: pd.Series) -> pd.Series:
+    """Whether each text is one JSON value by the strict reader; null for null."""
+    return strictly(strict_json.nodes)(values)
+
+
+@F.pandas_udf(T.BooleanType())
+def loose_json_text(values: pd.Series) -> pd.Series:
+    """Likewise by a reader that takes lone surrogates."""
+    return strictly(lambda s: json.loads(s.removeprefix("\ufeff"), parse_constant=not_a_number))(values)
+
+
+@F.pandas_udf(T.LongType())
+def n_json_texts(values: pd.Series) -> pd.Series:
+    """How many texts of each list are one JSON value; null for null."""
+    valid = strictly(strict_json.nodes)
+    return pd.Series([None if own is None else sum(valid(pd.Series(list(own), dtype="object"))) for own in values], dtype="object")
+
+
+def json_start(s: Column) -> Column:
+    return F.rlike(s, F.lit(r'^\x{FEFF}?[ \t\r\n]*[{\["0-9tfn-]'))
+
+
 def is_json(s: Column) -> Column:
-    """Whether the string is one JSON value: two wrappers must both parse, which trailing data fails."""
-    body = F.regexp_replace(s, "^﻿", "")
-    return F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"v":'), body, F.lit("}"))).isNotNull()
+    """Whether the string is one JSON value. Spark's parser decides nearly all; the strict reader what that refuses or takes too easily, if it starts like JSON."""
+    odd = F.rlike(s, F.lit(SURROGATE))
+    sure = surely_json(s)
+    return F.when(s.isNull(), F.lit(None)).when(sure & ~odd, True).when(json_start(s), F.coalesce(strict_json_text(F.when(json_start(s) & (~sure | odd), s)), F.lit(False))).otherwise(False)
 
 
 def detected(s: Column, key: Column | None = None, html: Column | None = None) -> Column:
@@ -219,7 +278,7 @@ def code_language(s: Column) -> Column:
     out = None
     for name, patterns in LANGUAGES:
         if name == "json":
-            rule = F.rlike(s, F.lit(r"^\s*[{\[]")) & F.rlike(s, F.lit(r"[}\]]\s*$")) & is_json(s)
+            rule = F.rlike(s, F.lit(r"^\s*[{\[]")) & F.rlike(s, F.lit(r"[}\]]\s*$")) & (surely_json(s) | F.coalesce(loose_json_text(F.when(F.rlike(s, F.lit(r"^\s*[{\[]")) & ~surely_json(s), s)), F.lit(False)))
         else:
             rule = F.lit(True)
             for p in patterns:

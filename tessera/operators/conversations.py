@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tessera.functions import strict_json
 from tessera.operators.entries import json_nodes
 
 # Roles, what they are called elsewhere, and what shows a protocol.
@@ -32,6 +35,40 @@ def profile(messages: DataFrame, by: str, role: str, content: str) -> DataFrame:
     return got.select(by, "n_messages", "n_recognised", generic.alias("generic"))
 
 
+# What a typed block must have once at most.
+ONCE = {"thinking": ["thinking"], "redacted_thinking": ["data"], "tool_use": ["id", "name", "input"], "tool_result": ["tool_use_id", "content", "is_error"]}
+SHOWN_ONCE = ["type", "text"]
+
+
+@F.pandas_udf(T.BooleanType())
+def has_typed_block(messages: pd.Series) -> pd.Series:
+    """Whether an array that is a message's content has an object of an Anthropic type, with nothing that it depends on there twice; null for null."""
+
+    def of(s: str | None) -> bool | None:
+        if s is None:
+            return None
+        try:
+            nodes = strict_json.nodes(s)
+        except strict_json.Bad:
+            return False
+        inner: dict[int, list[dict]] = {}
+        for n in nodes[1:]:
+            inner.setdefault(n["parent"], []).append(n)
+        of_ = lambda n: inner.get(n["id"], [])
+        twice = lambda n, names: any(c["key"] in names and c["occurrence"] > 1 for c in of_(n))
+        for content in (n for n in of_(nodes[0]) if n["key"] == "content" and n["kind"] == "Array"):
+            for block in (b for b in of_(content) if b["kind"] == "Object"):
+                type_ = next((c["value"] for c in of_(block) if c["key"] == "type" and c["kind"] == "String"), None)
+                if type_ not in ONCE or twice(block, ["type", *ONCE[type_]]):
+                    continue
+                shown = [c for c in of_(block) if c["key"] == "content"] if type_ == "tool_result" else []
+                if not any(item["kind"] == "Object" and twice(item, SHOWN_ONCE) for c in shown for item in of_(c)):
+                    return True
+        return False
+
+    return pd.Series([of(s) for s in messages], dtype="object")
+
+
 def kinds(messages: DataFrame, by: str, message: str) -> DataFrame:
     """By conversation the protocol of its messages (JSON): openai, anthropic, mixed, generic, possible or none.
 
@@ -44,8 +81,8 @@ def kinds(messages: DataFrame, by: str, message: str) -> DataFrame:
     get = lambda path: F.get_json_object(m, path)
     role = get("$.role")
     openai = once("role", "tool_calls", "function_call", "tool_call_id") & (has("tool_calls") | has("function_call") | has("tool_call_id") | F.coalesce(role.isin(OPENAI_ROLES), F.lit(False)))
-    types = F.from_json(get("$.content"), "array<struct<type:string>>")
-    anthropic = once("role", "content") & F.coalesce(F.exists(types, lambda b: b["type"].isin(ANTHROPIC_BLOCKS)), F.lit(False))
+    likely = F.rlike(m, F.lit("|".join(f'"{b}"' for b in ANTHROPIC_BLOCKS))) & keys.isNotNull()
+    anthropic = once("role", "content") & F.coalesce(has_typed_block(F.when(likely, m)), F.lit(False))
     role_key = has("role") | has("from")
     recognised = F.coalesce(F.coalesce(role, get("$.from")).isin(ROLES), F.lit(False))
     content = has("content") | has("value") | has("tool_calls") | has("function_call")

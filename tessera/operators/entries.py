@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import strict_json
-from tessera.functions.text import bounded_value, is_json
+from tessera.functions.text import SURROGATE, bounded_value, is_json, surely_json
 
 OVERSIZED = 16 << 20
 # Keys of events in order of rank, and the families of grouping keys.
@@ -62,7 +62,7 @@ def entry_status(df: DataFrame, raw: str) -> DataFrame:
     size = F.octet_length(raw)
     own, sure_, found = fresh(df, "own_text", "sure", "found")
     sized = df.withColumn(own, F.when(size <= OVERSIZED, text))
-    sure = F.coalesce(is_json(F.col(own)), F.lit(False)) & ~F.coalesce(F.rlike(own, F.lit(r"\\u[dD][89a-fA-F]")), F.lit(False))
+    sure = surely_json(F.col(own)) & ~F.coalesce(F.rlike(own, F.lit(SURROGATE)), F.lit(False))
     marked = sized.withColumn(sure_, sure)
     # Rows that need no reader are null to it, and cost it nothing.
     got = marked.withColumn(found, strict_error(F.when(~F.col(sure_), F.col(own))))
@@ -162,17 +162,46 @@ def by_rank(json: Column, fields: Column, keys: list[str]) -> Column:
     return F.coalesce(*(F.when(F.map_contains_key(fields, k), value(k)) for k in keys))
 
 
+FIRSTS = T.StructType([T.StructField(n, T.StringType()) for n in "abc"])
+
+
+@F.pandas_udf(FIRSTS)
+def written_fields(values: pd.Series) -> pd.DataFrame:
+    """Of each valid object the values of its first keys by rank: strings decoded, others as they are written."""
+
+    def of(s: str | None) -> list:
+        try:
+            found = strict_json.nodes(s) if s is not None else []
+        except strict_json.Bad:
+            found = []
+        out = []
+        for keys in (TYPE_KEYS, TIME_KEYS, GROUP_KEYS):
+            best = min((n for n in found if n["parent"] == 0 and n["key"] in keys), key=lambda n: (keys.index(n["key"]), n["id"]), default=None)
+            out.append(None if best is None else best["value"] if best["kind"] == "String" else s[best["start"] : best["end"]])
+        return out
+
+    return pd.DataFrame([of(s) for s in values], columns=list("abc"))
+
+
 def event_summary(df: DataFrame, json: str) -> DataFrame:
-    """``df`` with event_type, timestamp and grouping, each at most 256 characters and whether there were more. An entry is parsed once."""
-    name = "_fields"
-    while name in df.columns:
-        name += "_"
+    """``df`` with event_type, timestamp and grouping of valid objects, each at most 256 characters and whether there were more.
+
+    An entry is parsed once. Where a key could be there twice, a value is a container or a surrogate is escaped, the strict reader
+    gives the values as they are written.
+    """
+    name, odd_ = fresh(df, "fields", "odd")
     # An aggregate over the one object makes the map a variable, so that not every use of it parses anew.
     found = lambda m: F.struct(*(by_rank(F.col(json), m, keys).alias(name) for name, keys in (("a", TYPE_KEYS), ("b", TIME_KEYS), ("c", GROUP_KEYS))))
-    object_ = F.when(F.startswith(F.ltrim(json), F.lit("{")), F.from_json(json, "map<string,string>"))
+    starts = F.rlike(json, F.lit(r"^\x{FEFF}?[ \t\r\n]*\{"))
+    plain = starts & F.try_parse_json(json).isNotNull() & surely_json(F.col(json)) & ~F.rlike(json, F.lit(SURROGATE)) & ~F.startswith(json, F.lit("\ufeff"))
+    object_ = F.when(plain, F.from_json(json, "map<string,string>"))
+    contained = lambda c: F.coalesce(F.rlike(c, F.lit(r"^[{\[]")), F.lit(False))
     cut = lambda c: F.when(c.isNotNull(), bounded_value(c))
     own = df.withColumn(name, F.get(F.transform(F.array(object_), found), F.lit(0)))
-    return own.withColumns({"event_type": cut(F.col(name)["a"]), "timestamp": cut(F.col(name)["b"]), "grouping": cut(F.col(name)["c"])}).drop(name)
+    odd = starts & (~F.coalesce(plain, F.lit(False)) | contained(F.col(name)["a"]) | contained(F.col(name)["b"]) | contained(F.col(name)["c"]))
+    own = own.withColumn(odd_, written_fields(F.when(odd, F.col(json))))
+    value = lambda k: F.when(odd, F.col(odd_)[k]).otherwise(F.col(name)[k])
+    return own.withColumns({"event_type": cut(value("a")), "timestamp": cut(value("b")), "grouping": cut(value("c"))}).drop(name, odd_)
 
 
 def family(key: Column) -> Column:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import natural_key
+from tessera.functions.text import natural_key, trimmed
 
 
 def name_parts(name: Column) -> Column:
@@ -150,10 +150,19 @@ def picked(files: DataFrame, by: str, path: str, names: list[str], reference: Co
     return own.groupBy(by).agg(F.min(F.struct(rank.alias("rank"), F.length(path).alias("size"), F.col(path).alias("path"))).alias("best")).select(by, "best.path")
 
 
-def model_id(url: Column) -> Column:
-    """owner/name of a model's address or id; null for neither."""
-    own = F.regexp_extract(url, r"^(?:https?://[^/]+/)?(?:models/)?([A-Za-z0-9._-]+/[A-Za-z0-9._-]+?)/?(?:(?:/(?:tree|blob|resolve|files)/.*)|[?#].*)?$", 1)
-    return F.when(own != "", own)
+# Hosts whose addresses name models, and what an id looks like.
+MODEL_HOSTS = ("huggingface.co", "www.huggingface.co")
+MODEL_ID = r"^[A-Za-z0-9][A-Za-z0-9._-]*/[A-Za-z0-9][A-Za-z0-9._-]*$"
+
+
+def model_id(url: Column, hosts: tuple[str, ...] = MODEL_HOSTS) -> Column:
+    """owner/name of a model's id or of an address at one of the hosts, whose path begins with it; null for anything else."""
+    own = trimmed(url)
+    address = F.rlike(own, F.lit(r"^(?i)https?://"))
+    host = F.lower(F.try_parse_url(own, F.lit("HOST")))
+    parts = F.filter(F.split(F.try_parse_url(own, F.lit("PATH")), "/"), lambda x: x != "")
+    found = F.when(address, F.when(host.isin(*hosts) & (F.size(parts) >= 2), F.concat_ws("/", F.get(parts, F.lit(0)), F.get(parts, F.lit(1))))).otherwise(own)
+    return F.when(F.rlike(found, F.lit(MODEL_ID)), found)
 
 
 def history(df: DataFrame, name: str, at: str) -> DataFrame:

@@ -229,9 +229,8 @@ def encoded_ids(df: DataFrame, key: str, text: str, vocabulary: Vocabulary, most
     return df.select(key, words(F.col(text), vocabulary.kind).alias("words")).mapInArrow(of, f"{key} {kind}, ids array<int>")
 
 
-def decoded(df: DataFrame, key: str, ids: str, vocabulary: Vocabulary) -> DataFrame:
-    """key, text of lists of ids: bytes that aren't whole characters become replacement marks; an unknown id is nothing."""
-    kind = dict(df.select(key).dtypes)[key]
+def piece_bytes(vocabulary: Vocabulary) -> dict[int, bytes]:
+    """What each id stands for: bytes, a blank for the mark of one, and one after a word's end."""
 
     def raw(p) -> bytes:
         if isinstance(p, bytes):
@@ -240,13 +239,37 @@ def decoded(df: DataFrame, key: str, ids: str, vocabulary: Vocabulary) -> DataFr
             return bytes([int(p[3:5], 16)])
         return p.replace(MARK, " ").encode()
 
-    pieces = {k: raw(p) for p, k in vocabulary.ids.items()}
-    first = vocabulary.kind in ("scores", "unigram")  # the blank that encoding puts before the first word
-    last = vocabulary.kind == "ends"
+    return {k: raw(p) for p, k in vocabulary.ids.items()}
+
+
+def shown_pieces(vocabulary: Vocabulary) -> dict[int, str]:
+    """Each id's piece as text; a letter stands for each byte of pieces of bytes."""
+    letter = {b: c for c, b in letters_of_bytes().items()}
+    return {k: p if isinstance(p, str) else "".join(letter[b] for b in p) for p, k in vocabulary.ids.items()}
+
+
+def text_of(raw: bytes, kind: str) -> str:
+    """The text of ids' bytes, without the blank that encoding puts before the first word, or the one behind the last."""
+    t = raw.decode("utf-8", "replace")
+    return t.removeprefix(" ") if kind in ("scores", "unigram") else t.removesuffix(" ") if kind == "ends" else t
+
+
+def trimmed_segments(segments: list[str], kind: str) -> list[str]:
+    """Likewise of a text's segments."""
+    if segments and kind in ("scores", "unigram"):
+        return [segments[0].removeprefix(" "), *segments[1:]]
+    if segments and kind == "ends":
+        return [*segments[:-1], segments[-1].removesuffix(" ")]
+    return segments
+
+
+def decoded(df: DataFrame, key: str, ids: str, vocabulary: Vocabulary) -> DataFrame:
+    """key, text of lists of ids: bytes that aren't whole characters become replacement marks; an unknown id is nothing."""
+    column = dict(df.select(key).dtypes)[key]
+    pieces, kind = piece_bytes(vocabulary), vocabulary.kind
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            texts = [b"".join(pieces.get(int(k), b"") for k in own).decode("utf-8", "replace") if own is not None else None for own in frame[ids]]
-            yield pd.DataFrame({key: frame[key], "text": [t if t is None else t.removeprefix(" ") if first else t.removesuffix(" ") if last else t for t in texts]})
+            yield pd.DataFrame({key: frame[key], "text": [None if own is None else text_of(b"".join(pieces.get(int(k), b"") for k in own), kind) for own in frame[ids]]})
 
-    return df.select(key, ids).mapInPandas(of, f"{key} {kind}, text string")
+    return df.select(key, ids).mapInPandas(of, f"{key} {column}, text string")

@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import trimmed
+from tessera.operators import subwords
+
 # Buckets of lengths.
 BUCKETS = (("0", 0, 0), ("1", 1, 1), ("2", 2, 2), ("3-4", 3, 4), ("5-8", 5, 8), ("9-16", 9, 16), ("17-32", 17, 32), ("33-64", 33, 64), ("65+", 65, None))
 PERCENTILES = (0.5, 0.9, 0.95, 0.99)
@@ -71,67 +74,105 @@ def comparison(a: Column, b: Column) -> dict[str, Column]:
     return {"left_count": F.size(a).cast("long"), "right_count": F.size(b).cast("long"), "delta": (F.size(b) - F.size(a)).cast("long"), "ids_match": a == b, "first_difference": first, "left_id": F.get(a, first.cast("int")), "right_id": F.get(b, first.cast("int"))}
 
 
+#: The largest id, and the most bytes of a list of them.
+MOST_ID, MOST_LIST = 2**53 - 1, 65536
+
+
 def token_ids(text: Column) -> Column:
-    """A struct of ids, or an error and the number from 1 of the item that has it, of a JSON array or a list by commas or blanks."""
-    inner = F.regexp_replace(F.trim(text), r"^\[|\]$", "")
-    items = F.filter(F.split(inner, r"[,\s]+", -1), lambda x: x != "")
-    bad = lambda p: F.array_position(F.transform(items, p), True)
-    negative = bad(lambda x: F.rlike(x, F.lit(r"^-\d+$")))
-    invalid = bad(lambda x: ~F.rlike(x, F.lit(r"^-?\d+$")))
-    over = bad(lambda x: F.rlike(x, F.lit(r"^\d+$")) & F.try_to_number(x, F.lit("9" * 38)).isNotNull() & (F.length(F.regexp_replace(x, "^0+", "")) > 18))
-    first = F.array_min(F.filter(F.array(*(F.struct(F.when(p > 0, p).alias("at"), F.lit(n).alias("error")) for n, p in (("negative", negative), ("invalid", invalid), ("overflow", over)))), lambda s: s["at"].isNotNull()))
-    error = F.when(F.octet_length(text) > 65536, "tooLarge").when(F.size(items) == 0, "empty").otherwise(first["error"])
-    return F.struct(F.when(error.isNull(), F.transform(items, lambda x: F.expr("1L") * x.try_cast("long"))).alias("ids"), error.alias("error"), F.when(first.isNotNull(), first["at"]).alias("item"))
-
-
-def special_tokens(fields: DataFrame, added: DataFrame) -> DataFrame:
-    """(tokenizer, token_id, piece, name): named fields, which added tokens marked special override by id.
-
-    ``fields``: tokenizer, name, piece; ``added``: tokenizer, token_id, content, special.
+    """A struct of ids, or an error and the number from 1 of the item that has it, of a JSON array or a list by commas or blanks.
+
+    Errors: tooLarge, jsonInvalid, empty, negative, invalid, overflow; of several items the first counts.
     """
-    named = fields.join(added.select("tokenizer", F.col("content").alias("piece"), "token_id"), ["tokenizer", "piece"], "left").select("tokenizer", "token_id", "piece", "name", F.lit(1).alias("rank"))
-    own = added.where("special").select("tokenizer", "token_id", F.col("content").alias("piece"), F.lit("added").alias("name"), F.lit(0).alias("rank"))
-    both = named.union(own)
-    return both.groupBy("tokenizer", "piece").agg(F.min_by("token_id", "rank").alias("token_id"), F.max_by("name", "rank").alias("name"))
+    own = trimmed(text)
+    is_array = F.startswith(own, F.lit("["))
+    parsed = F.try_parse_json(F.when(is_array, own))
+    values = F.try_variant_get(parsed, "$", "array<variant>")
+
+    def said(x: Column) -> Column:
+        kind, number = F.schema_of_variant(x), F.try_variant_get(x, "$", "double")
+        whole = (number == F.floor(number)) & (F.abs(number) < 1e18)
+        return F.when(kind == "BIGINT", F.try_variant_get(x, "$", "string")).when(kind.startswith("DECIMAL") | (kind == "DOUBLE"), F.when(whole, number.cast("long").cast("string")).otherwise(number.cast("string"))).otherwise(F.lit("?"))
+
+    items = F.when(is_array, F.transform(values, said)).otherwise(F.filter(F.split(text, r"(?U)[,\s]+", -1), lambda x: x != ""))
+
+    def fault(x: Column) -> Column:
+        number = x.try_cast("decimal(38,0)")
+        integer = F.rlike(x, F.lit(r"^[+-]?[0-9]+$"))
+        return F.when(~integer, "invalid").when(number < 0, "negative").when(number > MOST_ID, "overflow").when(number.isNull(), F.when(F.startswith(x, F.lit("-")), "negative").otherwise("overflow"))
+
+    faults = F.transform(items, fault)
+    first = F.array_min(F.filter(F.transform(faults, lambda e, i: F.when(e.isNotNull(), F.struct((i + 1).alias("at"), e.alias("error")))), lambda f: f.isNotNull()))
+    error = F.when(F.octet_length(text) > MOST_LIST, "tooLarge").when(is_array & values.isNull(), "jsonInvalid").when(F.size(items) == 0, "empty").otherwise(first["error"])
+    return F.struct(F.when(error.isNull(), F.transform(items, lambda x: x.try_cast("long"))).alias("ids"), error.alias("error"), F.when(error == first["error"], first["at"].cast("long")).alias("item"))
+
+
+# The named fields of special tokens, in order.
+NAMED = ["bos_token", "eos_token", "pad_token", "unk_token", "cls_token", "sep_token", "mask_token"]
+
+
+def special_tokens(fields: DataFrame, added: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+    """(tokenizer, token_id, piece, name, by_id): what a token is called by its id, if ``by_id``, and by its piece.
+
+    ``fields``: tokenizer, name, piece, of the named fields and of additional ones, whose name is their piece; of one piece the
+    first name counts. ``added``: tokenizer, token_id, content, special. ``vocabulary``: tokenizer, piece, token_id, if there is one. A named piece has an id if the vocabulary and
+    the added tokens give it just one. Added tokens that are special are called by their piece's name, else by their content, and
+    override by id.
+    """
+    place = F.array_position(F.array(*map(F.lit, NAMED)), F.col("name"))
+    named = fields.where("piece <> ''").groupBy("tokenizer", "piece").agg(F.min_by("name", F.struct(F.when(place > 0, place).otherwise(len(NAMED) + 1), "name")).alias("name"))
+    ids = added.select("tokenizer", F.col("content").alias("piece"), "token_id")
+    ids = ids if vocabulary is None else ids.union(vocabulary.select("tokenizer", "piece", "token_id"))
+    one = ids.where("token_id >= 0").groupBy("tokenizer", "piece").agg(F.collect_set("token_id").alias("ids")).where(F.size("ids") == 1).select("tokenizer", "piece", F.col("ids")[0].alias("token_id"))
+    own = added.where("special AND content <> '' AND token_id >= 0").select("tokenizer", "token_id", F.col("content").alias("piece")).join(named, ["tokenizer", "piece"], "left").select("tokenizer", "token_id", "piece", F.coalesce("name", "piece").alias("name"))
+    with_id = named.join(one, ["tokenizer", "piece"]).select("tokenizer", "token_id", "piece", "name", F.lit(1).alias("rank")).union(own.withColumn("rank", F.lit(0)))
+    by_id = with_id.groupBy("tokenizer", "token_id").agg(F.min_by(F.struct("piece", "name"), F.struct("rank", "piece")).alias("b")).select("tokenizer", "token_id", "b.piece", "b.name", F.lit(True).alias("by_id"))
+    by_piece = named.select("tokenizer", "piece", "name").union(own.select("tokenizer", "piece", "name")).distinct().select("tokenizer", F.lit(None).cast("long").alias("token_id"), "piece", "name", F.lit(False).alias("by_id"))
+    return by_id.union(by_piece)
 
 
 def flagged(tokens: DataFrame, special: DataFrame) -> DataFrame:
-    """Tokens (tokenizer, pos, token_id, piece) with the special name found by id, else by piece."""
-    by_id = special.where("token_id IS NOT NULL").groupBy("tokenizer", "token_id").agg(F.max("name").alias("by_id"))
-    by_piece = special.groupBy("tokenizer", "piece").agg(F.max("name").alias("by_piece"))
-    return tokens.join(by_id, ["tokenizer", "token_id"], "left").join(by_piece, ["tokenizer", "piece"], "left").withColumn("flag", F.coalesce("by_id", "by_piece")).drop("by_id", "by_piece")
+    """Tokens (tokenizer, pos, token_id, piece, if there is one also cold) with the special name found by id, else by piece, else, for tokens without a piece, by what their id alone decodes to (cold)."""
+    ids = special.where("by_id").select("tokenizer", "token_id", F.col("name").alias("of_id"))
+    pieces = special.where("NOT by_id").select("tokenizer", F.col("piece").alias("looked"), F.col("name").alias("of_piece"))
+    cold = F.col("cold") if "cold" in tokens.columns else F.lit(None).cast("string")
+    own = tokens.withColumn("looked", F.when(F.coalesce(F.col("piece"), F.lit("")) != "", F.col("piece")).otherwise(cold))
+    return own.join(ids, ["tokenizer", "token_id"], "left").join(pieces, ["tokenizer", "looked"], "left").withColumn("flag", F.coalesce("of_id", "of_piece")).drop("of_id", "of_piece", "looked")
 
 
-def encoded(df: DataFrame, key: str, text: str, tokenizer: str) -> DataFrame:
-    """key, ids, pieces, decoded, segments, mapping of each text, by a tokenizer file of the tokenizers library.
+def encoded(df: DataFrame, key: str, text: str, vocabulary: subwords.Vocabulary) -> DataFrame:
+    """key, ids, pieces, decoded, segments, mapping of each text.
 
-    A segment is a run of tokens that decodes to whole characters; ``mapping`` is Exact where segments give the text.
+    A segment is a run of tokens whose bytes are whole characters, of which there is one at least; ``mapping`` is Exact where segments give the text.
+    A piece of bytes is shown with a letter for each.
     """
     kind = dict(df.select(key).dtypes)[key]
+    raw, show = subwords.piece_bytes(vocabulary), subwords.shown_pieces(vocabulary)
+    joined = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    ids = subwords.encoded_ids(joined.select(F.struct(key, "text").alias("own"), "text"), "own", "text", vocabulary)
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from tokenizers import Tokenizer
-
-        own = Tokenizer.from_file(tokenizer)
         for frame in frames:
             rows = []
-            for name, s in zip(frame[key], frame[text].fillna(""), strict=True):
-                e = own.encode(s, add_special_tokens=False)
-                decoded = own.decode(e.ids, skip_special_tokens=False)
-                segments, run = [], []
-                for i in e.ids:
-                    run.append(i)
-                    said = own.decode(run, skip_special_tokens=False)
-                    if said and "�" not in said:
+            for name, s, own in zip(frame["key"], frame["text"], frame["ids"], strict=True):
+                segments, run = [], b""
+                for i in own:
+                    run += raw.get(int(i), b"")
+                    try:
+                        said = run.decode()
+                    except UnicodeDecodeError:
+                        continue
+                    if said and "\ufffd" not in said:
                         segments.append(said)
-                        run = []
+                        run = b""
+                decoded = subwords.text_of(b"".join(raw.get(int(i), b"") for i in own), vocabulary.kind)
+                segments = subwords.trimmed_segments(segments, vocabulary.kind)
                 if run or "".join(segments) != decoded:
-                    segments = [decoded] if e.ids else []
+                    segments = [decoded] if len(own) else []
                 exact = "".join(segments) == s and decoded == s
-                rows.append((name, e.ids, e.tokens, decoded, segments, "Exact" if exact else "Decoded only"))
+                rows.append((name, own, [show.get(int(i), "") for i in own], decoded, segments, "Exact" if exact else "Decoded only"))
             yield pd.DataFrame(rows, columns=[key, "ids", "pieces", "decoded", "segments", "mapping"])
 
-    return df.select(key, text).mapInPandas(of, f"{key} {kind}, ids array<long>, pieces array<string>, decoded string, segments array<string>, mapping string")
+    return ids.select(F.col("own")[key].alias("key"), "own.text", "ids").mapInPandas(of, f"{key} {kind}, ids array<long>, pieces array<string>, decoded string, segments array<string>, mapping string")
 
 
 def attributed(df: DataFrame, key: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import stats, text
-from tessera.operators import attention, consistency, conversations, entries, markup, names, tensors, vocabularies
+from tessera.operators import attention, consistency, conversations, entries, markup, names, subwords, tensors, vocabularies
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -196,7 +196,7 @@ def detected_kinds(spark, d):
     pages = table(spark, d, "pages").select(F.lit("pages").alias("source"), F.col("html").alias("text"))
     props = table(spark, d, "events").select(F.lit("props").alias("source"), F.col("props").alias("text"))
     own = docs.union(pages).union(props)
-    html = markup.looks_html(F.col("text"), F.lit(True))
+    html = markup.looks_html(F.col("text"))
     return own.groupBy("source", text.detected(F.col("text"), None, html).alias("kind")).agg(F.count("*").alias("n"))
 
 
@@ -366,11 +366,13 @@ def tokenization_comparison(spark, d):
     return own.select("item_id", *(c.alias(n) for n, c in vocabularies.comparison(F.col("a"), F.col("b")).items()))
 
 
-@query()
+@query("SELECT item_id, text AS decoded, text AS joined, 'Exact' AS mapping FROM benchmark")
 def benchmark_encoded(spark, d):
+    """Items encoded by byte-pair merges, decoded again, and cut into segments of whole characters: nothing is lost. Tests hold the ids to a reference tokenizer."""
     import public_tokenizers
 
-    return vocabularies.encoded(table(spark, d, "benchmark"), "item_id", "text", public_tokenizers.path("byte_bpe_50k.json"))
+    vocabulary = subwords.from_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return vocabularies.encoded(table(spark, d, "benchmark"), "item_id", "text", vocabulary).select("item_id", "decoded", F.array_join("segments", "").alias("joined"), "mapping")
 
 
 PATHS = "WITH p AS (SELECT r_name || '.' || n_name || '.' || c_mktsegment || '.' || c_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), q AS (SELECT name, string_split(name, '.') AS s FROM p), x AS (SELECT name, s, unnest(range(1, len(s) + 1)) AS depth FROM q), z AS (SELECT name, depth, array_to_string(s[1:depth], '.') AS path FROM x) "

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import strict_json
-from tessera.functions.text import is_json
+from tessera.functions.text import SURROGATE, is_json, n_json_texts, surely_json
 
 UNSUPPORTED = ["jsonc", "json5", "gz", "zst"]
 #: Lines and bytes that unknown files are judged by.
@@ -73,10 +73,12 @@ def routes(files: DataFrame) -> DataFrame:
     whole = F.coalesce(is_json(text), F.lit(False))
     array = F.rlike(text, F.lit(r"^\x{FEFF}?\s*\["))
     lines = F.slice(F.filter(F.split(text, r"\r?\n"), lambda x: F.trim(x) != ""), 1, SAMPLE_LINES)
-    good = F.size(F.filter(lines, lambda x: is_json(x)))
-    looks_lines = (F.size(lines) >= 2) & (good * 10 >= F.size(lines) * 9)
+    sure = F.forall(lines, lambda x: surely_json(x) & ~F.rlike(x, F.lit(SURROGATE)))
     document = F.when(array, "Collection").otherwise("Document")
     open_ = ~(ext.isin(*UNSUPPORTED, "jsonl", "ndjson", "json") | wide | framed | whole)
+    # Lines of which Spark's parser is not sure go to the strict reader.
+    good = F.when(sure, F.size(lines)).otherwise(n_json_texts(F.when(open_ & ~sure, lines)))
+    looks_lines = (F.size(lines) >= 2) & (good * 10 >= F.size(lines) * 9)
     joined = F.coalesce(concatenated(F.when(open_, lines)), F.lit(False))
     route = F.when(ext.isin(UNSUPPORTED) | wide | framed, "Unsupported").when(ext.isin("jsonl", "ndjson"), "Entry").when(ext == "json", document).when(whole, document).when(joined, "Unsupported").when(looks_lines, "Entry").otherwise("Choice")
     return files.select("path", route.alias("route"))

@@ -411,7 +411,7 @@ DETECTED = [
 def detected_strings(spark):
     df = rows(spark, [(k, s) for k, (s, _) in enumerate(DETECTED)], "id int, s string")
     even = df.join(markup.balanced(df, "id", "s"), "id")
-    return even.select("s", text.detected(F.col("s"), None, markup.looks_html(F.col("s"), F.col("balanced"))).alias("kind"))
+    return even.select("s", text.detected(F.col("s"), None, markup.looks_html(F.col("s"))).alias("kind"))
 
 
 @case("key string, kind string", [("Code", "code"), ("SOURCE", "code"), ("script", "code"), ("codes", "plain"), (None, "plain")])
@@ -665,7 +665,7 @@ def token_id_lists(spark):
     return got.select("text", F.array_join(F.col("t.ids").cast("array<string>"), ",").alias("ids"), "t.error", "t.item")
 
 
-@case("pos int, flag string", [(0, "eos_token"), (1, "pad_token"), (2, None), (3, "added"), (4, None)])
+@case("pos int, flag string", [(0, "eos_token"), (1, "pad_token"), (2, None), (3, "<x>"), (4, None)])
 def special_flags(spark):
     """A named token by its id, one without an id by its piece, one marked special, and plain ones, an added one that isn't special among them."""
     fields = rows(spark, [("t", "eos_token", "</s>"), ("t", "pad_token", "<pad>")], "tokenizer string, name string, piece string")
@@ -792,9 +792,9 @@ def file_order(spark):
     return own.select("path", (F.row_number().over(Window.orderBy("category_rank", "name_rank", "natural")) - 1).alias("place"))
 
 
-@case("url string, model string", [("https://host.co/a/b", "a/b"), ("a/b", "a/b"), ("https://host.co/a/b/tree/main", "a/b"), ("https://host.co/models/a/b?x=1", "a/b"), ("just", None)])
+@case("url string, model string", [("https://host.co/a/b", None), ("a/b", "a/b"), ("https://huggingface.co/a/b/tree/main", "a/b"), ("HTTP://www.huggingface.co/datasets/a/b?x=1", "datasets/a"), ("just", None), (" .a/b", None), ("https://huggingface.co/a", None)])
 def model_ids(spark):
-    data = ["https://host.co/a/b", "a/b", "https://host.co/a/b/tree/main", "https://host.co/models/a/b?x=1", "just"]
+    data = ["https://host.co/a/b", "a/b", "https://huggingface.co/a/b/tree/main", "HTTP://www.huggingface.co/datasets/a/b?x=1", "just", " .a/b", "https://huggingface.co/a"]
     return rows(spark, [(u,) for u in data], "url string").select("url", names.model_id(F.col("url")).alias("model"))
 
 

@@ -6,7 +6,9 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans import cases, catalog
+import cases
+
+from tessera.plans import catalog, derived  # noqa: F401
 
 QUERIES, ORACLES = catalog.QUERIES | cases.QUERIES, catalog.ORACLES | cases.ORACLES
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import stats, strict_json, text
-from tessera.operators import attention, consistency, conversations, entries, markup, names, tensors, vocabularies
+from tessera.operators import attention, consistency, conversations, entries, markup, names, subwords, tensors, vocabularies
 from tessera.sources import jsonl, model_files
 from tessera.streaming import events
 
@@ -125,7 +125,7 @@ CASES = [("# Heading\ntext", "markdown"), ("> quoted", "markdown"), ("- a\n- b",
 
 def test_detection_order(spark):
     df = spark.createDataFrame(CASES, "s string, want string")
-    got = df.select("s", "want", text.detected(F.col("s"), None, markup.looks_html(F.col("s"), F.lit(True))).alias("kind")).collect()
+    got = df.select("s", "want", text.detected(F.col("s"), None, markup.looks_html(F.col("s"))).alias("kind")).collect()
     assert [(r.s, r.kind) for r in got if r.kind != r.want] == []
     assert df.select(text.detected(F.lit("let x = 1"), F.lit("Code"))).first()[0] == "code"
 
@@ -174,16 +174,19 @@ def test_token_ids(spark):
 def test_token_roles(spark):
     rendered = "<u>hi</u><a>hi yo</a>"
     segments = ["<u>", "hi", "</u>", "<a>", "hi", " yo", "</a>"]
-    assert vocabularies.token_roles(rendered, [("user", "hi"), ("assistant", "hi yo")], segments) == ["template", "user", "template", "template", "assistant", "assistant", "template"]
-    df = spark.createDataFrame([(1, rendered, [("user", "hi")], segments)], "id int, text string, bodies array<struct<role:string,body:string>>, segments array<string>")
-    assert [r.role for r in vocabularies.attributed(df, "id").orderBy("position").collect()][:2] == ["template", "user"]
+    df = spark.createDataFrame([(1, rendered, [("user", "hi"), ("assistant", "hi yo")], segments)], "id int, text string, bodies array<struct<role:string,body:string>>, segments array<string>")
+    assert [r.role for r in vocabularies.attributed(df, "id").orderBy("position").collect()] == ["template", "user", "template", "template", "assistant", "assistant", "template"]
 
 
 def test_special_tokens(spark):
     fields = spark.createDataFrame([("t", "eos_token", "</s>"), ("t", "pad_token", "<pad>")], "tokenizer string, name string, piece string")
     added = spark.createDataFrame([("t", 2, "</s>", True), ("t", 9, "<x>", True), ("t", 5, "word", False)], "tokenizer string, token_id int, content string, special boolean")
     special = vocabularies.special_tokens(fields, added)
-    assert {(r.piece, r.token_id, r.name) for r in special.collect()} == {("</s>", 2, "eos_token"), ("<x>", 9, "added"), ("<pad>", None, "pad_token")}
+    assert {(r.piece, r.token_id, r.name) for r in special.collect()} == {("</s>", 2, "eos_token"), ("<x>", 9, "<x>"), ("</s>", None, "eos_token"), ("<x>", None, "<x>"), ("<pad>", None, "pad_token")}
+    vocabulary = spark.createDataFrame([("t", "<pad>", 7), ("t", "a", 3)], "tokenizer string, piece string, token_id int")
+    assert ("<pad>", 7, "pad_token") in {(r.piece, r.token_id, r.name) for r in vocabularies.special_tokens(fields, added, vocabulary).collect()}
+    cold = spark.createDataFrame([("t", 0, 77, None, "<pad>"), ("t", 1, 78, "b", "<pad>")], "tokenizer string, pos int, token_id int, piece string, cold string")
+    assert [r.flag for r in vocabularies.flagged(cold, special).orderBy("pos").collect()] == ["pad_token", None]
     tokens = spark.createDataFrame([("t", 0, 2, "</s>"), ("t", 1, 7, "<pad>"), ("t", 2, 3, "a")], "tokenizer string, pos int, token_id int, piece string")
     assert [r.flag for r in vocabularies.flagged(tokens, special).orderBy("pos").collect()] == ["eos_token", "pad_token", None]
 
@@ -192,7 +195,7 @@ def test_encoded_round_trip(spark):
     import public_tokenizers
 
     df = spark.createDataFrame([(1, "Hello 😀 élan"), (2, "")], "id int, s string")
-    a, b = vocabularies.encoded(df, "id", "s", public_tokenizers.path("byte_bpe_50k.json")).orderBy("id").collect()
+    a, b = vocabularies.encoded(df, "id", "s", subwords.from_json(public_tokenizers.path("byte_bpe_50k.json"))).orderBy("id").collect()
     assert "".join(a.segments) == a.decoded == "Hello 😀 élan" and a.mapping == "Exact" and len(a.ids) == len(a.pieces)
     assert b.ids == [] and b.mapping == "Exact"
 
@@ -213,7 +216,7 @@ def test_files(spark):
     files = spark.createDataFrame([("r", "b/tokenizer.json"), ("r", "a/tokenizer.json"), ("s", "tokenizer.json"), ("s", "a/tokenizer.json")], "repo string, path string")
     assert {(r.repo, r.path) for r in names.picked(files, "repo", "path", ["tokenizer.json"], F.lit("b")).collect()} == {("r", "b/tokenizer.json"), ("s", "tokenizer.json")}
     ids = [("https://hub.co/o/n/tree/main", "o/n"), ("o/n", "o/n"), ("nothing", None)]
-    assert [r[0] for r in spark.createDataFrame(ids, "u string, w string").select(names.model_id(F.col("u"))).collect()] == [w for _, w in ids]
+    assert [r[0] for r in spark.createDataFrame(ids, "u string, w string").select(names.model_id(F.col("u"), ("hub.co",))).collect()] == [w for _, w in ids]
     sizes = spark.createDataFrame([(5,), (1500,), (2_500_000,)], "n long")
     assert [r[0] for r in sizes.select(names.format_bytes(F.col("n"))).collect()] == ["5 bytes", "2 KB", "2.5 MB"]
 
