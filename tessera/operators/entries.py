@@ -320,18 +320,19 @@ def nested_scopes(df: DataFrame, key: str, text: str, depth: int = 5, most: int
     return df.select(key, text).mapInPandas(of, f"{key} {kind}, depth int, path string, text string")
 
 
-def path_labels(nodes: DataFrame, key: str, most_chars: int = 256, most_bytes: int = 2048) -> DataFrame:
-    """key, node_id, labels, truncated: each node's path as a list, keys cut at 256 characters and the whole at 2048 bytes.
+def path_labels(df: DataFrame, key: str, text: str, most_chars: int = 256, most_bytes: int = 2048) -> DataFrame:
+    """key, node_id, labels, truncated: the path of each value of each valid text as a list, keys cut at 256 characters and the whole at 2048 bytes.
 
     A key that is the first of its name, isn't empty and doesn't begin with a bracket stands as it is, another one as
-    ["key"], with #n for the n-th of equal keys.
+    ["key"], with #n for the n-th of equal keys. Labels are made while a text is read; no path is held but for the values around the one at hand.
     """
-    kind = dict(nodes.select(key).dtypes)[key]
+    kind = dict(df.select(key).dtypes)[key]
 
-    def label(name: str | None, index, occurrence) -> tuple[str, bool]:
+    def label(n: dict) -> tuple[str, bool]:
+        name = n["key"]
         if name is None:
-            return ("$" if index is None or pd.isna(index) else f"[{int(index)}]"), False
-        cut, again = name[:most_chars], int(occurrence)
+            return ("$" if n["index"] is None else f"[{n['index']}]"), False
+        cut, again = name[:most_chars], n["occurrence"]
         plain = again == 1 and name and not name.startswith("[")
         return (cut if plain else f"[{json.dumps(cut, ensure_ascii=False)}]") + (f"#{again}" if again > 1 else ""), len(name) > most_chars
 
@@ -349,17 +350,26 @@ def path_labels(nodes: DataFrame, key: str, most_chars: int = 256, most_bytes: i
                 return out, True
         return out, cut
 
-    def of(own: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("node_id")
-        path: dict[int, list[tuple[str, bool]]] = {}
-        rows = []
-        for node, parent, name, index, occurrence in zip(*(frame[c] for c in ("node_id", "parent", "key", "index", "occurrence")), strict=True):
-            path[node] = ([] if pd.isna(parent) else path[int(parent)]) + [label(name, index, occurrence)]
-            rows.append((own[0], node, *shortened(path[node])))
-        return pd.DataFrame(rows, columns=[key, "node_id", "labels", "truncated"])
-
-    own = nodes.select(key, "node_id", "parent", F.col("key").alias("key") if key != "key" else F.col("key"), "index", "occurrence")
-    return own.groupBy(key).applyInPandas(of, f"{key} {kind}, node_id int, labels array<string>, truncated boolean")
+    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for own, s in zip(frame[key], frame[text], strict=True):
+                try:
+                    found = strict_json.nodes(s) if s is not None else []
+                except strict_json.Bad:
+                    continue
+                around: list[tuple[int, tuple[str, bool]]] = []  # the values around the one at hand, with their labels
+                for n in found:
+                    while around and around[-1][0] != n["parent"]:
+                        around.pop()
+                    around.append((n["id"], label(n)))
+                    rows.append((own, n["id"], *shortened([part for _, part in around])))
+                    if len(rows) >= 50_000:
+                        yield pd.DataFrame(rows, columns=[key, "node_id", "labels", "truncated"])
+                        rows = []
+            yield pd.DataFrame(rows, columns=[key, "node_id", "labels", "truncated"])
+
+    return df.select(key, text).mapInPandas(of, f"{key} {kind}, node_id int, labels array<string>, truncated boolean")
 
 
 def filtered_entries(df: DataFrame, raw: str, query: str, mode: str = "decoded") -> DataFrame:

@@ -40,7 +40,12 @@ def run_to_end(result: DataFrame, name: str, mode: str = "complete") -> DataFram
 
 
 def table_stream(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    """A table's files as a stream; a table of one file is looked for in its folder."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if own.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(own).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", own.getName()).parquet(own.getParent().toString())
 
 
 class Verdicts:

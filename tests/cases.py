@@ -161,7 +161,7 @@ def node_details(spark):
 @case("node_id int, labels string, truncated boolean", [(0, "$", False), (1, "$|a", False), (2, "$|a|[0]", False), (3, '$|["a"]#2', False), (4, '$|["[x"]', False), (5, '$|[""]', False), (6, "$|" + "k" * 256, True)])
 def node_path_labels(spark):
     df = rows(spark, [(1, '{"a":[1],"a":2,"[x":3,"":4,"' + "k" * 300 + '":5}')], "id int, s string")
-    got = entries.path_labels(entries.json_nodes(df, "id", "s"), "id")
+    got = entries.path_labels(df, "id", "s")
     return got.select("node_id", F.array_join("labels", "|").alias("labels"), "truncated")
 
 
