@@ -57,6 +57,13 @@ def dtype_summary(df: DataFrame, dtype: str) -> DataFrame:
     return own.agg(F.array_join(parts, " · ").alias("summary"), F.sum("n").alias("tensors"), F.count("*").alias("dtypes"))
 
 
+def file_totals(tensors: DataFrame) -> DataFrame:
+    """path, tensors, parameters, bytes, summary of each file's tensors (path, dtype, parameters, bytes): ``A × n · B × m`` by data type, by name."""
+    own = tensors.where("dtype IS NOT NULL").groupBy("path", "dtype").agg(F.count("*").alias("n"), F.sum("parameters").alias("parameters"), F.sum("bytes").alias("bytes"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("dtype", "n"))), lambda x: F.concat(x["dtype"], F.lit(" × "), x["n"].cast("string")))
+    return own.groupBy("path").agg(F.sum("n").alias("tensors"), F.sum("parameters").cast("long").alias("parameters"), F.sum("bytes").cast("long").alias("bytes"), F.array_join(parts, " · ").alias("summary"))
+
+
 def dominant_dtype(df: DataFrame, by: str, dtype: str) -> DataFrame:
     """The commonest type by group; ties go to the first by name."""
     return df.groupBy(by, dtype).agg(F.count("*").alias("n")).groupBy(by).agg(F.min(F.struct((-F.col("n")).alias("minus"), F.col(dtype).alias("dtype"))).alias("best")).select(by, "best.dtype", (-F.col("best.minus")).alias("n"))

@@ -10,6 +10,7 @@ import io
 import json
 import re
 import struct
+import uuid
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -28,6 +29,8 @@ KEY = re.compile(r"[a-z0-9_]+(?:\.[a-z0-9_]+)*")
 MATRIX_BYTES, MATRIX_ENTRIES, MATRIX_NAME, MATRIX_VALUES = 32 << 20, 100_000, 1024, 10_000_000
 #: Bytes that Spark holds of a file's content at most; bytes of a file that are read at once.
 CONTENT_MOST, BLOCK = (1 << 31) - 1, 1 << 16
+#: Files of a folder's manifest, and bytes of a range, at most.
+MANIFEST_MOST, RANGE_MOST = 100_000, 32 << 20
 #: What a reader meets in a file that is damaged or can't be opened.
 UNREADABLE = (ValueError, KeyError, TypeError, AttributeError, struct.error, OSError, NotImplementedError)
 TENSORS = "path string, name string, dtype string, shape array<long>, parameters decimal(38,0), bytes decimal(20,0), offset decimal(20,0), error string"
@@ -58,17 +61,86 @@ def files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return found.where(small).select("path", "length", "content").union(listed.where(~small))
 
 
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of a path as Spark gives it, and the path there."""
+    scheme, rest = path.split(":", 1)
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}:{quote(rest, safe='/:@')}")
+
+
 def opened(path: str, content: bytes | None):
     """A stream over a file's bytes, read in blocks as they are asked for."""
     if content is not None:
         return io.BytesIO(content)
-    scheme, rest = path.split(":", 1)
-    if scheme == "file":
-        return fs.LocalFileSystem().open_input_stream("/" + rest.lstrip("/"), buffer_size=BLOCK)
-    store, at = fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}:{quote(rest, safe='/:@')}")
+    store, at = store_of(path)
     return store.open_input_stream(at, buffer_size=BLOCK)
 
 
+def manifest(spark: SparkSession, folder: str, most: int = MANIFEST_MOST) -> DataFrame:
+    """path (below the folder), file, size, modified of the files of a folder, at most ``most``; no content is read.
+
+    Of more files there is an error. Spark lists no empty files.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    top = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/") + "/"
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.col("path").alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    if listed.limit(most + 1).count() > most:
+        raise ValueError(f"a folder has at most {most} files")
+    return listed.select(F.element_at(F.split("file", re.escape(top), 2), -1).alias("path"), "file", "size", "modified")
+
+
+def ranges(wanted: DataFrame, most: int = RANGE_MOST) -> DataFrame:
+    """path, start, content, error of ranges of files (path, file, size, start, stop): just those bytes are read.
+
+    Errors: changed (the file isn't of that size now), tooLarge (over ``most`` bytes), outside (of the file), unreadable. The whole file is its range from 0 to size.
+    """
+
+    def one(file: str, size: int, start: int, stop: int) -> tuple[bytes | None, str | None]:
+        if not 0 <= start <= stop <= size:
+            return None, "outside"
+        if stop - start > most:
+            return None, "tooLarge"
+        store, at = store_of(file)
+        if store.get_file_info(at).size != size:
+            return None, "changed"
+        with store.open_input_file(at) as source:
+            own = source.read_at(stop - start, start)
+        return (own, None) if len(own) == stop - start else (None, "changed")
+
+    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for path, file, size, start, stop in frame.itertuples(index=False):
+                try:
+                    rows.append((path, start, *one(file, size, start, stop)))
+                except UNREADABLE:
+                    rows.append((path, start, None, "unreadable"))
+            yield pd.DataFrame(rows, columns=["path", "start", "content", "error"])
+
+    return wanted.select("path", "file", "size", "start", "stop").mapInPandas(of, "path string, start long, content binary, error string")
+
+
+def write_files(rows: DataFrame, folder: str) -> int:
+    """Writes each row's content (path, content) to that path below a folder that tasks share, and gives their number. A file is there as a whole or not at all."""
+    spark = rows.sparkSession
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    top = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/")
+
+    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"], strict=True):
+                store, at = store_of(f"{top}/{path}")
+                store.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                own = f"{at}.{uuid.uuid4().hex}"
+                with store.open_output_stream(own) as out:
+                    out.write(content)
+                store.move(own, at)
+            yield pd.DataFrame({"n": [len(frame)]})
+
+    return rows.select("path", "content").mapInPandas(of, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def read_by(of, path: str, length: int, content: bytes | None):
     """What ``of`` makes of a file, given as a Reader."""
     with opened(path, content) as stream:

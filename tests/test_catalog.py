@@ -8,7 +8,7 @@ import pytest
 
 import cases
 
-from tessera.plans import catalog, derived  # noqa: F401
+from tessera.plans import catalog, derived, repositories  # noqa: F401
 
 QUERIES, ORACLES = catalog.QUERIES | cases.QUERIES, catalog.ORACLES | cases.ORACLES
 
