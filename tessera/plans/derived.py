@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import conversations, entries, inspection, markup, structure, templates, vocabularies
+from tessera.operators import conversations, entries, inspection, markup, searches, structure, templates, vocabularies
 from tessera.plans.catalog import broken, event_json, query, table
 from tessera.sources import json_arrays, jsonl, jsonl_index, scratch, sinks
 from tessera.streaming import events
@@ -469,3 +469,28 @@ def json_folds(spark, d):
 def jinja_spans(spark, d):
     s = F.concat("n_name", F.lit("{% if "), "n_name", F.lit(" %}"))
     return table(spark, d, "nation").select("n_nationkey", F.explode(templates.jinja_spans(s)).alias("r")).select("n_nationkey", "r.*")
+
+
+# ---- searches
+
+
+@query("SELECT event_id, CASE WHEN contains(concat('k', props->>'k'), '7') THEN 'matched' ELSE 'unmatched' END AS outcome FROM events ORDER BY event_id LIMIT 600")
+def search_steps(spark, d):
+    """Three steps of a search over entries, each from where the one before ended."""
+    own, after, out = table(spark, d, "events").select("event_id", F.col("props").cast("binary").alias("raw")), None, None
+    for _ in range(3):
+        now = searches.step(own, "event_id", "raw", "7", after).select("event_id", "outcome")
+        after = now.agg(F.max("event_id")).first()[0]
+        out = now if out is None else out.union(now)
+    return out
+
+
+@query("""WITH p AS (SELECT page_id, string_split(html, '<') AS s FROM pages), t AS (SELECT page_id, k, s[k] AS x, list_sum(list_transform(s[1:k - 1], lambda y: length(y) + 1))::bigint AS base FROM p, LATERAL (SELECT unnest(range(2, len(s) + 1)) AS k)),
+n AS (SELECT page_id, base + instr(x, '>') AS base, substr(x, instr(x, '>') + 1) AS txt FROM t WHERE NOT starts_with(x, 'script') AND NOT starts_with(x, 'style') AND NOT starts_with(x, '!--')),
+q AS (SELECT page_id, base, string_split(txt, 'eau') AS s FROM n WHERE contains(txt, 'eau')),
+o AS (SELECT page_id, base + list_sum(list_transform(s[1:k], lambda y: length(y)))::bigint + (k - 1) * 3 AS source_start FROM q, LATERAL (SELECT unnest(range(1, len(s))) AS k))
+SELECT page_id, source_start::int AS source_start, (source_start + 3)::int AS source_end FROM o""")
+def rendered_matches(spark, d):
+    """Where in the source of pages what a reader sees matches."""
+    got = table(spark, d, "pages").select("page_id", F.explode(markup.rendered_matches(F.col("html"), "eau")).alias("m"))
+    return got.select("page_id", "m.source_start", "m.source_end")
