@@ -203,7 +203,7 @@ def joined(found: DataFrame) -> DataFrame:
 def array_items(spark: SparkSession, path: str) -> DataFrame:
     """file, ordinal (from 0), raw (binary, without blanks around) of the items of files whose root is an array; other files have no rows."""
     own = joined(pieces(spark, path))
-    return own.join(F.broadcast(files(spark, path).select("f", "file")), "f").select("file", "ordinal", "raw")
+    return own.join(files(spark, path).select("f", "file"), "f").select("file", "ordinal", "raw")
 
 
 def array_documents(spark: SparkSession, path: str) -> DataFrame:

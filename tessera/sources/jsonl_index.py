@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.sources.json_arrays import files
+from tessera.sources.json_arrays import BROADCAST_SPLITS
 from tessera.sources.scratch import written
 
 #: Checkpoints of all files at most; strides are powers of two. Bytes that are read at once.
@@ -68,12 +68,16 @@ def build(spark: SparkSession, path: str, most: int = CHECKPOINTS) -> Index:
                 line, entry, byte = line + b - a, entry + int(full[a:b].sum()), byte + int((size[a:b] + 1).sum())
 
     small = starts.drop("full")
-    # A row a split: read by each task, so that rows keep their order.
-    both = text.join(F.broadcast(small), ["f", "block"]).select("f", "block", "size", "full", "lines_before", "full_before", "bytes_before")
+    # A row a split: if they are few, each task has them, and rows keep their order.
+    if small.count() <= BROADCAST_SPLITS:
+        both = text.join(F.broadcast(small), ["f", "block"])
+    else:
+        both = text.withColumn("at", F.monotonically_increasing_id()).join(small, ["f", "block"]).repartition("f", "block").sortWithinPartitions("f", "block", "at")
+    both = both.select("f", "block", "size", "full", "lines_before", "full_before", "bytes_before")
     found = both.mapInArrow(of, "f long, ordinal long, source_line long, byte long")
     meta = F.col("_metadata")
     listed = written(spark.read.format("binaryFile").load(path).select(F.xxhash64(meta["file_path"]).alias("f"), meta["file_path"].alias("file"), "length", F.unix_millis("modificationTime").alias("modified")))
-    named = found.join(F.broadcast(listed.select("f", "file")), "f").select("file", "ordinal", "source_line", "byte")
+    named = found.join(listed.select("f", "file"), "f").select("file", "ordinal", "source_line", "byte")
     return Index(written(named), listed, stride, entries)
 
 
@@ -124,7 +128,7 @@ def entries_at(index: Index, wanted: DataFrame) -> DataFrame:
     ``error`` says that a file has changed. Paths must be ones that Arrow opens by themselves (a local or shared folder, HDFS, an object store).
     """
     listed = index.files.select("file", "length", "modified")
-    rows = located(index, wanted).join(F.broadcast(listed), "file").select("file", "ordinal", "byte", "line", "skip", "length", "modified")
+    rows = located(index, wanted).join(listed, "file").select("file", "ordinal", "byte", "line", "skip", "length", "modified")
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -112,3 +112,22 @@ def test_token_roles(spark):
     got = sorted((r["k"], r["position"], r["segment"], r["role"] or "") for r in vocabularies.attributed(df, "k").collect())
     want = [(k, i, s, r if mapping == "Exact" else "") for k, t, b, segs, mapping in rows for i, (s, r) in enumerate(zip(segs, roles(t, b, segs)))]
     assert got == sorted(want)
+
+
+def test_index_of_many_splits(spark, tmp_path, monkeypatch):
+    """Where splits are too many to give each task all of them, lines are dealt to their splits' tasks, in order."""
+    monkeypatch.setattr(jsonl_index, "BROADCAST_SPLITS", 0)
+    (tmp_path / "x.jsonl").write_bytes(b"".join(b'{"i":%d}\n' % k for k in range(5000)))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    try:
+        index = jsonl_index.build(spark, str(tmp_path), 50)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    rows = {r["ordinal"]: (r["source_line"], r["byte"]) for r in index.checkpoints.collect()}
+    at = [0]
+    for k in range(5000):
+        at.append(at[-1] + len(b'{"i":%d}\n' % k))
+    assert rows == {k: (k + 1, at[k]) for k in range(0, 5000, 128)}
