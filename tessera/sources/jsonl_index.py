@@ -1,7 +1,7 @@
 """A sparse index of JSONL files: where every stride-th entry begins, so that one entry is read without its file.
 
 Two scans in splits build it: the first counts each split's lines, entries and bytes, the second places the checkpoints. An entry is
-found from the last checkpoint at or before it, and at most a stride of the file is read.
+found from the last checkpoint at or before it, and at most a stride of the file is read; entries of one stride are read together.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from tessera.sources.json_arrays import BROADCAST_SPLITS
 from tessera.sources.scratch import written
 
-#: Checkpoints of all files at most; strides are powers of two. Bytes that are read at once.
-CHECKPOINTS, CHUNK = 4_000_000, 256 << 10
+#: Checkpoints of all files at most; strides are powers of two. Bytes that are read at once, and bytes of entries that a task holds before it gives them away.
+CHECKPOINTS, CHUNK, HELD = 4_000_000, 256 << 10, 8 << 20
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -36,7 +36,7 @@ def stride_of(entries: int, most: int) -> int:
 
 
 class Index:
-    """``checkpoints``: file, ordinal, source_line, byte; of the files also ``length`` and ``modified``, as they were."""
+    """``checkpoints``: file, ordinal, source_line, byte; of the files also ``length`` and ``modified``, as they were, ``n`` (entries) and ``lines``."""
 
     def __init__(self, checkpoints: DataFrame, listed: DataFrame, stride: int, entries: int):
         self.checkpoints, self.files, self.stride, self.entries = checkpoints, listed, stride, entries
@@ -47,7 +47,7 @@ def build(spark: SparkSession, path: str, most: int = CHECKPOINTS) -> Index:
     text = lines(spark, path)
     counts = text.groupBy("f", "block").agg(F.count("*").alias("lines"), F.count_if("full").alias("full"), F.sum(F.col("size") + 1).alias("bytes"))
     before = Window.partitionBy("f").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = written(counts.select("f", "block", "full", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("lines", "full", "bytes"))))
+    starts = written(counts.select("f", "block", "lines", "full", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("lines", "full", "bytes"))))
     entries = starts.agg(F.coalesce(F.sum("full"), F.lit(0))).first()[0]
     stride = stride_of(entries, most)
 
@@ -67,7 +67,7 @@ def build(spark: SparkSession, path: str, most: int = CHECKPOINTS) -> Index:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), f[a])), pa.array(ordinal[hit]), pa.array(line + hit + 1), pa.array(begins[hit])], names=["f", "ordinal", "source_line", "byte"])
                 line, entry, byte = line + b - a, entry + int(full[a:b].sum()), byte + int((size[a:b] + 1).sum())
 
-    small = starts.drop("full")
+    small = starts.drop("lines", "full")
     # A row a split: if they are few, each task has them, and rows keep their order.
     if small.count() <= BROADCAST_SPLITS:
         both = text.join(F.broadcast(small), ["f", "block"])
@@ -76,7 +76,9 @@ def build(spark: SparkSession, path: str, most: int = CHECKPOINTS) -> Index:
     both = both.select("f", "block", "size", "full", "lines_before", "full_before", "bytes_before")
     found = both.mapInArrow(of, "f long, ordinal long, source_line long, byte long")
     meta = F.col("_metadata")
-    listed = written(spark.read.format("binaryFile").load(path).select(F.xxhash64(meta["file_path"]).alias("f"), meta["file_path"].alias("file"), "length", F.unix_millis("modificationTime").alias("modified")))
+    found_files = spark.read.format("binaryFile").load(path).select(F.xxhash64(meta["file_path"]).alias("f"), meta["file_path"].alias("file"), "length", F.unix_millis("modificationTime").alias("modified"))
+    sums = starts.groupBy("f").agg(F.sum("full").alias("n"), F.sum("lines").alias("lines"))
+    listed = written(found_files.join(sums, "f", "left").na.fill(0, ["n", "lines"]))
     named = found.join(listed.select("f", "file"), "f").select("file", "ordinal", "source_line", "byte")
     return Index(written(named), listed, stride, entries)
 
@@ -103,46 +105,60 @@ def opened(file: str, length: int, modified: int):
     return store.open_input_file(path)
 
 
-def entry_from(source, byte: int, skip: int, length: int) -> tuple[bytes | None, int, int]:
-    """(the entry after ``skip`` others from a byte on or None, lines passed, bytes read)."""
-    held, at, lines_, read = b"", byte, 0, 0
-    while True:
-        end = held.find(b"\n")
-        if end < 0 and at < length:
-            chunk = source.read_at(min(CHUNK, length - at), at)
-            held, at, read = held + chunk, at + len(chunk), read + len(chunk)
-            continue
-        if end < 0 and not held:
-            return None, lines_, read
-        line, held = (held[:end].removesuffix(b"\r"), held[end + 1 :]) if end >= 0 else (held, b"")
-        if line.strip(b" \t\r"):
-            if not skip:
-                return line, lines_, read
-            skip -= 1
-        lines_ += 1
+def entries_from(source, byte: int, length: int) -> Iterator[tuple[bytes, int, int]]:
+    """(entry, lines passed, bytes read so far) of each entry from a byte on, in order. Each byte is read once."""
+    held, at, passed, read = b"", byte, 0, 0
+    while at < length or held:
+        chunk = source.read_at(min(CHUNK, length - at), at) if at < length else b""
+        at, read = at + len(chunk), read + len(chunk)
+        *lines_, held = (held + chunk).split(b"\n")
+        for line in lines_:
+            line = line.removesuffix(b"\r")
+            if line.strip(b" \t\r"):
+                yield line, passed, read
+            passed += 1
+        if not chunk:  # the file's last line, without an end
+            if held.strip(b" \t\r"):
+                yield held, passed, read
+            return
 
 
 def entries_at(index: Index, wanted: DataFrame) -> DataFrame:
-    """file, ordinal, source_line, raw, bytes_read, error of the wanted entries (file, ordinal) that there are; a stride at most is read for each.
+    """file, ordinal, source_line, raw, bytes_read, error of the wanted entries (file, ordinal) that there are; a stride at most is read for each, and once for all that are wanted of it.
 
     ``error`` says that a file has changed. Paths must be ones that Arrow opens by themselves (a local or shared folder, HDFS, an object store).
     """
     listed = index.files.select("file", "length", "modified")
     rows = located(index, wanted).join(listed, "file").select("file", "ordinal", "byte", "line", "skip", "length", "modified")
+    rows = rows.repartition("file", "byte").sortWithinPartitions("file", "byte", "skip")
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["file", "ordinal", "source_line", "raw", "bytes_read", "error"]
+        now, source, rest, passed, last, error, out, held = None, None, iter(()), 0, None, None, [], 0
         for frame in frames:
-            out = []
             for file, ordinal, byte, line, skip, length, modified in frame.itertuples(index=False):
                 try:
-                    with opened(file, length, modified) as source:
-                        raw, passed, read = entry_from(source, byte, skip, length)
+                    if now != (file, byte):
+                        if source is not None:
+                            source.close()
+                        now, source, rest, passed, last, error = (file, byte), None, iter(()), 0, None, None
+                        source = opened(file, length, modified)
+                        rest = entries_from(source, byte, length)
+                    while error is None and passed <= skip:
+                        last, passed = next(rest, None), passed + 1
                 except OSError as e:
-                    out.append((file, ordinal, None, None, 0, str(e)))
-                    continue
-                if raw is not None:
-                    out.append((file, ordinal, line + passed, raw, read, None))
-            yield pd.DataFrame(out, columns=["file", "ordinal", "source_line", "raw", "bytes_read", "error"]).astype({"source_line": "Int64"})
+                    error = str(e)
+                if error is not None:
+                    out.append((file, ordinal, None, None, 0, error))
+                elif last is not None:
+                    out.append((file, ordinal, line + last[1], last[0], last[2], None))
+                    held += len(last[0])
+                if held > HELD:
+                    yield pd.DataFrame(out, columns=names).astype({"source_line": "Int64"})
+                    out, held = [], 0
+        if source is not None:
+            source.close()
+        yield pd.DataFrame(out, columns=names).astype({"source_line": "Int64"})
 
     return rows.mapInPandas(of, "file string, ordinal long, source_line long, raw binary, bytes_read long, error string")
 

@@ -1,0 +1,53 @@
+"""What larger inputs bring: many entries of one stride, equal rows, large files and texts."""
+
+import duckdb
+import pytest
+
+from tessera.plans import catalog, derived, repositories  # noqa: F401
+from tessera.sources import jsonl_index
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def same(spark, name, d):
+    """Whether a query's rows over the tables of a folder are those of its SQL; gives the rows."""
+    con = duckdb.connect()
+    con.execute("SET timezone = 'UTC'")
+    for f in d.iterdir():
+        con.execute(f"CREATE VIEW {f.name.removesuffix('.parquet')} AS SELECT * FROM '{f}'")
+    df = catalog.QUERIES[name](spark, str(d))
+    rows = sorted(tuple(map(str, r)) for r in df.collect())
+    got = con.execute(catalog.ORACLES[name])
+    names = [c[0] for c in got.description]
+    assert rows == sorted(tuple(str(r[names.index(c)]) for c in df.columns) for r in got.fetchall())
+    return rows
+
+
+@pytest.mark.parametrize("name", ["entry_lookups", "jsonl_entries"])
+def test_events_that_are_equal_but_for_their_id(spark, tmp_path, name):
+    duckdb.sql(f"COPY (SELECT e.* REPLACE (z * 2 AS event_id) FROM (SELECT * FROM '{SMALL}/events.parquet' LIMIT 1) e, (SELECT unnest(range(300)) AS z)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    assert len(same(spark, name, tmp_path)) == (4 if name == "entry_lookups" else 300)
+
+
+def test_a_stride_is_read_once_for_all_its_entries(spark, tmp_path):
+    data = b"".join(b'{"i":%06d}\n' % k for k in range(100_000)) + b" \n[1]\r"
+
+    class Source:
+        read = 0
+
+        def read_at(self, n, at):
+            self.read += n
+            return data[at : at + n]
+
+    source = Source()
+    found = list(jsonl_index.entries_from(source, 13, len(data)))
+    assert source.read == len(data) - 13 and len(found) == 100_000
+    assert found[0][:2] == (b'{"i":000001}', 0) and found[-1][:2] == (b"[1]\r", 100_000)
+    (tmp_path / "a.jsonl").write_bytes(data)
+    (tmp_path / "empty.jsonl").write_bytes(b"")
+    index = jsonl_index.build(spark, str(tmp_path), 64)
+    assert sorted((r["n"], r["lines"]) for r in index.files.collect()) in ([(100_001, 100_002)], [(0, 0), (100_001, 100_002)])
+    file = index.checkpoints.first()["file"]
+    wanted = spark.createDataFrame([(file, k) for k in [*range(4096, 6144), 5000, 100_000, 100_001]], "file string, ordinal long")
+    got = sorted((r["ordinal"], bytes(r["raw"]), r["source_line"]) for r in jsonl_index.entries_at(index, wanted).collect())
+    assert got == sorted([(k, b'{"i":%06d}' % k, k + 1) for k in [*range(4096, 6144), 5000]] + [(100_000, b"[1]\r", 100_002)])
