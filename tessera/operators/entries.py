@@ -80,14 +80,23 @@ def byte_places(s: str | None):
     return table.__getitem__
 
 
+#: Nodes that a task holds before it gives them away.
+NODES_HELD = 10_000
+
+
 def json_nodes(df: DataFrame, key: str, text: str) -> DataFrame:
     """A row for each value of each valid text, in order, with its path, span in bytes, lexeme and decoded string."""
     kind = dict(df.select(key).dtypes)[key]
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [key, *(c.split()[0] for c in NODE.split(", "))]
+        given = lambda rows: pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("parent", "index", "occurrence")})
+        rows: list[tuple] = []
         for frame in frames:
-            rows = []
             for own, s in zip(frame[key], frame[text], strict=True):
+                if len(rows) >= NODES_HELD:
+                    yield given(rows)
+                    rows = []
                 try:
                     found = strict_json.nodes(s) if s is not None else []
                 except strict_json.Bad:
@@ -98,8 +107,7 @@ def json_nodes(df: DataFrame, key: str, text: str) -> DataFrame:
                     path[n["id"]] = "$" if n["parent"] is None else path[n["parent"]] + strict_json.path_part(n)
                     leaf = n["kind"] not in ("Object", "Array")
                     rows.append((own, n["id"], n["parent"], n["kind"], n["key"], n["index"], n["occurrence"], at(n["start"]), at(n["end"]), path[n["id"]], s[n["start"] : n["end"]] if leaf else None, n["value"], n["n"]))
-            names = [key, *(c.split()[0] for c in NODE.split(", "))]
-            yield pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("parent", "index", "occurrence")})
+        yield given(rows)
 
     return df.select(key, text).mapInPandas(of, f"{key} {kind}, {NODE}")
 
