@@ -1,8 +1,12 @@
 """What larger inputs bring: many entries of one stride, equal rows, large files and texts."""
 
 import duckdb
+import pandas as pd
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.operators import entries, markup
 from tessera.plans import catalog, derived, repositories  # noqa: F401
 from tessera.sources import jsonl_index
 
@@ -63,3 +67,38 @@ def test_model_files_of_a_brand_in_many_ranges_of_keys(spark, tmp_path, name):
     duckdb.sql(f"COPY (SELECT * REPLACE (p_partkey * 7919 AS p_partkey) FROM '{SMALL}/part.parquet') TO '{tmp_path}/part.parquet' (FORMAT parquet)")
     assert repositories.parts_by_brand(spark, str(tmp_path)).count() > 100
     assert same(spark, name, tmp_path)
+
+
+def test_nodes_are_given_away_in_bounded_frames():
+    seen = []
+
+    class Given:
+        def mapInPandas(self, of, schema):
+            seen.extend(len(f) for f in of(iter([pd.DataFrame({"k": range(5000), "t": ['{"a":[1,2,3]}'] * 5000})])))
+
+        def select(self, *_):
+            return self
+
+        dtypes = [("k", "bigint")]
+
+    entries.json_nodes(Given(), "k", "t")
+    assert sum(seen) == 25_000 and max(seen) < entries.NODES_HELD + 5
+
+
+def test_texts_are_taken_by_slices():
+    live = [0]
+
+    def of(s):
+        live[0] += 1
+        return s
+
+    batches = [pa.array(["é" * 1000] * 3000 + [None]), pa.array([], pa.string())]
+    got = [b.to_pylist() for b in markup.by_slices(iter(batches), of, pa.string())]
+    assert got == [["é" * 1000] * 3000 + [None], []] and live[0] == 3001
+
+
+def test_parts_of_a_card_are_worked_out_once(spark):
+    cards = ["```\n<b>a</b>\n```\n<i>b</i>\n", "x<br>\n```\n<b>\n```\n<!-- c -->y\n```\n<u>", "", None, "---\na: 1\n---\n<p>z</p>"]
+    df = spark.createDataFrame([(k, s) for k, s in enumerate(cards)], "k int, s string").select("k", markup.card_body(F.col("s")).alias("b"))
+    assert [r["b"] for r in df.orderBy("k").collect()] == ["```\n<b>a</b>\n```\nb\n", "x\n\n```\n<b>\n```\ny\n```\n<u>", "", None, "z"]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
