@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, fresh, give_back, numbered, slices, tokenizer_file
+from tessera.llm.common import alone, documents, fresh, give_back, numbered, slices, tokenizer_file
 
 #: Documents that one packer places at a time. It searches its own remaining pieces for each place, so work a document is bounded.
 BUCKET_DOCS = 1536
@@ -78,6 +78,10 @@ def forget() -> None:
     give_back(*(t[2] for t in _TOKENIZERS.values()))
 
 
+def begin() -> None:
+    alone(_TOKENIZERS)
+
+
 def cut(total: int, most: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: full sequences from its start, then the rest."""
     return [(at, min(most, total - at)) for at in range(0, total, most)]
@@ -137,6 +141,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, most: int) -> DataFrame
     """The pieces of each row of ``docs``: doc_id, text, loss, bucket."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         end = np.array([end_id], "<u4").tobytes()
         for batch in slices(batches, 1, SLICE):
             split = pc.split_pattern(pc.replace_substring(pc.fill_null(batch.column(1), ""), "\n", " "), " ")

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, fresh, give_back, split_words, tokenizer_file, utf8, window_hashes
+from tessera.llm.common import alone, documents, fresh, give_back, split_words, tokenizer_file, utf8, window_hashes
 
 SYMBOLS, BLANKS = b"#*$%&|<>", b" \t\n\r\x0b\x0c"
 #: Bytes that aren't the first of a code point.
@@ -87,6 +87,10 @@ def forget() -> None:
     give_back(*(v[2] for v in _VOCABULARIES.values()))
 
 
+def begin() -> None:
+    alone(_VOCABULARIES)
+
+
 def byte_pieces(pieces: str, ranks: str) -> np.ndarray:
     """Which ids of the piece vocabulary stand for single bytes that no piece has."""
     looked_up([], pieces, ranks)
@@ -160,6 +164,7 @@ def measured(pieces: str, ranks: str, bands: dict[str, tuple]) -> Column:
     @F.pandas_udf(FIELDS)
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         names = [f.split()[0] for f in FIELDS.split(", ")]
+        begin()
         is_byte = byte_pieces(pieces, ranks)
         for series in texts:
             rows, some, held = [], [], 0

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.llm import common
 from tessera.operators import entries, markup
 from tessera.plans import catalog, derived, repositories  # noqa: F401
 from tessera.sources import jsonl_index
@@ -102,3 +103,10 @@ def test_parts_of_a_card_are_worked_out_once(spark):
     df = spark.createDataFrame([(k, s) for k, s in enumerate(cards)], "k int, s string").select("k", markup.card_body(F.col("s")).alias("b"))
     assert [r["b"] for r in df.orderBy("k").collect()] == ["```\n<b>a</b>\n```\nb\n", "x\n\n```\n<b>\n```\ny\n```\n<u>", "", None, "z"]
     assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_a_worker_keeps_the_vocabularies_of_one_operator():
+    first, second = {"a": 1}, {"b": 2}
+    common.alone(first)
+    common.alone(second)
+    assert not first and second == {"b": 2}
