@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import common
+from tessera.llm import common, packing
 from tessera.operators import entries, markup
 from tessera.plans import catalog, derived, repositories  # noqa: F401
 from tessera.sources import jsonl_index, model_files
@@ -131,6 +131,25 @@ def test_parts_of_a_card_are_worked_out_once(spark):
     assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
 
 
+def test_texts_reach_the_packing_workers_in_small_batches(spark, monkeypatch):
+    names = [c.split()[0] for c in packing.PIECES.split(", ")]
+
+    def sizes(docs, *_):
+        def of(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (b.num_rows, 0, 1, 0, b.column(1).nbytes, 0, 0)], names=names)
+
+        return docs.mapInArrow(of, packing.PIECES)
+
+    monkeypatch.setattr(packing, "pieces", sizes)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    got = packing.pack(spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a "), 5000).alias("text"))).collect()
+    assert sum(r["doc_id"] for r in got) == 3000
+    assert max(r["doc_tokens"] for r in got) < 5 << 20
+    assert spark.conf.get(key) == before
+
+
 def test_a_worker_keeps_the_vocabularies_of_one_operator():
     first, second = {"a": 1}, {"b": 2}
     common.alone(first)
