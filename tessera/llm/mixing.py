@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded, documents, fresh, numbered, written
+from tessera.llm.common import bounded, documents, fresh, numbered, small_table, written
 
 #: Weights of the sources in order, repeating; the whole mix as a multiple of all sizes; most passes over a source.
 WEIGHTS, SHARE, PASSES = (3, 1, 2), 1.5, 2
@@ -16,6 +17,7 @@ WEIGHTS, SHARE, PASSES = (3, 1, 2), 1.5, 2
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 0.5), (0.5, 0.9), (1.0, 1.7)), ((0.0, 1.0), (1.0, 1.0)))
 #: Rows of a source whose running sum is made in one task.
 BUCKET_ROWS = 8192
+SOURCES = pa.schema([("own_source", pa.string()), ("source_size", pa.int64()), ("target", pa.float64()), ("buckets", pa.int64()), *((c, pa.list_(pa.float64())) for c in ("times", "rates", "sums"))])
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -77,7 +79,7 @@ def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
     found = sorted(sized.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect(), key=lambda r: (r["source"] is None, r["source"] or ""))
     goal = targets([r["s"] for r in found], [weights[i % len(weights)] for i in range(len(found))], share, passes)
     table = [(r["source"], r["s"], t, max(1, -(-r["n"] // bucket_rows)), *integrated(schedules[i % len(schedules)])) for i, (r, t) in enumerate(zip(found, goal, strict=True))]
-    sources = spark.createDataFrame(table, "own_source string, source_size long, target double, buckets long, times array<double>, rates array<double>, sums array<double>")
+    sources = small_table(spark, table, SOURCES)
     if len(table) <= 10_000:
         sources = F.broadcast(sources)
     u = F.shiftrightunsigned("print", 11) / F.lit(2.0**53)

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import alone, documents, fresh, give_back, numbered, set_for_now, slices, tokenizer_file, written
+from tessera.llm.common import alone, documents, fresh, give_back, numbered, set_for_now, slices, small_table, tokenizer_file, written
 
 #: Documents that one packer places at a time. It searches its own remaining pieces for each place, so work a document is bounded.
 BUCKET_DOCS = 1536
@@ -131,7 +131,7 @@ def in_runs(docs: DataFrame, loss: Column, bucket_docs: int) -> DataFrame:
     # Part files are numbered with five digits or more; the table has a row a file.
     found = sorted(((r["file"], r["count"]) for r in rows.groupBy("file").count().collect()), key=lambda r: (len(r[0]), r[0]))
     ends = np.cumsum([0, *(n for _, n in found)]).tolist()
-    begins = docs.sparkSession.createDataFrame([(f, a) for (f, _), a in zip(found, ends, strict=False)], "own_file string, begin long")
+    begins = small_table(docs.sparkSession, [(f, a) for (f, _), a in zip(found, ends, strict=False)], pa.schema([("own_file", pa.string()), ("begin", pa.int64())]))
     buckets = max(1, -(-ends[-1] // bucket_docs))
     run = F.floor((F.col("begin") + F.col("index")) * F.lit(buckets) / F.lit(max(1, ends[-1])))
     return rows.join(F.broadcast(begins), F.col("file") == F.col("own_file")).select("doc_id", "text", "loss", run.alias("bucket"))

@@ -157,6 +157,24 @@ def test_a_worker_keeps_the_vocabularies_of_one_operator():
     assert not first and second == {"b": 2}
 
 
+def test_operators_without_a_vocabulary_forget_the_one_before():
+    first = {"a": 1}
+    common.alone(first)
+    list(common.chunks(iter([pa.RecordBatch.from_pydict({"text": ["a"]})])))
+    assert not first
+
+
+def test_tables_of_the_driver_start_no_python_workers(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    runs = packing.in_runs(docs, F.lit(None).cast("boolean"), 100)
+    assert "ExistingRDD" not in runs._jdf.queryExecution().executedPlan().toString()
+    schema = pa.schema([("a", pa.string()), ("b", pa.list_(pa.float64()))])
+    got = common.small_table(spark, [("x", [0.5]), (None, [])], schema)
+    assert "ExistingRDD" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in got.collect()] == [("x", [0.5]), (None, [])]
+    assert common.small_table(spark, [], schema).dtypes == got.dtypes and not common.small_table(spark, [], schema).collect()
+
+
 def test_queries_reach_every_branch_of_their_operator(spark):
     rows = lambda name: catalog.QUERIES[name](spark, SMALL)
     values = lambda name, column: {r[0] for r in rows(name).select(column).distinct().collect()}
