@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded, chunks, documents, fresh, looked_up, mixed, parts, utf8, window_hashes, word_hashes, written
+from tessera.llm.common import bounded, chunks, documents, fresh, looked_up, mixed, parts, small_batches, utf8, window_hashes, word_hashes, written
 from tessera.llm.components import components
 
 SHINGLE, BANDS, ROWS = 5, 32, 6
@@ -27,8 +27,8 @@ SHINGLE, BANDS, ROWS = 5, 32, 6
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 4_000_000
 #: Documents that one task compares to one document.
 STAR = 512
-#: Shingles whose ranks are drawn together.
-ELEMENTS = 100_000
+#: Shingles whose ranks are drawn together; bytes of text whose shingles a worker holds at once.
+ELEMENTS, CHUNK = 50_000, 4 << 20
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -77,7 +77,7 @@ def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, the SHA-256 of the sorted set, and its band keys."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for got, _ in chunks(batches, 8 << 20):
+        for got, _ in chunks(batches, CHUNK):
             sets = [shingles(t) for t in got["text"]]
             sizes = np.array([len(s) for s in sets])
             keys = np.zeros((len(sets), bands), np.int64)
@@ -143,7 +143,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """
 
     def set_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for got, _ in chunks(batches, 8 << 20):
+        for got, _ in chunks(batches, CHUNK):
             own = pa.array([shingles(t).tobytes() for t in got["text"]], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(got[k], pa.int64()) for k in ("doc_id", "b", "salt", "partner")] + [own], names=["doc_id", "b", "salt", "partner", "items"])
 
@@ -179,7 +179,7 @@ def verified(docs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """
 
     def set_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for got, _ in chunks(batches, 8 << 20):
+        for got, _ in chunks(batches, CHUNK):
             own = pa.array([shingles(t).tobytes() for t in got["text"]], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(got[k], pa.int64()) for k in ("doc_id", "cluster", "blocks")] + [own], names=["doc_id", "cluster", "blocks", "items"])
 
@@ -222,32 +222,33 @@ def near_groups(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: in
     graph. A row without doc_id is in no component (null) and stays. A pair shares no band, and so isn't seen,
     with a probability of about 3e-7 at a similarity of just 0.85 and 6e-5 at 0.80. An empty table gives no rows.
     """
-    signs = written(signed(docs, bands, rows))
-    sets = signs.where("n_shingles > 0 and doc_id is not null")
-    classes = written(sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).where("rep < top"))
-    copies = looked_up(sets.select("doc_id", "digest"), classes, ["digest"], "inner").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = copies = written(copies.distinct())
-    # One document of each class goes on to the bands.
-    own = sets.join(bounded(copies.select(F.col("a").alias("doc_id"))), "doc_id", "left_anti").select("doc_id", F.explode("bands").alias("key"))
-    low = own.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top")).where("low < top").select("key", "low")
-    bucket = written(looked_up(own, written(low), ["key"], "inner").where("doc_id <> low"))
-    stars = written(bucket.select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct())
-    first = written(stars.groupBy("a").agg(F.min("b").alias("b")))
-    found = components(links.union(confirmed(docs, first, percent)))
-    tie = lambda doc, of: found.select(F.col("a").alias(doc), F.col("b").alias(of))
-    rest = looked_up(looked_up(stars.join(first, ["a", "b"], "left_anti"), tie("a", "of_a"), ["a"]), tie("b", "of_b"), ["b"])
-    rest = written(rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"))
-    found = extended(found, confirmed(docs, rest, percent)) if not rest.isEmpty() else found
-    # Buckets whose documents, but for the smallest, aren't all tied; the smallest has been compared to each.
-    labelled = looked_up(bucket, tie("doc_id", "of"), ["doc_id"]).withColumn("of", F.coalesce("of", "doc_id"))
-    open_ = written(labelled.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("of").alias("x"), F.max("of").alias("y")).where("x < y").select("key", "least"))
-    if not open_.isEmpty():
-        loose = components(looked_up(bucket, open_, ["key"], "inner").where("doc_id <> least").select("doc_id", "least"))
-        member = loose.select(F.col("a").alias("doc_id"), F.col("b").alias("cluster")).union(loose.select("b", "b").distinct())
-        sized = member.join(sets.groupBy("doc_id").agg(F.max("n_shingles").alias("n")), "doc_id")
-        size = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
-        groups = written(looked_up(member, written(size), ["cluster"], "inner").select("doc_id", "cluster", "blocks"))
-        found = extended(found, verified(docs, groups, percent))
+    with small_batches(docs.sparkSession):
+        signs = written(signed(docs, bands, rows))
+        sets = signs.where("n_shingles > 0 and doc_id is not null")
+        classes = written(sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).where("rep < top"))
+        copies = looked_up(sets.select("doc_id", "digest"), classes, ["digest"], "inner").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        links = copies = written(copies.distinct())
+        # One document of each class goes on to the bands.
+        own = sets.join(bounded(copies.select(F.col("a").alias("doc_id"))), "doc_id", "left_anti").select("doc_id", F.explode("bands").alias("key"))
+        low = own.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top")).where("low < top").select("key", "low")
+        bucket = written(looked_up(own, written(low), ["key"], "inner").where("doc_id <> low"))
+        stars = written(bucket.select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct())
+        first = written(stars.groupBy("a").agg(F.min("b").alias("b")))
+        found = components(links.union(confirmed(docs, first, percent)))
+        tie = lambda doc, of: found.select(F.col("a").alias(doc), F.col("b").alias(of))
+        rest = looked_up(looked_up(stars.join(first, ["a", "b"], "left_anti"), tie("a", "of_a"), ["a"]), tie("b", "of_b"), ["b"])
+        rest = written(rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"))
+        found = extended(found, confirmed(docs, rest, percent)) if not rest.isEmpty() else found
+        # Buckets whose documents, but for the smallest, aren't all tied; the smallest has been compared to each.
+        labelled = looked_up(bucket, tie("doc_id", "of"), ["doc_id"]).withColumn("of", F.coalesce("of", "doc_id"))
+        open_ = written(labelled.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("of").alias("x"), F.max("of").alias("y")).where("x < y").select("key", "least"))
+        if not open_.isEmpty():
+            loose = components(looked_up(bucket, open_, ["key"], "inner").where("doc_id <> least").select("doc_id", "least"))
+            member = loose.select(F.col("a").alias("doc_id"), F.col("b").alias("cluster")).union(loose.select("b", "b").distinct())
+            sized = member.join(sets.groupBy("doc_id").agg(F.max("n_shingles").alias("n")), "doc_id")
+            size = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
+            groups = written(looked_up(member, written(size), ["cluster"], "inner").select("doc_id", "cluster", "blocks"))
+            found = extended(found, verified(docs, groups, percent))
     out = signs.select("doc_id", "n_shingles").join(bounded(found.select(F.col("a").alias("doc_id"), F.col("b").alias("found"))), "doc_id", "left")
     component = F.coalesce("found", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import alone, documents, fresh, give_back, numbered, set_for_now, slices, small_table, tokenizer_file, written
+from tessera.llm.common import alone, documents, fresh, give_back, numbered, slices, small_batches, small_table, tokenizer_file, written
 
 #: Documents that one packer places at a time. It searches its own remaining pieces for each place, so work a document is bounded.
 BUCKET_DOCS = 1536
@@ -22,8 +22,8 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: Chunks that the vocabulary's rules lower-case letter by letter and leave as they are otherwise, and how its pattern cuts them.
 PLAIN = "^[!-~À-ÖØ-öø-ÿ]*$"
 CUTS = "('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+)"
-#: Bytes of text that are split at once, and that a worker is sent at once: 10,000 texts, Spark's measure of a batch, are there several times, in Spark's own memory and in the worker's.
-SLICE, BATCH = 2 << 20, 4 << 20
+#: Bytes of text that are split at once.
+SLICE = 1 << 20
 #: Cuts a worker remembers before it forgets those that the slice at hand doesn't have.
 CUTS_KEPT = 150_000
 #: The character that the vocabulary writes for each byte: itself if it is printable, else the next from 256 on.
@@ -190,8 +190,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2,
         return own.drop(columns="bucket").rename(columns={"loss": "loss_tokens"})
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss_tokens long, sequence_id long, offset long"
-    spark = docs.sparkSession
-    with set_for_now(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH)}):  # which holds as long as the pieces are being made
+    with small_batches(docs.sparkSession):  # which holds as long as the pieces are being made
         cut_pieces = written(pieces(dealt, tokenizer, end_id, step))
     return cut_pieces.groupBy("bucket").applyInPandas(packed, schema)
 

@@ -1,5 +1,7 @@
 """What larger inputs bring: many entries of one stride, equal rows, large files and texts."""
 
+from collections.abc import Iterator
+
 import duckdb
 import numpy as np
 import pandas as pd
@@ -7,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import common, packing
+from tessera.llm import common, near_dedup, packing, quality
 from tessera.operators import entries, markup
 from tessera.plans import catalog, derived, repositories  # noqa: F401
 from tessera.sources import jsonl_index, model_files
@@ -150,6 +152,46 @@ def test_texts_reach_the_packing_workers_in_small_batches(spark, monkeypatch):
     assert spark.conf.get(key) == before
 
 
+@pytest.mark.parametrize("operator", [quality.keep_good, near_dedup.drop_near])
+def test_texts_reach_the_workers_of_the_stages_in_small_batches(spark, tmp_path, monkeypatch, operator):
+    spark.range(0, 1500, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.concat_ws(" ", F.lit("some words of text number"), F.col("id"), F.lit("")), 400).alias("text")).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    said = str(tmp_path / "said")
+
+    def told(f, size):
+        def of(batches):
+            def seen():
+                for b in batches:
+                    with open(said, "a") as out:
+                        out.write(f"{size(b)}\n")
+                    yield b
+
+            yield from f(seen())
+
+        return of
+
+    frame, udf = type(docs), F.pandas_udf
+    arrow = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, schema: arrow(self, told(f, lambda b: b.nbytes), schema))
+
+    def of_schema(schema):
+        def of(f):
+            def g(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+                yield from told(f, lambda s: int(s.str.len().sum()))(texts)
+
+            return udf(g, schema)
+
+        return of
+
+    monkeypatch.setattr(quality.F, "pandas_udf", of_schema)
+    operator(docs).collect()
+    sizes = [int(x) for x in open(said)]
+    assert sum(sizes) > 15_000_000 and max(sizes) < 5 << 20
+    assert spark.conf.get(key) == before
+
+
 def test_a_worker_keeps_the_vocabularies_of_one_operator():
     first, second = {"a": 1}, {"b": 2}
     common.alone(first)
