@@ -7,6 +7,9 @@ Tasks merge their shards' best, Spark merges the tasks' in two steps.
 
 Shards are cut by bytes of text, so a term that all documents have is no longer in one shard than in another, and
 nothing is shuffled but best rows and the counts of the items' terms. Items are gone through in blocks.
+
+A task holds a shard at a time, whatever its part of the documents or of the index is: texts and shards go to the workers
+in small batches, and a shard is a row group of its own, so that Spark's writer and reader hold no more than one.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, slices, split_words, utf8, written
+from tessera.llm.common import documents, give_back, slices, small_batches, split_words, utf8, written
 
 TOP = 10
 #: Bytes of text in a shard; items, and bytes of their texts, that are searched for together.
@@ -29,8 +32,10 @@ SHARD, ITEMS, ITEM_BYTES = 4 << 20, 4096, 4 << 20
 #: Parts that the tasks' best rows of an item are first merged in.
 MERGE = 64
 #: Bytes of terms, capitals made small; all others are blanks.
-FOLDED = np.array([b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in bytes(range(256)).lower()], np.uint8)
+FOLDED = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in bytes(range(256)).lower())
 INDEX = "doc_ids array<long>, terms array<binary>, starts binary, docs binary, impacts binary"
+#: How the index is written: a row group a shard. Its terms are distinct, so dictionaries would save nothing; as statistics the writer would keep a shard's arrays until the file is closed.
+BY_SHARD = {"parquet.block.row.count.limit": 1, "parquet.enable.dictionary": False, "parquet.column.statistics.enabled": False}
 
 
 def folded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -38,7 +43,7 @@ def folded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     texts = texts.cast(pa.large_binary())
     _, offsets, data = texts.buffers()
     at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    flat = FOLDED[np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]]]
+    flat = np.frombuffer(np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]].tobytes().translate(FOLDED), np.uint8)
     at = at - at[0]
     return pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(at), pa.py_buffer(flat)]), flat, at
 
@@ -51,7 +56,7 @@ def term_counts(texts: pa.Array) -> np.ndarray:
     starts[1:] &= ~term[:-1]
     begins = at[:-1][np.diff(at) > 0]
     starts[begins] = term[begins]
-    return np.diff(np.append(0, np.cumsum(starts))[at])
+    return np.diff(np.searchsorted(np.flatnonzero(starts), at))
 
 
 class Index:
@@ -68,6 +73,20 @@ def times_by(n: np.ndarray, factor: int, by: int) -> np.ndarray:
     return n * factor // max(by, 1)
 
 
+def shards(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches anew in batches of ``size`` to 5/4 of ``size`` bytes of a column, however many the batches have. The last may be smaller, a row with more bytes makes larger ones."""
+    own, held = [], 0
+    for piece in slices(batches, column, size // 4):
+        own.append(piece)
+        held += piece.column(column).nbytes
+        if held >= size:
+            yield pa.concat_batches(own)
+            own, held = [], 0
+    if own:
+        yield pa.concat_batches(own)
+    give_back()
+
+
 def index(docs: DataFrame, shard: int = SHARD) -> Index:
     """The index of ``docs`` (doc_id, text; other columns don't matter), written to the shared folder.
 
@@ -83,11 +102,12 @@ def index(docs: DataFrame, shard: int = SHARD) -> Index:
             held, every = held + int((n > 0).sum()), every + int(n.sum())
         yield pa.RecordBatch.from_arrays([pa.array([held]), pa.array([every])], names=["docs", "terms"])
 
-    total = rows.select("text").mapInArrow(count, "docs long, terms long").agg(F.sum("docs"), F.sum("terms")).first()
+    with small_batches(docs.sparkSession):
+        total = rows.select("text").mapInArrow(count, "docs long, terms long").agg(F.sum("docs"), F.sum("terms")).first()
     n_docs, n_terms = int(total[0] or 0), int(total[1] or 0)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1, shard):
+        for batch in shards(batches, 1, shard):
             begins, ids, words = split_words(folded(batch.column(1))[0])
             n = np.diff(begins)
             real = np.flatnonzero(n)
@@ -104,7 +124,8 @@ def index(docs: DataFrame, shard: int = SHARD) -> Index:
                 names=["doc_ids", "terms", "starts", "docs", "impacts"],
             )
 
-    return Index(written(rows.mapInArrow(of, INDEX)), n_docs, n_terms)
+    with small_batches(docs.sparkSession):
+        return Index(written(rows.mapInArrow(of, INDEX), **BY_SHARD), n_docs, n_terms)
 
 
 def best(scores: np.ndarray, k: int) -> np.ndarray:
@@ -126,7 +147,7 @@ def item_blocks(items: DataFrame) -> Iterator[tuple[list[int | None], list[list[
     ids, terms, held = [], [], 0
     for r in items.select(F.col("item_id").cast("long").alias("item_id"), utf8("text").alias("text")).toLocalIterator():
         ids.append(r["item_id"])
-        terms.append(sorted(set(FOLDED[np.frombuffer(bytes(r["text"]), np.uint8)].tobytes().split())))
+        terms.append(sorted(set(bytes(r["text"]).translate(FOLDED).split())))
         held += len(r["text"])
         if len(ids) >= ITEMS or held >= ITEM_BYTES:
             yield ids, terms
@@ -153,8 +174,8 @@ def weights(idx: Index, needed: list[bytes]) -> np.ndarray:
     return np.array([math.floor(1000 * math.log((2 * idx.docs + 2) / (2 * df[k] + 1))) for k in range(len(needed))], np.int64)
 
 
-def block_best(idx: Index, ids: list[int | None], terms: list[list[bytes]], top: int) -> DataFrame:
-    """item, item_id, doc_id, score: each task's best rows for the items of a block."""
+def block_best(idx: Index, ids: list[int | None], terms: list[list[bytes]], top: int, first_item: int) -> DataFrame:
+    """item, item_id, doc_id, score: each task's best rows for the items of a block, which are numbered from ``first_item``."""
     needed = sorted({t for own in terms for t in own})
     number = {t: k for k, t in enumerate(needed)}
     own_terms = [np.array([number[t] for t in own], np.int64) for own in terms]
@@ -182,7 +203,7 @@ def block_best(idx: Index, ids: list[int | None], terms: list[list[bytes]], top:
         item = np.repeat(np.array(list(held), np.int64), [len(h[0]) for h in held.values()])
         real, null, scores = (np.concatenate([h[k] for h in held.values()] or [np.empty(0, kind)]) for k, kind in enumerate((np.int64, bool, np.int64)))
         named = pa.array([ids[k] for k in item], pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(item), named, pa.array(real, mask=null), pa.array(scores)], names=["item", "item_id", "doc_id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(item + first_item), named, pa.array(real, mask=null), pa.array(scores)], names=["item", "item_id", "doc_id", "score"])
 
     return idx.table.mapInArrow(of, "item long, item_id long, doc_id long, score long")
 
@@ -193,16 +214,18 @@ def search(idx: Index, items: DataFrame, top: int = TOP) -> DataFrame:
     Equal scores are in the order of doc_id, a null one last. An item with a null text, or without a term that a document
     has, has no rows. Rows that repeat an item_id are items of their own, each ranked from 1. An empty table gives no rows.
     """
-    found = []
+    found, n = [], 0
     for ids, terms in item_blocks(items):
-        rows = block_best(idx, ids, terms, top).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(MERGE)))
-        order = [F.desc("score"), F.col("doc_id").asc_nulls_last()]
-        for keys in (["item", "part"], ["item"]):
-            rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= top)
-        found.append(rows.select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score"))
+        with small_batches(items.sparkSession):  # which holds as long as the index is being read
+            found.append(written(block_best(idx, ids, terms, top, n)))
+        n += len(ids)
     if not found:
         return items.sparkSession.createDataFrame([], "item_id long, rank int, doc_id long, score long")
-    return found[0] if len(found) == 1 else reduce(DataFrame.union, [written(f) for f in found])
+    rows = reduce(DataFrame.union, found).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(MERGE)))
+    order = [F.desc("score"), F.col("doc_id").asc_nulls_last()]
+    for keys in (["item", "part"], ["item"]):
+        rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= top)
+    return rows.select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import zstandard
 
@@ -173,6 +174,55 @@ def test_search_of_empty_tables(spark, docs):
     assert relative_lz.without_copies(none).collect() == []
 
 
+def test_a_task_of_the_search_holds_a_shard_at_a_time(spark, tmp_path, monkeypatch):
+    """However large a task's part of the documents and of the index is: of what workers get, and of the index's row groups and their statistics."""
+    spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.concat_ws(" ", F.lit("some words of text number"), F.col("id"), F.lit("")), 200).alias("text")).write.parquet(str(tmp_path / "docs"))
+    docs, items = spark.read.parquet(str(tmp_path / "docs")), spark.createDataFrame([(k, f"number {k}") for k in range(0, 3000, 300)], "item_id long, text string")
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    arrow = type(docs).mapInArrow
+
+    def told(self, f, schema):
+        def of(batches):
+            def seen():
+                for b in batches:
+                    with open(said, "a") as out:
+                        out.write(f"{b.num_rows} {b.nbytes}\n")
+                    yield b
+
+            yield from f(seen())
+
+        return arrow(self, of, schema)
+
+    said = str(tmp_path / "texts")
+    monkeypatch.setattr(type(docs), "mapInArrow", told)
+    idx = lexical_search.index(docs)
+    batches = [tuple(map(int, line.split())) for line in open(said)]
+    assert sum(n for n, _ in batches) == 2 * 3000 and max(size for _, size in batches) < 5 << 20
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in idx.table.inputFiles()]
+    groups = [m.row_group(k) for m in files for k in range(m.num_row_groups)]
+    assert len(groups) == idx.table.count() > 3 and {g.num_rows for g in groups} == {1}
+    assert all(g.column(k).statistics is None or not g.column(k).statistics.has_min_max for g in groups for k in range(g.num_columns))
+
+    small = lexical_search.index(docs, shard=1 << 17)
+    assert 100 < small.table.count() < 200
+    said = str(tmp_path / "shards")
+    monkeypatch.setattr("tessera.llm.common.BATCH", 1 << 17)
+    got = lexical_search.search(small, items).collect()
+    assert {(r["item_id"], r["doc_id"]) for r in got if r["rank"] == 1} == {(k, k) for k in range(0, 3000, 300)}
+    batches = [tuple(map(int, line.split())) for line in open(said)]
+    assert sum(n for n, _ in batches) == 2 * small.table.count() and max(size for _, size in batches) < 1 << 20
+    assert spark.conf.get(key) == before
+
+
+@pytest.mark.parametrize("rows", [1, 7, 5000])
+def test_shards_have_their_size_whatever_the_batches(rows):
+    table = pa.table({"doc_id": range(5000), "text": pa.array([b"w" * (k % 40) for k in range(5000)])})
+    got = list(lexical_search.shards(iter(table.to_batches(max_chunksize=rows)), 1, 4000))
+    assert pa.Table.from_batches(got) == table
+    assert all(4000 <= b.column(1).nbytes <= 5200 for b in got[:-1])
+
+
 def test_best_keeps_ties():
     scores = np.array([5, 0, 7, 5, 5, 9, -1, 5])
     assert set(lexical_search.best(scores, 3).tolist()) == {0, 2, 3, 4, 5, 7}
