@@ -21,6 +21,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,9 +34,10 @@ SHARD, ITEMS, ITEM_BYTES = 4 << 20, 4096, 4 << 20
 MERGE = 64
 #: Bytes of terms, capitals made small; all others are blanks.
 FOLDED = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in bytes(range(256)).lower())
-INDEX = "doc_ids array<long>, terms array<binary>, starts binary, docs binary, impacts binary"
-#: How the index is written: a row group a shard. Its terms are distinct, so dictionaries would save nothing; as statistics the writer would keep a shard's arrays until the file is closed.
-BY_SHARD = {"parquet.block.row.count.limit": 1, "parquet.enable.dictionary": False, "parquet.column.statistics.enabled": False}
+#: Of a shard: its documents, its terms with blanks between, how many documents have each term, and these documents and impacts a term after the other. All but the first are compressed by the workers, so that Spark moves and keeps less.
+INDEX = "doc_ids array<long>, terms binary, counts binary, docs binary, impacts binary"
+#: How the index is written: a row group a shard. Dictionaries would save nothing; as statistics the writer would keep a shard's columns until the file is closed.
+BY_SHARD = {"compression": "none", "parquet.block.row.count.limit": 1, "parquet.enable.dictionary": False, "parquet.column.statistics.enabled": False}
 
 
 def folded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -118,16 +120,27 @@ def index(docs: DataFrame, shard: int = SHARD) -> Index:
             term, own = key // len(real), key % len(real)
             length = 10 + times_by(n[real], 90 * n_docs, n_terms)
             impact = 1_000_000_000 * tf // (1000 * tf + 8 * length[own])
-            starts = np.append(0, np.cumsum(np.bincount(term, minlength=len(words))))
+            counts = np.bincount(term, minlength=len(words))
+            columns = (b" ".join(words), counts.astype("<u4"), own.astype("<u4"), impact.astype("<i4"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([batch.column(0).take(pa.array(real)).to_pylist()], pa.list_(pa.int64())), pa.array([words], pa.list_(pa.binary())), *(pa.array([x.tobytes()], pa.binary()) for x in (starts.astype("<i8"), own.astype("<u4"), impact.astype("<i4")))],
-                names=["doc_ids", "terms", "starts", "docs", "impacts"],
+                [pa.array([batch.column(0).take(pa.array(real)).to_pylist()], pa.list_(pa.int64())), *(pa.array([zstandard.ZstdCompressor(level=1).compress(x)], pa.binary()) for x in columns)],
+                names=["doc_ids", "terms", "counts", "docs", "impacts"],
             )
 
     with small_batches(docs.sparkSession):
         return Index(written(rows.mapInArrow(of, INDEX), **BY_SHARD), n_docs, n_terms)
 
 
+def plain(column: pa.Array, row: int) -> bytes:
+    """What a worker has compressed."""
+    return zstandard.ZstdDecompressor().decompress(column[row].as_buffer())
+
+
+def places(needed: pa.Array, terms: bytes) -> pa.Array:
+    """The place of each term that is needed among those of a shard, else null."""
+    return pc.index_in(needed, value_set=pa.array(terms.split(b" "), pa.binary()))
+
+
 def best(scores: np.ndarray, k: int) -> np.ndarray:
     """Places of the k highest scores above 0, and of all others that are as high as the last of them."""
     at = np.flatnonzero(scores > 0)
@@ -162,15 +175,15 @@ def weights(idx: Index, needed: list[bytes]) -> np.ndarray:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(len(needed), np.int64)
         for batch in batches:
-            for terms, starts in zip(batch.column(0), batch.column(1), strict=True):
-                place = pc.index_in(pa.array(needed, pa.binary()), value_set=terms.values)
+            for row in range(batch.num_rows):
+                place = places(pa.array(needed, pa.binary()), plain(batch.column(0), row))
                 known = np.flatnonzero(place.is_valid().to_numpy(zero_copy_only=False))
-                df[known] += np.diff(np.frombuffer(starts.as_buffer(), "<i8"))[place.drop_null().to_numpy()]
+                df[known] += np.frombuffer(plain(batch.column(1), row), "<u4")[place.drop_null().to_numpy()]
         seen = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(df[seen])], names=["term", "df"])
 
     df = dict.fromkeys(range(len(needed)), 0)
-    df |= {r["term"]: r["df"] for r in idx.table.select("terms", "starts").mapInArrow(of, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()}
+    df |= {r["term"]: r["df"] for r in idx.table.select("terms", "counts").mapInArrow(of, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()}
     return np.array([math.floor(1000 * math.log((2 * idx.docs + 2) / (2 * df[k] + 1))) for k in range(len(needed))], np.int64)
 
 
@@ -185,9 +198,10 @@ def block_best(idx: Index, ids: list[int | None], terms: list[list[bytes]], top:
         held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for row in range(batch.num_rows):
-                doc_ids, shard_terms = batch.column(0)[row].values, batch.column(1)[row].values
-                starts, docs, impacts = (np.frombuffer(batch.column(k)[row].as_buffer(), kind) for k, kind in ((2, "<i8"), (3, "<u4"), (4, "<i4")))
-                place = pc.index_in(pa.array(needed, pa.binary()), value_set=shard_terms).fill_null(-1).to_numpy()
+                doc_ids = batch.column(0)[row].values
+                counts, docs, impacts = (np.frombuffer(plain(batch.column(k), row), kind) for k, kind in ((2, "<u4"), (3, "<u4"), (4, "<i4")))
+                starts = np.append(0, np.cumsum(counts, dtype=np.int64))
+                place = places(pa.array(needed, pa.binary()), plain(batch.column(1), row)).fill_null(-1).to_numpy()
                 null, real = doc_ids.is_null().to_numpy(zero_copy_only=False), doc_ids.fill_null(0).to_numpy()
                 for item, own in enumerate(own_terms):
                     scores = np.zeros(len(real), np.int64)
